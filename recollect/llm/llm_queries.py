@@ -50,8 +50,8 @@ MIX = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = mixing.fit_mixing(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX)
-    return mixing.mixing_rates(docs, model)
+    model, measured = mixing.fit_mixing(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX)
+    return mixing.mixing_rates(measured, model)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

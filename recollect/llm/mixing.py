@@ -55,7 +55,9 @@ def features(text: Column, cues: list[list[str]]) -> Column:
     chars = F.greatest(F.length(text), F.lit(1))
 
     def of(w: Column) -> Column:
-        n = F.size(w) - F.array_contains(w, "").cast("int")
+        # white space at an end leaves an empty entry there, no text leaves one
+        ends = (F.get(w, F.lit(0)) == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+        n = F.size(w) - ends
         value = {
             "upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / chars,
             "symbol": F.regexp_count(text, F.lit("[#*$%&|<>!]")) / chars,
@@ -65,8 +67,7 @@ def features(text: Column, cues: list[list[str]]) -> Column:
         said = [F.when(F.arrays_overlap(w, F.array(*map(F.lit, words))), 1).otherwise(0) if words else F.lit(0) for words in cues]
         return F.struct(n.cast("long").alias("n"), F.array(*(_bin(v, EDGES[k]) for k, v in value.items()), *said).alias("f"))
 
-    # white space at either end leaves empty entries; one is made of them all
-    return _let(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), WORDS), of)
+    return _let(F.split(text, WORDS), of)
 
 
 @dataclass
@@ -143,26 +144,15 @@ def _classifier(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> M
     return MixingModel(domains, cues, [math.log(shares[d] / total) for d in domains], tables, [])
 
 
-def fit_mixing(
-    docs: DataFrame,
-    labelled: DataFrame,
-    targets: dict[str, float],
-    of_own: bool = False,
-    ridge: float = 0.01,
-    most: float | None = None,
-    rounds: int = 24,
-    rows_per_domain: int = ROWS_PER_DOMAIN,
-) -> MixingModel:
-    """Fit classifier and rates.
+def measured(docs: DataFrame, cues: list[list[str]]) -> DataFrame:
+    """(doc_id, n, f) of every row: a written table, read by fit and rates."""
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text"), cues).alias("x"))
+    return written(x.select("doc_id", "x.n", "x.f"), "features")
 
-    ``docs``: doc_id, text.  ``labelled``: doc_id, domain.  ``targets`` are
-    weights of the whole token count (normalised), or with ``of_own`` shares
-    of each domain's own expected tokens.  ``most`` bounds rates from above.
-    """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = _classifier(text, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")), rows_per_domain)
+
+def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], of_own: bool = False, ridge: float = 0.01, most: float | None = None, rounds: int = 24) -> MixingModel:
+    """Projected gradient on ``measured`` rows; the steps go into the model."""
     k = len(model.domains)
-    table = text.select(features(F.col("text"), model.cues).alias("x")).select("x.n", "x.f")
     # documents alike in their bins have equal posteriors, hence equal rates
     table = table.groupBy("f").agg(F.sum("n").cast("double").alias("n"))
     table = written(table.select("n", model.posteriors(F.col("f")).alias("p")), "posteriors")
@@ -186,15 +176,27 @@ def fit_mixing(
     return model
 
 
-def mixing_rates(docs: DataFrame, model: MixingModel) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, domain, p_<domain>..., rate.
+def fit_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows_per_domain: int = ROWS_PER_DOMAIN, **how) -> tuple[MixingModel, DataFrame]:
+    """Fit classifier and rates; returns the model and the measured rows.
+
+    ``docs``: doc_id, text.  ``labelled``: doc_id, domain.  ``targets`` are
+    weights of the whole token count (normalised), or with ``of_own`` shares
+    of each domain's own expected tokens.  ``most`` bounds rates from above.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = _classifier(text, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")), rows_per_domain)
+    table = measured(text, model.cues)
+    return fit_rates(model, table, targets, **how), table
+
+
+def mixing_rates(table: DataFrame, model: MixingModel) -> DataFrame:
+    """One row per ``measured`` row: doc_id, n_tokens, domain, p_<domain>..., rate.
 
     n_tokens counts words.  Null and empty texts have none, and a rate like
     any other of their posterior.  Null ids and repeated rows get rows of
     their own.  Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", features(F.col("text"), model.cues).alias("x")).select("doc_id", "x.n", model.posteriors(F.col("x.f")).alias("p"))
+    rows = table.select("doc_id", "n", model.posteriors(F.col("f")).alias("p"))
     best = F.array_position("p", F.array_max("p")).cast("int")
     each = (F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(model.domains))
     return rows.select("doc_id", F.col("n").alias("n_tokens"), F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), *each, model.rate(F.col("p")).alias("rate"))

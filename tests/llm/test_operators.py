@@ -429,31 +429,31 @@ def test_op7(spark, docs):
     d, labels, rows = labelled(spark)
     domains = mixing.label_domains(labels.where("doc_id % 2 = 0 or doc_id % 3 = 0"))
     goal = {"clean": 0.7, "junk": 0.2, "toxic": 0.1}
-    model = mixing.fit_mixing(d, domains, goal, ridge=0.001, rounds=60)
-    got = mixing.mixing_rates(d, model).collect()
+    model, table = mixing.fit_mixing(d, domains, goal, ridge=0.001, rounds=60)
+    got = mixing.mixing_rates(table, model).collect()
     truth = {i: "toxic" if x else "clean" if q else "junk" for i, _, q, x in rows}
     assert sum(r.domain == truth[r.doc_id] for r in got) > 0.97 * len(got)
     assert all(r.rate >= 0 and r.n_tokens == len(words(rows[r.doc_id][1])) for r in got)
     whole = sum(r.n_tokens for r in got)
     for k, w in goal.items():
         assert abs(sum(r.rate * r.n_tokens * r[f"p_{k}"] for r in got) / whole - w) < 0.01
-    odd = mixing.mixing_rates(docs, model).collect()
+    odd = mixing.mixing_rates(mixing.measured(docs, model.cues), model).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in odd) == Counter((i, len(words(t))) for i, t in ((x.doc_id, x.text) for x in docs.collect()))
     assert all(abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 for r in odd)
-    assert mixing.mixing_rates(docs.limit(0), model).count() == 0
-    assert mixing.fit_mixing(docs.limit(0), domains, goal).steps == []
+    assert mixing.mixing_rates(table.limit(0), model).count() == 0
+    assert mixing.fit_mixing(docs.limit(0), domains, goal)[0].steps == []
 
 
 def test_op7_plan_is_native(spark):
     d, labels, _ = labelled(spark, 80)
-    model = mixing.fit_mixing(d, mixing.label_domains(labels), {"clean": 1.0})
-    plan = mixing.mixing_rates(d, model)._jdf.queryExecution().executedPlan().toString()
+    model, table = mixing.fit_mixing(d, mixing.label_domains(labels), {"clean": 1.0})
+    plan = mixing.resample(d, model)._jdf.queryExecution().executedPlan().toString() + mixing.mixing_rates(table, model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
 def test_op7_resample_keeps_clean(spark):
     d, labels, rows = labelled(spark)
-    model = mixing.fit_mixing(d, mixing.label_domains(labels), corpus_pipeline.KEEP, of_own=True, most=1.0, ridge=1e-6)
+    model, _ = mixing.fit_mixing(d, mixing.label_domains(labels), corpus_pipeline.KEEP, of_own=True, most=1.0, ridge=1e-6)
     kept = mixing.resample(d, model, corpus_pipeline.SURE)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == d.columns
