@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from recollect.llm.common import block_of, bytes_of, n_parts, written
 from recollect.llm.golomb import exchange, owner_cuts
 
-#: Suspect fingerprints are broadcast up to this count (16 bytes each in the
-#: hashed relation, 32 MB); beyond it the texts are joined by a shuffle.
-BROADCAST_FINGERPRINTS = 1_000_000
+#: Suspects' hashes are broadcast up to this count (about 100 bytes each in the
+#: hashed relation, 40 MB); beyond it the texts are joined by a shuffle.
+BROADCAST_FINGERPRINTS = 400_000
 
 _PRINT = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("sha", pa.binary())])
 _MARKED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("nth", pa.int64()), ("suspect", pa.bool_())])

@@ -27,7 +27,7 @@ WORDS = r"[\x20\x09-\x0D]+"
 ROWS_PER_DOMAIN = 2000
 #: Words that speak for a domain, at most, and the share of the domain's
 #: documents that has each at least.
-WORDS_PER_DOMAIN, CUE_SHARE = 40, 0.05
+WORDS_PER_DOMAIN, CUE_SHARE = 64, 0.02
 #: Upper edges of the features' bins.
 EDGES = {"upper": (0.005, 0.03, 0.1, 0.3), "symbol": (0.001, 0.01, 0.05, 0.15), "distinct": (0.2, 0.4, 0.6, 0.8, 0.95), "size": (20, 100, 400, 1600)}
 

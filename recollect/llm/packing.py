@@ -3,9 +3,9 @@
 Documents become byte-level BPE ids; those longer than a sequence are cut.
 Each partition packs its pieces best-fit decreasing and compares its bin count
 with a lower bound from dual feasible functions.  Partitions that meet their
-bound are final.  The others put the documents of their unfilled bins back,
-which are dealt to fewer partitions and packed again, until all are certified
-or one partition is left.
+bound are final but for their emptiest sequence.  Its documents and all those
+of the other partitions are dealt anew, to fewer partitions, and packed again,
+until nothing is left over or the rounds are through.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from recollect.llm.common import block_of, bytes_of, in_slices, n_parts, written
 
 END_ID = 0
 CAPACITY = 2048
-#: Pieces a partition of a later round gets, about.
-ROUND_PIECES = 50_000
+#: Pieces that a partition of a later round gets at most, about (60 bytes each).
+ROUND_PIECES = 500_000
 
 # Characters on whose classes all versions of Unicode agree: ASCII and the
 # Latin letters of U+00C0..U+017F.  Other texts go through the library.
@@ -174,7 +174,9 @@ def _pack(capacity: int, final: bool):
             sizes = t.column("length").to_numpy()
             bins, offsets, fill = best_fit(sizes, capacity)
             certified = len(fill) == lower_bound(sizes, capacity)
-            open_ = np.zeros(len(sizes), bool) if certified or final else fill[bins] < capacity
+            open_ = np.full(len(sizes), not certified and not final)
+            if certified and not final and fill.min() < capacity:
+                open_ = bins == fill.argmin()
             cols = [t.column(n).combine_chunks() for n in _PIECE.names]
             cols += [pa.array(np.full(len(sizes), p, np.int32)), pa.array(bins), pa.array(offsets), pa.array(open_)]
             yield from pa.Table.from_arrays(cols, schema=_PACKED).to_batches(16384)
@@ -198,7 +200,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 3) ->
         n = left.count()
         if not n:
             break
-        parts = min(max(1, parts // 4), -(-n // ROUND_PIECES))
+        parts = min(parts, max(1, parts // 4, -(-n // ROUND_PIECES)))
         now = left.select(*_PIECE.names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)).cast("int").alias("part"))
     out = done[0]
     for d in done[1:]:

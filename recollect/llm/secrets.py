@@ -27,7 +27,7 @@ from recollect.llm.common import bytes_of, in_slices
 NAMES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"access_key", b"auth", b"credential", b"private_key")
 #: Beginnings of issued keys.
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb-", b"xoxp-", b"sk_live_", b"sk-", b"AIza", b"eyJ", b"glpat-")
-_RUN = re.compile(rb"(?=[A-Za-z0-9_\-+/=.:@]*[0-9])[A-Za-z0-9_\-+/=.:@]{10,}|(?<=[=:\"'])[A-Za-z0-9_\-+/.!@#$%^&*]{6,}")
+_RUN = re.compile(rb"(?:" + b"|".join(PREFIXES) + rb")[A-Za-z0-9_\-.]{10,}|(?=[A-Za-z0-9_\-+/=.:@]*[0-9])[A-Za-z0-9_\-+/=.:@]{10,}|(?<=[=:\"'])[A-Za-z0-9_\-+/.!@#$%^&*]{6,}")
 _WORD = re.compile(rb"[A-Za-z]{3,}")
 _VALUE = re.compile(rb"^[A-Za-z_\-]{2,30}[=:]+[\"']?")
 _ASSIGNED = re.compile(rb"(?:" + b"|".join(NAMES) + rb")[A-Za-z_]{0,12}[\"']?\s{0,2}[=:]+\s{0,2}[\"']?$", re.I)
