@@ -128,18 +128,21 @@ def near_duplicates(memories: DataFrame) -> DataFrame:
     Sets of overlap 0.8 share one of their |s| - ceil(0.8 |s|) + 1 rarest
     tokens, so pairs meet by an equality join on those and not all with all.
     """
-    rows = memories.where(F.col("embedding").isNotNull()).select("id", "importance", "created_at", "embedding", token_set(F.col("content")).alias("tokens"))
-    rows = rows.where(F.size("tokens") > 0)
-    each = rows.select("id", F.explode("tokens").alias("t"))
+    rows = memories.where(F.col("embedding").isNotNull())
+    sets = rows.select("id", token_set(F.col("content")).alias("tokens")).where(F.size("tokens") > 0)
+    each = sets.select("id", F.explode("tokens").alias("t"))
     frequency = each.groupBy("t").agg(F.count("*").alias("df"))
     order = each.join(frequency, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     head = F.slice("o", 1, (F.size("o") - F.ceil(OVERLAP * F.size("o") - 1e-9) + 1).cast("int"))
-    keys = order.select("id", F.explode(F.transform(head, lambda x: x["t"])).alias("t"))
-    pairs = keys.alias("x").join(keys.alias("y"), "t").where("x.id < y.id").select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
-    left = rows.select(*(F.col(c).alias(f"p_{c}") for c in rows.columns))
-    right = rows.select(*(F.col(c).alias(f"q_{c}") for c in rows.columns))
-    met = pairs.join(left, pairs["p"] == left["p_id"]).join(right, pairs["q"] == right["q_id"])
-    met = met.withColumn("overlap", jaccard(F.col("p_tokens"), F.col("q_tokens"))).where(F.col("overlap") >= OVERLAP)
+    keys = order.select("id", F.size("o").alias("n"), F.explode(F.transform(head, lambda x: x["t"])).alias("t"))
+    sized = (F.col("x.n") >= OVERLAP * F.col("y.n") - 1e-9) & (F.col("y.n") >= OVERLAP * F.col("x.n") - 1e-9)
+    pairs = keys.alias("x").join(keys.alias("y"), "t").where((F.col("x.id") < F.col("y.id")) & sized).select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
+    # the narrow gate first: vectors travel for pairs that passed it only
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
+    met = pairs.join(side(sets, "p"), F.col("p") == F.col("p_id")).join(side(sets, "q"), F.col("q") == F.col("q_id"))
+    met = met.select("p", "q", jaccard(F.col("p_tokens"), F.col("q_tokens")).alias("overlap")).where(F.col("overlap") >= OVERLAP)
+    wide = rows.select("id", "importance", "created_at", "embedding")
+    met = met.join(side(wide, "p"), F.col("p") == F.col("p_id")).join(side(wide, "q"), F.col("q") == F.col("q_id"))
     met = met.withColumn("cosine", cosine(F.col("p_embedding"), F.col("q_embedding"))).where(F.col("cosine") >= SIMILARITY)
     first = F.struct((-F.col("p_importance")).alias("i"), F.col("p_created_at").alias("c"), F.col("p_id").alias("d")) < F.struct((-F.col("q_importance")).alias("i"), F.col("q_created_at").alias("c"), F.col("q_id").alias("d"))
     return met.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
