@@ -156,21 +156,22 @@ def removed_by(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     later matches go.  Each round's undecided pairs are checkpointed.
     """
     spark = pairs.sparkSession
-    pairs = _cut(pairs.select("a", "b").distinct())
+    pairs = settle(pairs.select("a", "b").distinct())
     gone = pairs.select(F.col("b").alias("id")).limit(0)
     for _ in range(most_rounds):
         if pairs.isEmpty():
             return gone
         waits = pairs.select(F.col("b").alias("a")).distinct()
         stays = pairs.select("a").distinct().join(waits, "a", "left_anti")
-        out = _cut(pairs.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        out = settle(pairs.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct())
         gone = gone.unionByName(out)
         rest = pairs.join(out, pairs["b"] == out["id"], "left_anti")
-        pairs = _cut(rest.join(out, rest["a"] == out["id"], "left_anti").join(stays, "a", "left_anti"))
+        pairs = settle(rest.join(out, rest["a"] == out["id"], "left_anti").join(stays, "a", "left_anti"))
     raise RuntimeError("consolidation did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint: computed once, and safe from lost executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):

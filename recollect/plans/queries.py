@@ -420,7 +420,8 @@ _PAIRS = f"""WITH m AS (SELECT doc_id AS id, text AS content, ((doc_id * 37) % 1
 
 def _document_memories(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
-    return d.select(
+    # embedded once: pairs read the vectors on both sides
+    rows = d.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         (((F.col("doc_id") * 37) % 101) / 100.0).alias("importance"),
@@ -429,6 +430,7 @@ def _document_memories(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("long").alias("last_recalled"),
         LocalEmbedder().column(F.col("text")).alias("embedding"),
     )
+    return memory.settle(rows)
 
 
 @query(_PAIRS)
