@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import clamp_importance, cosine, decay, estimate_tokens_from_chars, jaccard, token_set
+from recollect.functions.text import clamp_importance, cosine, decay, dot, estimate_tokens_from_chars, jaccard, token_set
 from recollect.operators.search import vector_search
 
 MEMORY_TYPES = ("fact", "preference", "decision", "instruction", "task", "insight", "conversation")
@@ -122,30 +122,65 @@ def prunable(now_ms: int, min_importance: float = 0.2, age_days: float = 90.0) -
     return (F.col("importance") < min_importance) & (F.col("recall_count") == 0) & idle
 
 
-def near_duplicates(memories: DataFrame) -> DataFrame:
-    """(a, b, cosine, overlap): pairs alike in both gates; b is the one to go.
+def _before(side: str = "") -> Column:
+    """The order in which memories are looked at: the first of a kind stays."""
+    c = lambda n: F.col(f"{side}{n}")
+    return F.struct((-c("importance")).alias("i"), c("created_at").alias("c"), c("id").alias("d"))
+
+
+def duplicate_classes(memories: DataFrame) -> DataFrame:
+    """(id, class_id): memories of equal content and vector, by their first one.
+
+    Members match each other in both gates and match the same others, so only
+    first ones need to meet.  Rows that match nothing, themselves included
+    (no token, no vector or a zero one), have no class.  A hot class is
+    combined map-side; the adaptive skew join splits it on the way back.
+    """
+    keyed = memories.where(F.col("content").rlike(r"[\p{L}\p{N}]{2}"))
+    key = [F.sha2("content", 256).alias("text_key")]
+    if "embedding" in memories.columns:
+        norm = dot(F.col("embedding"), F.col("embedding"))
+        keyed = keyed.where((norm > 0) & ~F.isnan(norm))
+        key.append(F.xxhash64("embedding").alias("vector_key"))
+    keyed = keyed.select("id", "importance", "created_at", *key)
+    by = keyed.columns[3:]
+    first = keyed.groupBy(*by).agg(F.min_by("id", _before()).alias("class_id"))
+    return keyed.join(first, by).select("id", "class_id")
+
+
+def near_duplicates(memories: DataFrame, classes: DataFrame | None = None, embedder=None) -> DataFrame:
+    """(a, b, cosine, overlap): pairs of class representatives alike in both
+    gates; b is the one to go.  ``duplicate_classes`` has the members.
 
     Sets of overlap 0.8 share one of their |s| - ceil(0.8 |s|) + 1 rarest
     tokens, so pairs meet by an equality join on those and not all with all.
+    Where ``memories`` has no vectors, ``embedder`` makes those of rows that
+    passed the token gate.
     """
-    rows = memories.where(F.col("embedding").isNotNull())
-    sets = rows.select("id", token_set(F.col("content")).alias("tokens")).where(F.size("tokens") > 0)
+    classes = duplicate_classes(memories) if classes is None else classes
+    heads = classes.where("id = class_id").select("id")
+    sets = settle(memories.join(heads, "id", "left_semi").select("id", "importance", "created_at", token_set(F.col("content")).alias("tokens")))
     each = sets.select("id", F.explode("tokens").alias("t"))
     frequency = each.groupBy("t").agg(F.count("*").alias("df"))
     order = each.join(frequency, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     head = F.slice("o", 1, (F.size("o") - F.ceil(OVERLAP * F.size("o") - 1e-9) + 1).cast("int"))
-    keys = order.select("id", F.size("o").alias("n"), F.explode(F.transform(head, lambda x: x["t"])).alias("t"))
-    sized = (F.col("x.n") >= OVERLAP * F.col("y.n") - 1e-9) & (F.col("y.n") >= OVERLAP * F.col("x.n") - 1e-9)
-    pairs = keys.alias("x").join(keys.alias("y"), "t").where((F.col("x.id") < F.col("y.id")) & sized).select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
+    keys = order.select("id", F.size("o").alias("n"), F.posexplode(F.transform(head, lambda x: x["t"])).alias("at", "t"))
+    # what follows a pair's first shared token bounds what it can share
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = most >= OVERLAP / (1 + OVERLAP) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    pairs = keys.alias("x").join(keys.alias("y"), "t").where((F.col("x.id") < F.col("y.id")) & enough).select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
     # the narrow gate first: vectors travel for pairs that passed it only
     side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
     met = pairs.join(side(sets, "p"), F.col("p") == F.col("p_id")).join(side(sets, "q"), F.col("q") == F.col("q_id"))
-    met = met.select("p", "q", jaccard(F.col("p_tokens"), F.col("q_tokens")).alias("overlap")).where(F.col("overlap") >= OVERLAP)
-    wide = rows.select("id", "importance", "created_at", "embedding")
+    ahead = _before("p_") < _before("q_")
+    met = met.select("p", "q", ahead.alias("ahead"), jaccard(F.col("p_tokens"), F.col("q_tokens")).alias("overlap")).where(F.col("overlap") >= OVERLAP)
+    met = settle(met)
+    passed = met.select(F.explode(F.array("p", "q")).alias("id")).distinct()
+    vector = F.col("embedding") if "embedding" in memories.columns else embedder.column(F.col("content"))
+    wide = settle(memories.join(passed, "id", "left_semi").select("id", vector.alias("embedding")))
     met = met.join(side(wide, "p"), F.col("p") == F.col("p_id")).join(side(wide, "q"), F.col("q") == F.col("q_id"))
     met = met.withColumn("cosine", cosine(F.col("p_embedding"), F.col("q_embedding"))).where(F.col("cosine") >= SIMILARITY)
-    first = F.struct((-F.col("p_importance")).alias("i"), F.col("p_created_at").alias("c"), F.col("p_id").alias("d")) < F.struct((-F.col("q_importance")).alias("i"), F.col("q_created_at").alias("c"), F.col("q_id").alias("d"))
-    return met.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
+    return met.select(F.when(F.col("ahead"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("ahead"), F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
 
 
 def removed_by(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -182,15 +217,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def consolidate(memories: DataFrame, now_ms: int, max_vectors: int = 500, prune: bool = False, min_importance: float = 0.2, age_days: float = 90.0, enforce_ceiling: bool = False) -> tuple[DataFrame, DataFrame]:
+def consolidate(memories: DataFrame, now_ms: int, max_vectors: int = 500, prune: bool = False, min_importance: float = 0.2, age_days: float = 90.0, enforce_ceiling: bool = False, embedder=None) -> tuple[DataFrame, DataFrame]:
     """(table after, one-row report).  Near-duplicates go, then promote, prune.
 
-    The ceiling on vectors protected a quadratic loop; the join here needs
-    none, so it applies only with ``enforce_ceiling``.
+    All but the first of a class go: whatever takes the first one takes them,
+    and else it does.  The ceiling on vectors protected a quadratic loop; the
+    join here needs none, so it applies only with ``enforce_ceiling``.
     """
-    n = memories.where(F.col("embedding").isNotNull()).count()
-    skipped = enforce_ceiling and n > max_vectors
-    gone = memories.select("id").limit(0) if skipped else removed_by(near_duplicates(memories))
+    skipped = enforce_ceiling and memories.where(F.col("embedding").isNotNull()).count() > max_vectors
+    gone = memories.select("id").limit(0)
+    if not skipped:
+        classes = settle(duplicate_classes(memories))
+        later = classes.where("id <> class_id").select("id")
+        gone = settle(later.unionByName(removed_by(near_duplicates(memories, classes, embedder))))
     left = memories.join(gone, "id", "left_anti")
     due = left.where((F.col("recall_count") >= 5) & (F.col("importance") < 1))
     after = promote(left)

@@ -403,7 +403,10 @@ def update_memory_patch(spark, sf_dir):
     return m.select("id", "type", "importance", "updated_at")
 
 
-_PAIRS = f"""WITH m AS (SELECT doc_id AS id, text AS content, ((doc_id * 37) % 101) / 100.0::DOUBLE AS importance, doc_id % 50 AS created_at FROM documents),
+_ALL = "every AS (SELECT doc_id AS id, text AS content, ((doc_id * 37) % 101) / 100.0::DOUBLE AS importance, doc_id % 50 AS created_at FROM documents)"
+
+_PAIRS = f"""WITH {_ALL},
+    m AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) = 1),
     tok AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS t FROM m),
     ranked AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r, count(*) OVER (PARTITION BY id) AS n FROM tok JOIN (SELECT t, count(*) AS df FROM tok GROUP BY t) USING (t)),
     head AS (SELECT id, t FROM ranked WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
@@ -419,29 +422,35 @@ _PAIRS = f"""WITH m AS (SELECT doc_id AS id, text AS content, ((doc_id * 37) % 1
 
 
 def _document_memories(spark, sf_dir) -> DataFrame:
+    """Documents as memories; vectors are made of those that need one."""
     d = t(spark, sf_dir, "documents")
-    # embedded once: pairs read the vectors on both sides
-    rows = d.select(
+    return d.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         (((F.col("doc_id") * 37) % 101) / 100.0).alias("importance"),
         (F.col("doc_id") % 50).alias("created_at"),
         (F.col("doc_id") % 7).cast("int").alias("recall_count"),
         F.lit(None).cast("long").alias("last_recalled"),
-        LocalEmbedder().column(F.col("text")).alias("embedding"),
     )
-    return memory.settle(rows)
 
 
 @query(_PAIRS)
 def near_dup_pairs(spark, sf_dir):
-    p = memory.near_duplicates(_document_memories(spark, sf_dir))
+    p = memory.near_duplicates(_document_memories(spark, sf_dir), embedder=LocalEmbedder())
     return p.select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("overlap", 6).alias("overlap"))
 
 
+@query(
+    f"""WITH {_ALL} SELECT id, first_value(id) OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) AS class_id
+    FROM every WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]{{2}}')"""
+)
+def near_dup_members(spark, sf_dir):
+    return memory.duplicate_classes(_document_memories(spark, sf_dir))
+
+
 @query()
 def consolidate_survivors(spark, sf_dir):
-    left, _ = memory.consolidate(_document_memories(spark, sf_dir), 20 * DAY, prune=True, age_days=10)
+    left, _ = memory.consolidate(_document_memories(spark, sf_dir), 20 * DAY, prune=True, age_days=10, embedder=LocalEmbedder())
     return left.select("id", F.round("importance", 6).alias("importance"))
 
 

@@ -193,6 +193,30 @@ def test_near_duplicates_need_both_gates(spark):
     assert cos("p", "r") >= 0.92 and jac("p", "r") < 0.8
 
 
+def test_consolidate_is_the_sequential_pass(spark):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(12)) + f" w{i}" for i in range(6)]
+    texts = [rng.choice(base) + rng.choice(["", "", " extra", " extra word"]) for _ in range(40)] + ["", "-", "x", None, "日本", "日本"]
+    m = mem(spark, [(f"m{i:02}", "fact", t, rng.choice([0.2, 0.5]), [], 0, None, rng.randint(0, 3), 0) for i, t in enumerate(texts)]).cache()
+    rows = sorted((r for r in m.collect() if r.embedding is not None), key=lambda r: (-r.importance, r.created_at, r.id))
+    import re
+
+    sets = {r.id: {t for t in re.findall(r"[^\W_]+", r.content.lower()) if len(t) > 1} for r in rows}
+    match = lambda x, y: sets[x.id] and sets[y.id] and len(sets[x.id] & sets[y.id]) / len(sets[x.id] | sets[y.id]) >= 0.8 and sum(a * b for a, b in zip(x.embedding, y.embedding)) >= 0.92
+    left = []
+    for r in rows:
+        if not any(match(s, r) for s in left):
+            left.append(r)
+    want = {r.id for r in left} | {r.id for r in m.collect() if r.embedding is None}
+    assert len(want) < len(texts) - 10
+    for table, e in ((m, None), (m.drop("embedding"), E)):
+        assert {r.id for r in memory.consolidate(table, 0, embedder=e)[0].collect()} == want
+        classes = {r.id: r.class_id for r in memory.duplicate_classes(table).collect()}
+        assert set(classes) == {r.id for r in rows if sets[r.id]}
+        pairs = memory.near_duplicates(table, embedder=e).collect()
+        assert pairs and all(classes[r.a] == r.a and classes[r.b] == r.b for r in pairs)
+
+
 def test_removal_is_the_sequential_one(spark):
     rng = random.Random(8)
     for _ in range(6):
