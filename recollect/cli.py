@@ -14,18 +14,28 @@ from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest as ing
 from recollect.operators import memory as mem
 from recollect.operators import search as sea
+from recollect.operators import session as ses
 from recollect.plans.store import Store
+from recollect.sources.chatdb import chat_stores, chat_table
 from recollect.sources.readers import read_files, read_jsonl
 from recollect.streaming.sync import sync_batch
 
 
+#: Shorter names of the same commands.
+ALIASES = {
+    "list": ("docs",), "document-stats": ("doc-stats",), "delete": ("rm-doc",), "memory-remember": ("remember",), "memory-recall": ("recall",),
+    "memory-forget": ("forget",), "memory-consolidate": ("consolidate",), "memory-context": ("mem-context",),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("recollect")
     p.add_argument("--db")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *args: str, **options):
-        s = sub.add_parser(name)
+        s = sub.add_parser(name, aliases=ALIASES.get(name, ()))
+        s.set_defaults(op=name)
         for a in args:
             s.add_argument(a)
         for k, v in options.items():
@@ -40,6 +50,9 @@ def parser() -> argparse.ArgumentParser:
     add("ingest-dir", "path")
     add("ingest-jsonl", "path", source="log")
     add("sync-logs", dir=".session-logs")
+    add("sessions", limit=15, dir=None)
+    add("sync-session", "id", limit=0)
+    add("sync-latest", limit=0, dir=None)
     for name, k in (("search", 10), ("retrieve", 6)):
         add(name, "query", top_k=k, min_score=0.08, alpha=None, doc_id=None, source=None)
     add("list", limit=100, offset=0)
@@ -94,7 +107,23 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         hits = mem.recall(memories, e.query(query), now, top_k, min_score, cfg.memory_half_life_days)
         return hits
 
-    c = a.command
+    condensing = {"min_chars": cfg.condense_min_chars, "ratio": cfg.condense_ratio, "condensed": cfg.condense}
+
+    def chats() -> list[str]:
+        paths = chat_stores()
+        if not paths:
+            raise FileNotFoundError("no chat store: set OPENCODE_DB to its path")
+        return paths
+
+    def listed(limit: int, directory: str | None) -> DataFrame:
+        return ses.list_sessions([chat_table(spark, p, "session") for p in chats()], limit, directory)
+
+    def sync_session(id: str) -> dict:
+        sources = [(chat_table(spark, p, "message"), chat_table(spark, p, "part")) for p in chats()]
+        entries = ses.first_transcript(sources, id, a.limit or cfg.session_max_msgs)
+        return {"session_id": id, **sync_batch(store, entries, "chat", now, **condensing)}
+
+    c = a.op
     if c == "stats":
         return store.stats(warn_mb=cfg.vector_cache_warn_mb)
     if c in ("reindex", "backup", "restore"):
@@ -110,9 +139,16 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
     if c in ("ingest-file", "ingest-dir"):
         return take(read_files(spark, a.path, max_mb=cfg.max_file_mb, dirs=cfg.allowed_dirs)[0])
     if c == "ingest-jsonl":
-        return sync_batch(store, read_jsonl(spark, a.path), a.source, now)
+        return sync_batch(store, read_jsonl(spark, a.path), a.source, now, **condensing)
     if c == "sync-logs":
-        return sync_batch(store, read_jsonl(spark, f"{a.dir}/*.jsonl"), "log", now)
+        return sync_batch(store, read_jsonl(spark, f"{a.dir}/*.jsonl"), "log", now, **condensing)
+    if c == "sessions":
+        return _rows(listed(a.limit, a.dir).drop("source_index"))
+    if c == "sync-session":
+        return sync_session(a.id)
+    if c == "sync-latest":
+        hit = ses.latest_session(listed(50, a.dir), now).first()
+        return {"found": hit is not None, **(sync_session(hit["id"]) if hit else {})}
     if c == "search":
         return _rows(find().orderBy("rank"))
     if c == "retrieve":

@@ -36,15 +36,16 @@ class Store:
         return json.loads(text)
 
     def _swap(self, manifest: dict) -> None:
-        tmp = self._p(f".manifest-{uuid.uuid4().hex}")
+        """Put the manifest in place of the last one, in one rename."""
+        tmp, live = self._p(f".manifest-{uuid.uuid4().hex}"), self._p("manifest.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        live = self._p("manifest.json")
-        if self._fs.exists(live):
-            self._fs.delete(live, False)
-        if not self._fs.rename(tmp, live):
-            raise OSError("the manifest could not be replaced")
+        over = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.java.lang.Enum.valueOf(over, "OVERWRITE")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        context.rename(tmp, live, options)
 
     def _locked(self):
         lock = self._p("writer.lock")

@@ -11,7 +11,7 @@ from recollect import cli, config
 from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest, memory, search, session
 from recollect.plans.store import Store
-from recollect.sources import readers
+from recollect.sources import chatdb, readers
 from recollect.streaming.sync import sync_batch, sync_logs
 
 ROWS = "content string, title string, source string, content_type string, metadata string, scope string"
@@ -256,6 +256,48 @@ def test_sessions(spark):
         session.first_transcript([(messages, parts.limit(0))], "s")
 
 
+def chat_file(path, sessions, messages=(), parts=()):
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE session (id TEXT PRIMARY KEY, title TEXT, directory TEXT, time_updated INTEGER, time_archived INTEGER)")
+    db.execute("CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, time_created INTEGER, data TEXT, other BLOB)")
+    db.execute("CREATE TABLE part (id TEXT PRIMARY KEY, message_id TEXT, data TEXT)")
+    db.executemany("INSERT INTO session VALUES (?, ?, ?, ?, ?)", sessions)
+    db.executemany("INSERT INTO message VALUES (?, ?, ?, ?, NULL)", messages)
+    db.executemany("INSERT INTO part VALUES (?, ?, ?)", parts)
+    db.commit()
+    db.close()
+
+
+def test_chat_stores(spark, tmp_path, monkeypatch):
+    good, bad = tmp_path / "chat.db", tmp_path / "bad.db"
+    messages = [(f"m{i:03}", "s1", i, json.dumps({"role": "user" if i % 2 else "assistant"})) for i in range(40)]
+    parts = [(f"p{i:03}", f"m{i:03}", json.dumps({"type": "text", "text": f"message number {i}"})) for i in range(40)]
+    chat_file(good, [("s1", "talk", "/w", 50, None), ("s2", "old", "/x", 40, None), ("s3", "gone", "/w", 90, 1), ("s4", None, "/w", 95, None)], messages, parts)
+    bad.write_text("this is no database, only a text that is long enough to be one" * 20)
+    assert chatdb.chat_stores({"OPENCODE_DB": str(bad), "OPENCODE_DB_LOCAL": str(good)}, str(tmp_path)) == [str(bad), str(good)]
+    assert chatdb.chat_stores({"OPENCODE_DB": str(tmp_path / "none")}, str(tmp_path)) == []
+    table = chatdb.chat_table(spark, str(good), "message", rows_per_task=7)
+    assert table.rdd.getNumPartitions() == 6 and table.columns == ["id", "session_id", "time_created", "data"]
+    assert sorted(map(tuple, table.collect())) == sorted(messages)
+    with pytest.raises(ValueError, match="session has no column"):
+        session.list_sessions([chatdb.chat_table(spark, str(bad), "session")])
+    monkeypatch.setenv("HOME", str(tmp_path))
+    monkeypatch.setenv("OPENCODE_DB", str(good))
+    run = lambda *a: cli.run(spark, ["--db", f"file://{tmp_path}/db", *a], 100)
+    assert [(r["id"], r["time_updated"]) for r in run("sessions")] == [("s1", 50), ("s2", 40)]
+    assert [r["id"] for r in run("sessions", "--dir", "/x/")] == ["s2"]
+    want = {"session_id": "s1", "messages": 20, "new_docs": 20, "deduplicated": 0, "skipped": 0}
+    assert run("sync-latest") == {"found": True, **want}
+    assert run("sync-session", "s1") == want | {"new_docs": 0, "deduplicated": 20}
+    assert run("doc-stats")[0]["documents"] == 20 and run("sync-latest", "--dir", "/nowhere") == {"found": False}
+    # a broken store does not hide a good one
+    monkeypatch.setenv("OPENCODE_DB", str(bad))
+    monkeypatch.setenv("OPENCODE_DB_LOCAL", str(good))
+    assert run("sync-session", "s1", "--limit", "3")["messages"] == 3
+    with pytest.raises(LookupError, match="no such session"):
+        run("sync-session", "zz")
+
+
 LOG = [
     '{"session":"session-number-one","ts":1,"content":"hello there"}',
     "",
