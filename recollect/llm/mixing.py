@@ -28,6 +28,9 @@ ROWS_PER_DOMAIN = 2000
 #: Words that speak for a domain, at most, and the share of the domain's
 #: documents that has each at least.
 WORDS_PER_DOMAIN, CUE_SHARE = 64, 0.02
+#: Upper edges of the bins of the share of a domain's cue words among a
+#: document's different words: a long text has some by chance.
+CUE_EDGES = (0, 0.003, 0.01)
 #: Upper edges of the features' bins.
 EDGES = {"upper": (0.005, 0.03, 0.1, 0.3), "symbol": (0.001, 0.01, 0.05, 0.15), "distinct": (0.2, 0.4, 0.6, 0.8, 0.95), "size": (20, 100, 400, 1600)}
 
@@ -55,16 +58,19 @@ def features(text: Column, cues: list[list[str]]) -> Column:
     chars = F.greatest(F.length(text), F.lit(1))
 
     def of(w: Column) -> Column:
+        return _let(F.array_distinct(w), lambda u: both(w, u))
+
+    def both(w: Column, u: Column) -> Column:
         # white space at an end leaves an empty entry there, no text leaves one
         ends = (F.get(w, F.lit(0)) == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
         n = F.size(w) - ends
         value = {
             "upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / chars,
             "symbol": F.regexp_count(text, F.lit("[#*$%&|<>!]")) / chars,
-            "distinct": F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)),
+            "distinct": F.size(u) / F.greatest(F.size(w), F.lit(1)),
             "size": n,
         }
-        said = [F.when(F.arrays_overlap(w, F.array(*map(F.lit, words))), 1).otherwise(0) if words else F.lit(0) for words in cues]
+        said = [_bin(F.size(F.array_intersect(u, F.array(*map(F.lit, words)))) / F.size(u), CUE_EDGES) if words else F.lit(0) for words in cues]
         return F.struct(n.cast("long").alias("n"), F.array(*(_bin(v, EDGES[k]) for k, v in value.items()), *said).alias("f"))
 
     return _let(F.split(text, WORDS), of)
@@ -136,7 +142,7 @@ def _classifier(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> M
         top = words.where((F.col(f"d{i}") >= max(3, CUE_SHARE * mine)) & (inside > 4 * outside)).orderBy(gain.desc(), "w").limit(WORDS_PER_DOMAIN)
         cues[d] = [r.w for r in top.select("w").collect()]
     cues = [cues[d] for d in domains]
-    bins = [len(e) + 1 for e in EDGES.values()] + [2] * len(cues)
+    bins = [len(e) + 1 for e in EDGES.values()] + [len(CUE_EDGES) + 1] * len(cues)
     seen = sample.select("domain", F.posexplode(features(F.col("text"), cues)["f"]).alias("f", "b"))
     count = {(r.domain, r.f, r.b): r["count"] for r in seen.groupBy("domain", "f", "b").count().collect()}
     tables = [[[math.log((count.get((d, j, b), 0) + 1.0) / (size.get(d, 0) + n)) for b in range(n)] for d in domains] for j, n in enumerate(bins)]
