@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from recollect.llm import exact_dedup, golomb, mixing, packing, quality, repetition, secrets, simhash, substring_dedup, token_counts, url_filter
+from recollect.llm import exact_dedup, golomb, mixing, near_copies, packing, quality, repetition, secrets, simhash, substring_dedup, token_counts, url_filter
 from recollect.llm.components import components
 from recollect.llm.llm_queries import vocabulary
 
@@ -534,3 +534,71 @@ def test_pipeline(spark, tmp_path):
     same(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect(), left.select("doc_id", "piece", "length", "ids_crc32").collect())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def near_texts():
+    """Texts of one group by Jaccard 0.8, most of whose links exceed three bits."""
+    rng = random.Random(8)
+    say = lambda k: [f"v{rng.randrange(900)}" for _ in range(k)]
+    passage, out = say(40), []
+    for k in (20, 60, 150, 400):
+        for _ in range(6):
+            base = say(k) + passage[: k // 3]
+            out.append(base)
+            for changes in (1, 2, 3, k // 40, k // 25):
+                x = list(base)
+                for at in rng.sample(range(len(x)), changes):
+                    x[at] = "new" + str(rng.randrange(99))
+                out.append(x)
+            out.append(base[: len(base) * 8 // 10])
+            out.append(base + say(len(base) // 5))
+    return [" ".join(x) for x in out]
+
+
+def shingle_set(t):
+    w = words((t or "").translate(LOW))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_are_exact(spark):
+    t = list(dict.fromkeys(near_texts()))
+    rng = random.Random(1)
+    rows = [(i, x.upper() if i % 3 == 0 else x, "x", "y") for i, x in enumerate(t)]
+    rows += [(None, "no id " + t[-1], "x", "y"), (None, "unlike " + " ".join(f"z{i}" for i in range(30)), "x", "y"), (None, "", "x", "y"), (1, "other text of a repeated id " + t[20][:30], "x", "y")]
+    rng.shuffle(rows)
+    sets = [shingle_set(r[1]) for r in rows]
+    alike = lambda i, j: bool(words(rows[i][1])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    root = brute_components(range(len(rows)), alike)
+    first = {}
+    for i, r in enumerate(rows):
+        k = (r[0] is None, r[0] or 0, i)
+        first[root[i]] = min(first.get(root[i], k), k)
+    far = [(i, j) for i in range(len(rows)) for j in range(i) if alike(i, j) and (brute_print(rows[i][1]) ^ brute_print(rows[j][1])).bit_count() > 3]
+    assert len(far) > 50 and len(rows) > len(first) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string, x string").repartition(3)
+    same([r[:2] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()], [rows[i][:2] for *_, i in first.values()])
+
+
+def test_pipeline_with_near_copies(spark, tmp_path):
+    d, labels, rows = labelled(spark)
+    extra = [(1000 + i, t.upper() if i % 2 else t, "x", "y") for i, t, _, _ in rows[:20]]
+    extra += [(3000 + i, rows[i][1] + " one more", "x", "y") for i in range(0, 40, 4)]
+    extra += [(2000, "again " * 100, "x", "y"), (2001, "", "x", "y"), (2002, None, "x", "y"), (None, "no id " + rows[0][1], "x", "y"), (2003, rows[5][1], None, None), (2003, rows[5][1], None, None)]
+    table = d.unionByName(spark.createDataFrame(extra, d.schema))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    left = table
+    for name, stage in corpus_pipeline.STAGES:
+        before, left = left, stage(spark, left, str(tmp_path)).cache()
+        if name == "near dedup":
+            texts = [r.text for r in before.collect()]
+            sets = {t: shingle_set(t) for t in texts}
+            root = brute_components(texts, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+            assert Counter(root[r.text] for r in left.collect()) == Counter(set(root.values()))
+            assert len(texts) > len(set(root.values()))
+        if name != "packing":
+            assert left.columns == table.columns
+    check_layout(left.collect())
+    same(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect(), left.select("doc_id", "piece", "length", "ids_crc32").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
