@@ -76,6 +76,10 @@ def features(text: Column, cues: list[list[str]]) -> Column:
     return _let(F.split(text, WORDS), of)
 
 
+#: The domain whose documents a draw can keep for sure.
+SURE_DOMAIN = "clean"
+
+
 @dataclass
 class MixingModel:
     """What a rate needs: cue words, log tables, and the steps taken."""
@@ -113,6 +117,13 @@ class MixingModel:
 
         return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in self.steps)), F.lit(1.0), step)
 
+    def drawn(self, p: Column, sure: float) -> Column:
+        """The rate that a draw uses: 1 where ``SURE_DOMAIN`` leads and the rate is ``sure`` or more."""
+        if SURE_DOMAIN not in self.domains:
+            return self.rate(p)
+        leads = F.array_position(p, F.array_max(p)) == self.domains.index(SURE_DOMAIN) + 1
+        return _let(self.rate(p), lambda r: F.when(leads & (r >= sure), F.lit(1.0)).otherwise(r))
+
 
 def _classifier(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> MixingModel:
     """Naive Bayes over binned measures and cue words of the labelled rows."""
@@ -156,8 +167,12 @@ def measured(docs: DataFrame, cues: list[list[str]]) -> DataFrame:
     return written(x.select("doc_id", "x.n", "x.f"), "features")
 
 
-def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], of_own: bool = False, ridge: float = 0.01, most: float | None = None, rounds: int = 24) -> MixingModel:
-    """Projected gradient on ``measured`` rows; the steps go into the model."""
+def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], of_own: bool = False, ridge: float = 0.01, most: float | None = None, rounds: int = 24, sure: float | None = None) -> MixingModel:
+    """Projected gradient on ``measured`` rows; the steps go into the model.
+
+    With ``sure`` the totals are those of ``drawn`` rates, so the other
+    documents make up for those that stay for sure.
+    """
     k = len(model.domains)
     # documents alike in their bins have equal posteriors, hence equal rates
     table = table.groupBy("f").agg(F.sum("n").cast("double").alias("n"))
@@ -176,7 +191,7 @@ def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], o
     model.step_size = float(1 / (np.linalg.eigvalsh(half[:, None] * m * half[None, :]).max() + ridge))
     model.ridge, model.most = ridge, most
     for _ in range(rounds):
-        rated = table.select("n", "p", model.rate(F.col("p")).alias("r"))
+        rated = table.select("n", "p", (model.rate(F.col("p")) if sure is None else model.drawn(F.col("p"), sure)).alias("r"))
         got = rated.agg(*(F.sum(F.col("n") * a * F.col("r")) for a in at)).first()
         model.steps.append((weight * (np.array(got, float) / whole - goal)).tolist())
     return model
@@ -212,12 +227,13 @@ def resample(docs: DataFrame, model: MixingModel, sure: float = 1.0, seed: int =
     """Rows of ``docs`` drawn at their rates (at most 1), columns unchanged.
 
     A row stays when a uniform number from the hash of its id is below its
-    rate over ``sure``: from that rate on it always stays, at rate 0 never.
-    A rerun draws the same rows; those of one id share their lot.
+    rate, at rate 0 never; one that ``SURE_DOMAIN`` leads stays for sure from
+    the rate ``sure`` on.  A rerun draws the same rows; those of one id share
+    their lot.
     """
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
-    rate = _let(features(F.col("text"), model.cues), lambda x: _let(model.posteriors(x["f"]), model.rate))
-    return docs.where(uniform * sure < rate)
+    rate = _let(features(F.col("text"), model.cues), lambda x: _let(model.posteriors(x["f"]), lambda p: model.drawn(p, sure)))
+    return docs.where(uniform < rate)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recollect.llm import exact_dedup, golomb, mixing, near_copies, packing, quality, repetition, secrets, simhash, substring_dedup, token_counts, url_filter
@@ -602,3 +604,26 @@ def test_pipeline_with_near_copies(spark, tmp_path):
     same(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect(), left.select("doc_id", "piece", "length", "ids_crc32").collect())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_mixing_draws_the_targets(spark, tmp_path):
+    d, labels, rows = labelled(spark, 4000)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {r.doc_id for r in corpus_pipeline.mix(spark, d, str(tmp_path)).collect()}
+    size, left = Counter(), Counter()
+    for i, t, q, x in rows:
+        domain = "toxic" if x else "clean" if q else "junk"
+        size[domain] += len(words(t))
+        left[domain] += len(words(t)) * (i in ids)
+    for domain, share in corpus_pipeline.KEEP.items():
+        assert abs(left[domain] / size[domain] - share) < 0.04, domain
+
+
+def test_mixing_refits_around_what_stays(spark):
+    mixed = spark.createDataFrame([([0], 60, 0.6), ([1], 40, 0.0), ([2], 30, 0.2)], "f array<int>, n long, c double")
+    model = mixing.MixingModel(["clean", "junk"], [[], []], [0.0, 0.0], [[[math.log(c or 1e-9) for c in (0.6, 0.0, 0.2)], [math.log(1 - c) for c in (0.6, 0.0, 0.2)]]], [])
+    mixing.fit_rates(model, mixed, {"clean": 1.0, "junk": 0.6}, of_own=True, most=1.0, ridge=1e-6, sure=0.5)
+    p = model.posteriors(F.col("f"))
+    got = mixed.select("n", p.alias("p"), model.drawn(p, 0.5).alias("r")).collect()
+    assert got[0].r == 1.0
+    assert abs(sum(x.n * x.r * x.p[1] for x in got) / sum(x.n * x.p[1] for x in got) - 0.6) < 0.03
