@@ -1,7 +1,7 @@
 """Operator 1, URL filters by a path-template tree (DataFrame functions only).
 
-Per host, the segments of paths form a tree.  Level by level a branch stays
-literal only if it has support and its labelled share of bad pages differs
+Per host, the segments of paths form a tree of the paths' own depth.  Level by
+level a branch stays literal only if it has support and its labelled share of bad pages differs
 from that of its siblings' middle; every other segment becomes a wildcard,
 which merges the branches that are statistically alike.  A template is rejected when its share
 of bad labels, smoothed towards the whole table's, exceeds a limit.  Rules
@@ -39,22 +39,9 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """Segments with digit runs as ``<n>``; what lies deeper is one ``**``."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(F.slice(parts, 1, depth), lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
-    return F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
-
-
-def _template(segments: Column, literal: Column) -> Column:
-    """The path's template: wildcards but for the host's literal branches."""
-    known = F.coalesce(literal, F.array().cast("array<string>"))
-
-    def step(acc: Column, s: Column) -> Column:
-        branch = F.concat(acc, F.lit("/"), s)
-        return F.when(F.array_contains(known, branch), branch).otherwise(F.concat(acc, F.lit("/*")))
-
-    return F.aggregate(segments, F.lit(""), step)
+def _segments(path: Column) -> Column:
+    """Segments with digit runs as ``<n>``."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
 
 
 def judge_urls(
@@ -63,9 +50,7 @@ def judge_urls(
     rules=RULES,
     id_col: str = "page_id",
     url_col: str = "url",
-    depth: int = 4,
     support: int = 20,
-    share: float = 0.02,
     z: float = 2.6,
     smoothing: float = 10.0,
     reject: float = 0.5,
@@ -73,9 +58,9 @@ def judge_urls(
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     ``labels``: doc_id, quality; a page is bad where its id has quality 0
-    (any of several labels).  Branches stay literal with ``support`` pages,
-    ``share`` of their parent's, and a bad rate ``z`` standard errors from
-    the median over the siblings' labelled pages, so a host's tree has at most (1 / share) branches a level.
+    (any of several labels).  Branches stay literal with ``support`` pages
+    and a bad rate ``z`` standard errors from the median over the siblings'
+    labelled pages, however many they are and however deep.
     Null or malformed urls have empty host and path, no rule, and the method's
     verdict on the empty host like any other.  Null ids have no label.
     Repeated rows are judged each.  Other columns are not read; without labels
@@ -84,34 +69,35 @@ def judge_urls(
     host, path = host_and_path(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
-    rows = rows.join(bad, "page_id", "left").withColumn("segments", _segments(F.col("path"), depth))
+    rows = rows.join(bad, "page_id", "left").withColumn("segments", _segments(F.col("path"))).withColumn("prefix", F.lit(""))
     rows = written(rows, "urls")
     prior = rows.agg(F.avg("bad")).first()[0] or 0.0
 
     counts = (F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    literal = None
-
-    def templated(prefix: Column) -> DataFrame:
-        if literal is None:
-            return rows.withColumn("prefix", _template(prefix, F.lit(None).cast("array<string>")))
-        by_host = literal.groupBy("host").agg(F.collect_set("branch").alias("literal"))
-        return rows.join(by_host, "host", "left").withColumn("prefix", _template(prefix, F.col("literal"))).drop("literal")
-
-    for level in range(1, depth + 1):
-        at = templated(F.slice("segments", 1, level - 1)).where(F.size("segments") >= level)
-        stats = at.groupBy("host", "prefix", F.element_at("segments", level).alias("segment")).agg(*counts)
+    level = 0
+    while True:
+        level += 1
+        segment = F.get("segments", F.lit(level - 1))
+        stats = rows.where(F.size("segments") >= level).groupBy("host", "prefix", segment.alias("segment")).agg(*counts)
+        stats = written(stats, "stats")
+        # a branch below, also of a wildcard, has no more pages than its parent here
+        if stats.groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= support).isEmpty():
+            break
         own = F.when((F.col("n") >= support) & (F.col("labelled") > 0), F.try_divide(F.col("bad"), F.col("labelled")))
         stats = stats.withColumn("own_rate", own)
         middle = F.expr("percentile(own_rate, 0.5, labelled)")
-        whole = stats.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), middle.alias("middle"))
+        whole = stats.groupBy("host", "prefix").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), middle.alias("middle"))
         rate = F.coalesce("middle", F.try_divide(F.col("all_bad"), F.col("all_labelled")))
         error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-6)) / F.greatest("labelled", F.lit(1)))
         differs = (F.col("labelled") > 0) & (F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - rate) > z * error)
-        kept = stats.join(whole, ["host", "prefix"]).where((F.col("n") >= support) & (F.col("n") >= share * F.col("all_n")) & differs)
-        kept = written(kept.select("host", F.concat("prefix", F.lit("/"), "segment").alias("branch")), "branches")
-        literal = kept if literal is None else literal.unionByName(kept)
-
-    rows = templated(F.col("segments")).withColumnRenamed("prefix", "template")
+        kept = stats.join(whole, ["host", "prefix"]).where((F.col("n") >= support) & differs)
+        kept = kept.select("host", "prefix", "segment", F.concat("prefix", F.lit("/"), "segment").alias("branch"))
+        longer = rows.withColumn("segment", segment).join(kept, ["host", "prefix", "segment"], "left")
+        prefix = F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.coalesce("branch", F.concat("prefix", F.lit("/*"))))
+        rows = written(longer.withColumn("prefix", prefix).select(rows.columns), "urls")
+
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - (level - 1), F.lit(0)))
+    rows = rows.withColumn("template", F.concat("prefix", rest))
     purity = rows.groupBy("host", "template").agg(*counts).select("host", "template", ((F.col("bad") + smoothing * prior) / (F.col("labelled") + smoothing)).alias("bad_share"))
     judged = rows.join(purity, ["host", "template"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

@@ -627,3 +627,33 @@ def test_mixing_refits_around_what_stays(spark):
     got = mixed.select("n", p.alias("p"), model.drawn(p, 0.5).alias("r")).collect()
     assert got[0].r == 1.0
     assert abs(sum(x.n * x.r * x.p[1] for x in got) / sum(x.n * x.p[1] for x in got) - 0.6) < 0.03
+
+
+def test_op1_many_branches_and_deep_ones(spark):
+    urls, bad = [], set()
+    for i in range(9000):  # 90 sections of 100 pages, one bad
+        urls.append(f"http://wide.test/s{chr(97 + i % 90 // 26)}{chr(97 + i % 90 % 26)}/x/page{i}.html")
+        bad |= {i} if i % 90 == 7 else set()
+    for i in range(9000, 11000):  # branches that differ at the seventh segment only
+        kind = "abcdefghij"[i % 10]
+        urls.append(f"http://deep.test/a/b/c/d/e/f/{kind}/page{i}.html")
+        bad |= {i} if kind == "d" else set()
+    for i in range(11000, 11600):  # below first segments that are all different
+        name = "".join(chr(97 + i // 26**j % 26) for j in range(3))
+        urls.append(f"http://users.test/{name}/{'spam' if i % 4 == 0 else 'ok'}/{i}")
+        bad |= {i} if i % 4 == 0 else set()
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(len(urls)) if i % 3 < 2], "doc_id long, quality int, toxic int")
+    got = url_filter.judge_urls(pages, labels).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == bad
+    assert {r.template for r in got if r.page_id in bad} == {"/sah/*/*", "/*/*/*/*/*/*/d/*", "/*/spam/*"}
+
+
+def test_op1_many_literal_branches(spark):
+    # no bound on a level's literal branches: 110 of 240 sections differ from the middle
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(i, f"http://site.test/{name(i % 240)}/{i}") for i in range(240 * 25)]
+    labels = [(i, int(i % 240 >= 110), 0) for i, _ in rows]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all((r.verdict == "block") == (r.page_id % 240 < 110) for r in got)
+    assert len({r.template for r in got}) == 111
