@@ -1,7 +1,7 @@
 """Operator 9, secret scans with a random forest against false positives.
 
 Patterns find candidates: unbroken runs that mix letters and digits, and
-values assigned to a credential's name.  A forest trained from labelled
+whatever is assigned to a credential's name.  A forest trained from labelled
 findings decides, by the candidate's length and character transitions, how
 much of it the document's own words cover, and its path and neighbours.
 """
@@ -28,6 +28,9 @@ NAMES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"apik
 #: Beginnings of issued keys.
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb-", b"xoxp-", b"sk_live_", b"sk-", b"AIza", b"eyJ", b"glpat-")
 _RUN = re.compile(rb"(?:" + b"|".join(PREFIXES) + rb")[A-Za-z0-9_\-.]{10,}|(?=[A-Za-z0-9_\-+/=.:@]*[0-9])[A-Za-z0-9_\-+/=.:@]{10,}|(?<=[=:\"'])[A-Za-z0-9_\-+/.!@#$%^&*]{6,}")
+#: What a credential's name announces, of any characters, up to a white space,
+#: a quote or the next parameter of a query string.
+_NAMED = re.compile(rb"(?:" + b"|".join(NAMES) + rb")[A-Za-z_]{0,12}[\"']?\s{0,2}[=:]+\s{0,2}[\"']?((?:(?!&[A-Za-z_]+=)[^\s\"'])+)", re.I)
 _WORD = re.compile(rb"[A-Za-z]{3,}")
 _VALUE = re.compile(rb"^[A-Za-z_\-]{2,30}[=:]+[\"']?")
 _ASSIGNED = re.compile(rb"(?:" + b"|".join(NAMES) + rb")[A-Za-z_]{0,12}[\"']?\s{0,2}[=:]+\s{0,2}[\"']?$", re.I)
@@ -36,17 +39,32 @@ _TEST_PATH = re.compile(rb"test|example|sample|mock|doc", re.I)
 
 
 def candidates(text: bytes) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the values worth judging, in bytes, left to right."""
-    last = -1
+    """(begin, end) of the values worth judging, in bytes, left to right.
+
+    A run that holds a named value and more before it comes beside that value.
+    """
+    named = []
+    for m in _NAMED.finditer(text):
+        begin, end = _trimmed(text, *m.span(1))
+        if end - begin >= 6:
+            named.append((begin, end))
+    spans, i = list(named), 0
     for m in _RUN.finditer(text):
-        begin, end = m.span()
-        while end > begin and text[end - 1] in b".:=,":
-            end -= 1
+        begin, end = _trimmed(text, *m.span())
         if v := _VALUE.match(text[begin:end]):
             begin += v.end()
-        if end - begin >= 6 and begin > last:
-            last = end
-            yield begin, end
+        while i < len(named) and named[i][1] <= begin:
+            i += 1
+        # a run that begins within a named value is a part of it
+        if end - begin >= 6 and not (i < len(named) and named[i][0] <= begin):
+            spans.append((begin, end))
+    yield from sorted(spans)
+
+
+def _trimmed(text: bytes, begin: int, end: int) -> tuple[int, int]:
+    while end > begin and text[end - 1] in b".:=,":
+        end -= 1
+    return begin, end
 
 
 def features(text: bytes, begin: int, end: int, words: set[bytes], path: bytes) -> list[float]:
@@ -98,7 +116,7 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> list[tuple[str, str, str,
     for i in range(n):
         before, after, path = say() + " ", " " + say(), rng.choice(["", "src0", "app/config", "docs/example", "tests/data"])
         if i % 2:
-            form = rng.randrange(7)
+            form = rng.randrange(9)
             if form == 0:
                 value = rng.choice(["AKIA", "ASIA"]) + pick(up, 16)
             elif form == 1:
@@ -111,10 +129,14 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> list[tuple[str, str, str,
                 value, before = pick(both, rng.randint(12, 40)), before + name() + rng.choice(["=", ": ", " = "])
             elif form == 5:
                 value = "eyJ" + pick(both, 30) + "." + pick(both, 40)
-            else:
+            elif form == 6:
                 value = "AIza" + pick(both + "_-", 35)
+            elif form == 7:
+                value, before = pick(both[:52], rng.randint(10, 32)), before + name() + rng.choice(["=", ": ", " = ", ' = "'])
+            else:
+                value, before = pick(both + both + "!@#$%^*", rng.randint(8, 20)), before + name() + rng.choice(["=", ": ", " = ", ': "'])
         else:
-            form = rng.randrange(11)
+            form = rng.randrange(13)
             digits = "0123456789"
             if form == 0:
                 value = ".".join(str(rng.randint(0, 255)) for _ in range(4))
@@ -136,6 +158,11 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> list[tuple[str, str, str,
                 value = f"www.{word()}.example.com/{word()}/{rng.randint(1, 9999)}.html"
             elif form == 9:
                 value = f"+{rng.randint(1, 99)}-{pick(digits, 3)}-{pick(digits, 4)}-{pick(digits, 3)}"
+            elif form == 10:
+                # prose after a name, mostly of words that the text has too
+                value, before = "".join(rng.choice(syllables) for _ in range(rng.randint(3, 6))), before + name() + rng.choice([": ", " = ", "="])
+            elif form == 11:
+                value, before = rng.choice(["required", "Optional", "None,", "undefined", "********", "<password>", "${SECRET}", "xxxxxxxx", "your-token-here", "changeme"]), before + name() + rng.choice([": ", " = ", "="])
             else:
                 value = f"{word()}{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}-{word()}"
         rows.append((before, value, after, path, i % 2))

@@ -657,3 +657,18 @@ def test_op1_many_literal_branches(spark):
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert all((r.verdict == "block") == (r.page_id % 240 < 110) for r in got)
     assert len({r.template for r in got}) == 111
+
+
+def test_op9_named_values_are_candidates(spark):
+    values = ["hunter2", "QwErTyUiOpAsDf", "kJhGfDsAqWeRtY", "p@ss!w0rd#2024", "geheimes-Würfelwort", "abcdefgh12!xyz"]
+    for v in values:
+        for name in ("password", "secret", "Token", "api_key"):
+            for mark in (": ", " = ", "=", ":", "  :  ", ' = "', "': '"):
+                text = f"the {name}{mark}{v} x".encode()
+                assert [text[a:z].decode() for a, z in secrets.candidates(text)] == [v]
+    text = b"password: short token=abcdef123456&user=me00000000 secret = aB, pwd='' id 1234567890 password: QwErTy."
+    assert [text[a:z] for a, z in secrets.candidates(text)] == [b"abcdef123456", b"me00000000", b"1234567890", b"QwErTy"]
+    model = secrets.train(spark)
+    rows = [(i, f"on the river {n} {v} and trees") for i, (n, v) in enumerate([("secret =", values[1]), ("token =", values[2]), ("password:", values[3]), ("the token:", "something"), ("password:", "required")])]
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.is_secret for r in got} == {0: True, 1: True, 2: True, 3: False, 4: False}
