@@ -68,13 +68,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Stored bytes of input that a block of documents holds at most, about.
+BLOCK_INPUT = 256 << 20
 
 
-def block_of(id_col: str, blocks: int) -> Column:
-    """A block number that depends on the id alone, so a rerun gives the same."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+def n_parts(spark: SparkSession, over: DataFrame | None = None) -> int:
+    """Partitions for a shuffle: the session's number, and for the blocks of
+    ``over`` as many more as its size in bytes asks for, since a task holds
+    the fingerprints of a whole block."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if over is None:
+        return parts
+    leaves = over._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a leaf without statistics says nearly 2**63
+    return max(parts, -(-sum(x for x in sizes if x < 1 << 60) // BLOCK_INPUT))
+
+
+def block_of(blocks: int, *cols: str) -> Column:
+    """A block number that depends on the columns alone, so a rerun gives the same."""
+    return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
 
 
 def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -125,10 +138,6 @@ def sha256_hex(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
 
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def in_slices(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded size from tuples in the order of ``schema``."""
     held, held_bytes = [], 0

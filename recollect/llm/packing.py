@@ -5,7 +5,7 @@ Each partition packs its pieces best-fit decreasing and compares its bin count
 with a lower bound from dual feasible functions.  Partitions that meet their
 bound are final but for their emptiest sequence.  Its documents and all those
 of the other partitions are dealt anew, to fewer partitions, and packed again,
-until nothing is left over or the rounds are through.
+until nothing is left over or what is left no longer fits fewer partitions.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import block_of, bytes_of, in_slices, n_parts, written
+from recollect.llm.common import bytes_of, in_slices, n_parts, written
 
 END_ID = 0
 CAPACITY = 2048
@@ -34,10 +35,8 @@ _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ſ]*")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _ranks(vocabulary: str) -> dict[bytes, int] | None:
+def _ranks(model: dict) -> dict[bytes, int] | None:
     """Byte strings by merge rank, if the file's ids are in merge order."""
-    with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -53,23 +52,30 @@ class Tokens:
     """Ids of texts as little-endian 32-bit bytes, as the library gives them.
 
     Plain texts are encoded by tiktoken from the same vocabulary, three times
-    as fast as the library; tests hold the two against each other.
+    as fast as the library; tests hold the two against each other.  A special
+    token's name within a text is that token, as is the library's default, or
+    with ``spelled`` ordinary characters.
     """
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, spelled: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = spelled
+        with open(vocabulary, encoding="utf-8") as f:
+            file = json.load(f)
+        self.names = [t["content"] for t in file.get("added_tokens") or () if not (spelled and t.get("special"))]
+        #: One more than the largest id.
+        self.size = 1 + max([*file["model"]["vocab"].values(), *(t["id"] for t in file.get("added_tokens") or ())])
         self.fast = None
-        if ranks := _ranks(vocabulary):
+        if not file.get("normalizer") and (ranks := _ranks(file["model"])):
             import tiktoken
 
             self.fast = tiktoken.Encoding("from-file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         for t in texts:
-            if self.fast and _PLAIN.fullmatch(t):
+            if self.fast and _PLAIN.fullmatch(t) and not any(n in t for n in self.names):
                 ids = self.fast.encode_ordinary(t)
             else:
                 ids = self.library.encode(t, add_special_tokens=False).ids
@@ -90,14 +96,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(vocabulary: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last = Tokens(vocabulary), np.array([end_id], "<u4").tobytes()
+        # a number for each row, so that equal rows are dealt to different partitions
+        nth = TaskContext.get().partitionId() << 40
 
         def rows():
+            nonlocal nth
             for batch in batches:
                 texts = [(b or b"").decode("utf-8", "replace") for b in bytes_of(batch, "text")]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.of(texts)):
                     ids += last
                     for i, (start, size) in enumerate(cut(len(ids) // 4, capacity)):
-                        yield doc_id, 0, i, start, size, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)])
+                        yield doc_id, nth, i, start, size, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)])
+                    nth += 1
 
         yield from in_slices(rows(), _PIECE)
 
@@ -184,28 +194,30 @@ def _pack(capacity: int, final: bool):
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 3) -> DataFrame:
-    """Add sequence_id and offset to pieces of at most ``capacity``."""
-    spark = pieces.sparkSession
-    parts = n_parts(spark)
-    now = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
-    done = []
-    for r in range(rounds):
-        final = r == rounds - 1 or parts == 1
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to pieces of at most ``capacity``.
+
+    Equal pieces are told apart by ``nth``.  A round's open pieces go on to a
+    quarter of its partitions; the last round is the one in a single
+    partition, or the first that could not be dealt to fewer.
+    """
+    parts = n_parts(pieces.sparkSession, pieces)
+    deal = lambda r: F.pmod(F.xxhash64("doc_id", "nth", "piece", "ids_crc32", F.lit(r)), F.lit(parts)).cast("int")
+    now, done, r, final = pieces.withColumn("part", deal(0)), [], 0, parts == 1
+    while True:
         packed = written(now.repartition(parts, "part").mapInArrow(_pack(capacity, final), PACKED_DDL), f"packed{r}")
         done.append(packed.where("not open").withColumn("round", F.lit(r)))
-        if final:
-            break
         left = packed.where("open")
-        n = left.count()
+        n = 0 if final else left.count()
         if not n:
             break
-        parts = min(parts, max(1, parts // 4, -(-n // ROUND_PIECES)))
-        now = left.select(*_PIECE.names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)).cast("int").alias("part"))
+        fewer = min(parts, max(1, parts // 4, -(-n // ROUND_PIECES)))
+        final, parts, r = fewer == 1 or fewer == parts, fewer, r + 1
+        now = left.select(*_PIECE.names, deal(r).alias("part"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    sequence = (F.col("round").cast("long") * (1 << 60)) + F.shiftleft(F.col("part").cast("long"), 36) + F.col("bin")
+    sequence = F.shiftleft(F.col("round").cast("long"), 56) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
 
 

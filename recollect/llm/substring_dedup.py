@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import WordHash, block_of, bytes_of, in_slices, n_parts, sha256_hex, windows, written
+from recollect.llm.common import WordHash, block_of, bytes_of, in_slices, mix, n_parts, sha256_hex, windows, written
 from recollect.llm.golomb import decode, exchange
 
 #: Words of reference text an automaton holds before a new shard is begun.
@@ -103,11 +103,14 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, k: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window, and the keys of all anchor places."""
+    """The anchor of each window, and the keys of all anchor places.
+
+    Minima crowd at low values; mixed once more they are even over the owners.
+    """
     g, w = windows(h, gram), k - gram + 1
     least = _slide(g, w, np.minimum)
     pad = np.zeros(w - 1, np.uint64)
-    return least, g[_slide(np.concatenate([pad, least, pad]), w, np.maximum) == g]
+    return mix(least), mix(g[_slide(np.concatenate([pad, least, pad]), w, np.maximum) == g])
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -250,11 +253,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for documents that lost some (null: nothing was removed).
     """
     spark = docs.sparkSession
-    parts = n_parts(spark)
+    parts = n_parts(spark, docs)
     blocks = 4 * parts
     none = lambda kind: F.lit(None).cast(kind)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("block", block_of("doc_id", blocks))
+    rows = rows.withColumn("block", block_of(blocks, "doc_id", "text"))
     twice = exchange(rows.mapInArrow(_send_anchors(k, gram), KEYS_DDL), parts, as_keys=True)
 
     def joined(replies: DataFrame, texts: DataFrame) -> DataFrame:

@@ -31,10 +31,17 @@ _FLAT = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("payload", pa.b
 FLAT_DDL = "file long, block long, payload binary, doc_ids array<long>, first_ordinal long"
 
 
-def _write_flat(vocabulary: str, end_id: int, block_bytes: int):
+def width_of(vocabulary: str, end_id: int = END_ID) -> int:
+    """Bytes of an id: 2 where all ids of the vocabulary fit, else 4."""
+    return 2 if max(Tokens(vocabulary, spelled=True).size, end_id + 1) <= 1 << 16 else 4
+
+
+def _write_flat(vocabulary: str, end_id: int, block_bytes: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = Tokens(vocabulary), np.array([end_id], "<u2").tobytes()
+        tokens, last = Tokens(vocabulary, spelled=True), np.array([end_id], f"<u{width}").tobytes()
         file = TaskContext.get().partitionId()
+        if max(tokens.size, end_id + 1) > 1 << 8 * width:
+            raise ValueError(f"the vocabulary's {tokens.size} ids do not fit {width} bytes")
 
         def rows():
             held, block, ordinal = bytearray(), 0, 0
@@ -42,7 +49,7 @@ def _write_flat(vocabulary: str, end_id: int, block_bytes: int):
                 ids = batch.column("doc_id").to_pylist()
                 texts = [(b or b"").decode("utf-8", "replace") for b in bytes_of(batch, "text")]
                 for got in tokens.of(texts):
-                    held += np.frombuffer(got, "<u4").astype("<u2").tobytes() + last
+                    held += np.frombuffer(got, "<u4").astype(f"<u{width}").tobytes() + last
                     while len(held) >= block_bytes:
                         yield file, block, bytes(held[:block_bytes]), None, None
                         del held[:block_bytes]
@@ -57,24 +64,46 @@ def _write_flat(vocabulary: str, end_id: int, block_bytes: int):
     return run
 
 
-def flat_token_blocks(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Flat 16-bit token files of documents, as a table of raw blocks.
+def flat_token_blocks(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES, width: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Flat token files of documents, ``width`` bytes an id, as a table of raw blocks.
 
     Returns (blocks: file, block, payload) and (order: file, ordinal, doc_id),
     the order in which documents were laid down.  Both come from one written
     table, so a rerun of later stages sees the same files.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flat = written(rows.mapInArrow(_write_flat(vocabulary, end_id, block_bytes), FLAT_DDL), "flat")
+    flat = written(rows.mapInArrow(_write_flat(vocabulary, end_id, block_bytes, width), FLAT_DDL), "flat")
     order = flat.where(F.col("doc_ids").isNotNull()).select("file", "first_ordinal", F.posexplode("doc_ids").alias("nth", "doc_id"))
     return flat.where(F.col("payload").isNotNull()).select("file", "block", "payload"), order.select("file", (F.col("first_ordinal") + F.col("nth")).alias("ordinal"), "doc_id")
 
 
-def read_flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of raw token files at ``path`` (each below 2 GB, Spark's limit)."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
+def read_flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, whole: int = 1 << 30) -> DataFrame:
+    """Blocks (file, block, payload) of raw token files at ``path``, of any length.
+
+    Files of up to ``whole`` bytes are read as one and cut; longer ones by
+    fixed-length records, which are split across tasks: a record is the
+    longest divisor of the file's length up to ``block_bytes``, so a length
+    without divisors reads slowly, but whole.  ``file`` is the path's hash.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = [(s.getPath().toString(), s.getLen()) for s in at.getFileSystem(conf).globStatus(at) or () if s.isFile()]
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole).select(F.xxhash64("path").alias("file"), "content")
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / block_bytes))).alias("block")
-    return files.select("file", "content", cuts).select("file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("payload"))
+    out = files.select("file", "content", cuts).select("file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("payload"))
+    for name, size in found:
+        if size > whole:
+            record = next(n for n in range(min(block_bytes, size), 0, -1) if size % n == 0)
+            read = spark.sparkContext.newAPIHadoopFile(
+                name,
+                "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat",
+                "org.apache.hadoop.io.LongWritable",
+                "org.apache.hadoop.io.BytesWritable",
+                conf={"fixedlengthinputformat.record.length": str(record)},
+            )
+            blocks = spark.createDataFrame(read.map(lambda kv, n=record: (kv[0] // n, bytes(kv[1]))), "block long, payload binary")
+            out = out.unionByName(blocks.select(F.xxhash64(F.lit(name)).alias("file"), "block", "payload"))
+    return out
 
 
 _SEEN = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("separators", pa.list_(pa.int64()))])
@@ -136,8 +165,10 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2, tail
 def document_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens) of every row, by writing flat files and scanning them.
 
-    A null or empty text has no tokens.  Null ids and repeated rows get rows
+    A special token's name within a text counts as the characters it is
+    spelled with.  A null or empty text has no tokens.  Null ids and repeated rows get rows
     of their own; other columns are not read; an empty table gives no rows.
     """
-    blocks, order = flat_token_blocks(docs, vocabulary)
-    return order.join(separator_scan(blocks, tails=False), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    width = width_of(vocabulary)
+    blocks, order = flat_token_blocks(docs, vocabulary, width=width)
+    return order.join(separator_scan(blocks, width=width, tails=False), ["file", "ordinal"]).select("doc_id", "n_tokens")
