@@ -26,19 +26,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return new.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node.
 
-    Each round's edges are a written table, so a lost executor costs a round
+    The steps settle in a number of rounds that grows with the logarithm of a
+    component's size, whatever its shape.  Each round's edges are a written table, so a lost executor costs a round
     at most; the driver sees two sums a round.  Self-links are ignored.
     """
     u, v = F.greatest(a, b), F.least(a, b)
     now = written(edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == before or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(seen)
         now = written(_star(_star(now, True), False), "edges")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

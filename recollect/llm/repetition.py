@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import BASE, WordHash, bytes_of
+from recollect.llm.common import WordHash, bytes_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -69,31 +69,48 @@ def suffix_order(h: np.ndarray, end: np.ndarray) -> np.ndarray:
         size *= 2
 
 
+#: Moduli and bases of the prefix hashes: primes, as sums modulo a power of two
+#: are equal for different spans of texts like Thue and Morse's.
+MODULI = ((2147483647, 1290021943), (2147483629, 852731659))
+
+
+def _prefix_sums(h: np.ndarray, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and sums of h[i] * base**i, modulo ``prime``."""
+    n, p = len(h), np.uint64(prime)
+    power = np.ones(n + 1, np.uint64)
+    size = 1
+    while size <= n:
+        part = power[size : 2 * size]
+        part[:] = power[: len(part)] * np.uint64(pow(base, size, prime)) % p
+        size *= 2
+    total = np.zeros(n + 1, np.uint64)
+    # a block's sum of terms below 2**31 stays below 2**64
+    np.cumsum(h % p * power[:-1] % p, out=total[1:])
+    return power, total % p
+
+
 def common_prefix(h: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Longest common prefix of the suffixes a and b of one document each.
 
-    Doubling by ranks of the words' rolling hashes: a binary search over the
-    length for all pairs at once.
+    A binary search over the length for all pairs at once, by hashes of spans.
     """
-    n = len(h)
-    power = np.ones(n + 1, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        power[1:] = np.cumprod(np.full(n, BASE, np.uint64))
-        # sum of h[i] * BASE**i; equal spans agree after scaling to one offset
-        total[1:] = np.cumsum(h * power[:-1])
-        low = np.zeros(len(a), np.int64)
-        high = np.minimum(end[a] - a, end[b] - b)
-        x, y = np.minimum(a, b), np.maximum(a, b)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            i, j = x[open_], y[open_]
-            mid = (low[open_] + high[open_] + 1) // 2
-            same = (total[i + mid] - total[i]) * power[j - i] == total[j + mid] - total[j]
-            low[open_] = np.where(same, mid, low[open_])
-            high[open_] = np.where(same, high[open_], mid - 1)
+    sums = [(np.uint64(p), *_prefix_sums(h, p, base)) for p, base in MODULI]
+    low = np.zeros(len(a), np.int64)
+    high = np.minimum(end[a] - a, end[b] - b)
+    x, y = np.minimum(a, b), np.maximum(a, b)
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        i, j = x[open_], y[open_]
+        mid = (low[open_] + high[open_] + 1) // 2
+        same = np.ones(len(open_), bool)
+        for p, power, total in sums:
+            # equal spans agree after scaling to one offset
+            left = (total[i + mid] + p - total[i]) % p * power[j - i] % p
+            same &= left == (total[j + mid] + p - total[j]) % p
+        low[open_] = np.where(same, mid, low[open_])
+        high[open_] = np.where(same, high[open_], mid - 1)
 
 
 def longest_repeats(h: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:

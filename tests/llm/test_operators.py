@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -115,12 +116,26 @@ def test_op3(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_op3_without_broadcast(docs, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 16, 64, 8])
+def test_op3_with_a_filter_of_any_size(docs, bits, monkeypatch):
     want = exact_dedup.exact_dedup(docs).collect()
-    monkeypatch.setattr(exact_dedup, "BROADCAST_FINGERPRINTS", 0)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "CHUNK_BITS", 16)
     same(exact_dedup.exact_dedup(docs).collect(), want)
 
 
+def test_op3_sends_suspects_only(spark):
+    rows = [(i, f"text {i} of its own") for i in range(3000)] + [(5000 + i, "one of two " + str(i // 2)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shas = [hashlib.sha256(t.encode()).digest() for _, t in rows]
+    held = exact_dedup.suspect_filter(spark.createDataFrame([(x,) for x in set(shas[3000:])], "sha binary"))
+    sent = docs.mapInArrow(exact_dedup._with_text(held), "sha binary, body binary, doc_id long")
+    assert {r.doc_id for r in sent.collect()} >= {i for i, _ in rows[3000:]} and sent.count() < 40
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    # texts meet by an aggregate over what the filter left; no join carries them
+    assert not re.search(r"Join.*body", plan)
+
+
 @pytest.mark.parametrize("k,gram,shard", [(35, 16, 200_000), (35, 16, 50), (8, 4, 200_000), (5, 5, 30)])
 def test_op2(docs, rows, empty, k, gram, shard, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
@@ -258,6 +273,23 @@ def test_op10(docs, rows, empty):
     assert repetition.quality_rules(empty).count() == 0 and repetition.passing(empty).count() == 0
 
 
+def test_op10_prefixes_of_structured_texts():
+    # sums modulo 2**64 are equal for the two halves of such a text from 1024 words on
+    thue = np.array([bin(i).count("1") & 1 for i in range(4096)])
+    for h in (np.where(thue, np.uint64(3), np.uint64(2**63 + 11)), np.zeros(3000, np.uint64), np.arange(3000).astype(np.uint64) % 7):
+        h = h.astype(np.uint64)
+        n = len(h)
+        rng = np.random.default_rng(1)
+        a, b = rng.integers(0, n, 300), rng.integers(0, n, 300)
+        a, b = np.concatenate([a[a != b], [0, 0]]), np.concatenate([b[a != b], [n // 2, 1]])
+        want = []
+        for i, j in zip(a.tolist(), b.tolist()):
+            m = min(n - i, n - j)
+            off = np.flatnonzero(h[i : i + m] != h[j : j + m])
+            want.append(int(off[0]) if len(off) else m)
+        assert repetition.common_prefix(h, np.full(n, n), a, b).tolist() == want
+
+
 def test_op10_counts(spark):
     t = "a# b*\n \nxx |\na# b*\n<é> &%$\n"
     r = repetition.quality_rules(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
@@ -269,7 +301,9 @@ def test_op4(spark, docs, rows, empty):
 
     path = vocabulary(spark)
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
+    odd = [(9000, "a<|endoftext|>b"), (9001, "<|endoftext|>" * 3), (9002, "x <|endoftext|> " * 1200), (9003, "<|endoftext |>"), (9000, "a<|endoftext|>b")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [*rows, *odd]
     want = Counter()
     for r in rows:
         ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -304,6 +338,7 @@ def test_op4_near_the_bound(spark, seed):
     df = spark.createDataFrame([(i, 0, 0, 0, int(s), i) for i, s in enumerate(sizes)], packing.PIECE_DDL)
     got = packing.pack_pieces(df).collect()
     check_layout(got)
+    assert Counter(r.doc_id for r in got) == Counter(range(3000))
     assert len(got) == 3000
     bound = packing.lower_bound(sizes, 2048)
     assert bound <= len({r.sequence_id for r in got}) <= bound * 1.01 + 2
@@ -324,8 +359,9 @@ def any_fit(sizes, room):
     return any(room[i] >= sizes[0] and any_fit(sizes[1:], [r - sizes[0] * (j == i) for j, r in enumerate(room)]) for i in range(len(room)) if room[i] not in room[:i])
 
 
-def test_tokens_equal_the_library(spark):
-    t = packing.Tokens(vocabulary(spark))
+@pytest.mark.parametrize("spelled", [False, True])
+def test_tokens_equal_the_library(spark, spelled):
+    t = packing.Tokens(vocabulary(spark), spelled)
     odd = ["a b  c\n\n d", "x²³ Ⅷ 日本語 'll don't  ", "  ", "\n", "a'sb 's", "!!'s ''s", "\x1c a \x85 b", "it's  12a _b__ ", "", "<|endoftext|> x", "a" * 3000, "\t\t x \u00a0 y", "é'ß Ünï"]
     assert t.fast is not None
     assert list(t.of(odd)) == [np.array(t.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
@@ -342,6 +378,20 @@ def test_op6(spark, docs, rows, empty):
     assert token_counts.document_token_counts(empty, path).count() == 0
 
 
+def test_op6_wide_vocabularies(spark, docs, tmp_path):
+    path = vocabulary(spark)
+    narrow = token_counts.document_token_counts(docs, path).collect()
+    file = json.load(open(path, encoding="utf-8"))
+    file["added_tokens"].append({**file["added_tokens"][0], "id": 70_000, "content": "<|wide|>"})
+    file["model"]["vocab"]["<|wide|>"] = 70_000
+    wide = f"{tmp_path}/wide.json"
+    json.dump(file, open(wide, "w", encoding="utf-8"))
+    assert token_counts.width_of(path) == 2 and token_counts.width_of(wide) == 4
+    same(token_counts.document_token_counts(docs, wide).collect(), narrow)
+    with pytest.raises(Exception, match="do not fit 2 bytes"):
+        token_counts.flat_token_blocks(docs, wide, width=2)
+
+
 @pytest.mark.parametrize("block,supers", [(7, 2), (1, 3), (1000, 4096)])
 def test_op6_scan(spark, block, supers, monkeypatch):
     monkeypatch.setattr(token_counts, "SUPER_BLOCKS", supers)
@@ -365,8 +415,14 @@ def test_op6_reads_raw_files(spark, tmp_path):
     ids = np.array([5, 6, 9, 9, 7, 9, 8], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_counts.separator_scan(token_counts.read_flat_files(spark, f"file://{tmp_path}/*.bin", 4), end_id=9).collect()
-    assert sorted((r.ordinal, r.start, r.n_tokens) for r in got) == [(0, 0, 2), (1, 3, 0), (2, 4, 1), (3, 6, 1)]
+    (tmp_path / "c.bin").write_bytes(np.array([9] * 5 + [1], "<u2").tobytes())
+    # above ``whole`` bytes a file is read by records instead of at once
+    for whole in (1 << 30, 4, 0):
+        got = token_counts.separator_scan(token_counts.read_flat_files(spark, f"file://{tmp_path}/*.bin", 4, whole), end_id=9).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.file].append((r.ordinal, r.start, r.n_tokens))
+        assert sorted(sorted(x) for x in by.values()) == [[(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1)], [(0, 0, 2), (1, 3, 0), (2, 4, 1), (3, 6, 1)]]
 
 
 def brute_rule(host, path):
