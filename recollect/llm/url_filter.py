@@ -1,11 +1,12 @@
 """Operator 1, URL filters by a path-template tree (DataFrame functions only).
 
 Per host, the segments of paths form a tree of the paths' own depth.  Level by
-level a branch stays literal only if it has support and its labelled share of bad pages differs
-from that of its siblings' middle; every other segment becomes a wildcard,
-which merges the branches that are statistically alike.  A template is rejected when its share
-of bad labels, smoothed towards the whole table's, exceeds a limit.  Rules
-given by hand come first.
+level sibling branches with support are put in order of their smoothed share
+of bad labels and merged into classes of shares that do not differ
+statistically.  The class that holds the siblings' middle, and every segment
+without support or labels, becomes the wildcard; the other classes stay, each
+as one branch.  A template is rejected when its share of bad labels, smoothed
+towards the whole table's, exceeds a limit.  Rules given by hand come first.
 """
 
 from __future__ import annotations
@@ -44,6 +45,51 @@ def _segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
 
 
+#: Siblings of equal smoothed share, to this precision, meet the others as one.
+GRID = 1000
+
+
+def _classes(stats: DataFrame, support: int, z: float, smoothing: float) -> DataFrame:
+    """(host, prefix, segment, branch) of the segments that do not become ``*``.
+
+    ``stats``: host, prefix, segment, n, labelled, bad.  Per parent at most
+    ``GRID`` + 1 pre-aggregated bins are gone through in order of their share;
+    a bin that differs from the class so far begins another.  The error is
+    that of a typical branch, not of the sum (bins are sorted by what was
+    seen), and ``z`` grows with the number of siblings tested.
+    """
+    by = ["host", "prefix"]
+    fit = (F.col("n") >= support) & (F.col("labelled") > 0)
+    whole = stats.groupBy(*by).agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("rate"))
+    tested = stats.where(fit).join(whole, by)
+    smoothed = (F.col("bad") + smoothing * F.col("rate")) / (F.col("labelled") + smoothing)
+    tested = tested.select(*by, "segment", "labelled", "bad", F.floor(smoothed * GRID).cast("int").alias("bin"))
+    bins = tested.groupBy(*by, "bin").agg(F.sum("labelled").cast("double").alias("lab"), F.sum("bad").cast("double").alias("bad"), F.count("*").cast("double").alias("k"))
+    parent = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "lab", "bad", "k"))).alias("bins"), F.sum("k").alias("m"), F.sum("lab").alias("all"))
+    limit = F.sqrt(F.lit(z * z) + 2 * F.log("m"))
+
+    def step(a: Column, x: Column) -> Column:
+        rate, other = a["bad"] / a["lab"], x["bad"] / x["lab"]
+        pooled = (a["bad"] + x["bad"]) / (a["lab"] + x["lab"])
+        error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-6)) * (a["k"] / a["lab"] + x["k"] / x["lab"]))
+        new = (a["lab"] > 0) & (F.abs(rate - other) > limit * error)
+        add = lambda c: F.when(new, x[c]).otherwise(a[c] + x[c]).alias(c)
+        cls = F.when(new, a["cls"] + 1).otherwise(a["cls"])
+        seen = a["seen"] + x["lab"]
+        # the class in which half of the labels are reached
+        middle = F.when((a["seen"] < F.col("all") / 2) & (seen >= F.col("all") / 2), cls).otherwise(a["middle"])
+        return F.struct(add("lab"), add("bad"), add("k"), cls.alias("cls"), seen.alias("seen"), middle.alias("middle"), F.concat(a["out"], F.array(F.struct(x["bin"].alias("bin"), cls.alias("cls")))).alias("out"))
+
+    zero = F.lit(0.0)
+    start = F.struct(*(zero.alias(c) for c in ("lab", "bad", "k")), F.lit(0).alias("cls"), zero.alias("seen"), F.lit(0).alias("middle"), F.array().cast("array<struct<bin:int,cls:int>>").alias("out"))
+    done = parent.select(*by, F.aggregate("bins", start, step).alias("a"))
+    classes = done.select(*by, "a.middle", F.inline("a.out")).where("cls <> middle").select(*by, "bin", "cls")
+    kept = tested.select(*by, "bin", F.when(F.col("segment") == "*", "#*").otherwise(F.col("segment")).alias("name"), "segment").join(classes, [*by, "bin"])
+    names = kept.groupBy(*by, "cls").agg(F.min("name").alias("first"), F.max("name").alias("last"))
+    name = F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(F.concat("first", F.lit("#"), "last"))
+    return kept.join(names, [*by, "cls"]).select(*by, "segment", F.concat("prefix", F.lit("/"), name).alias("branch"))
+
+
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
@@ -58,9 +104,10 @@ def judge_urls(
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     ``labels``: doc_id, quality; a page is bad where its id has quality 0
-    (any of several labels).  Branches stay literal with ``support`` pages
-    and a bad rate ``z`` standard errors from the median over the siblings'
-    labelled pages, however many they are and however deep.
+    (any of several labels).  Branches with ``support`` pages and a label are
+    merged while their shares lie within ``z`` standard errors (more for many
+    siblings), however many they are and however deep.  In a template ``*`` is
+    a wildcard, ``first#last`` a merged class by its first and last segment.
     Null or malformed urls have empty host and path, no rule, and the method's
     verdict on the empty host like any other.  Null ids have no label.
     Repeated rows are judged each.  Other columns are not read; without labels
@@ -83,15 +130,7 @@ def judge_urls(
         # a branch below, also of a wildcard, has no more pages than its parent here
         if stats.groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= support).isEmpty():
             break
-        own = F.when((F.col("n") >= support) & (F.col("labelled") > 0), F.try_divide(F.col("bad"), F.col("labelled")))
-        stats = stats.withColumn("own_rate", own)
-        middle = F.expr("percentile(own_rate, 0.5, labelled)")
-        whole = stats.groupBy("host", "prefix").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), middle.alias("middle"))
-        rate = F.coalesce("middle", F.try_divide(F.col("all_bad"), F.col("all_labelled")))
-        error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-6)) / F.greatest("labelled", F.lit(1)))
-        differs = (F.col("labelled") > 0) & (F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - rate) > z * error)
-        kept = stats.join(whole, ["host", "prefix"]).where((F.col("n") >= support) & differs)
-        kept = kept.select("host", "prefix", "segment", F.concat("prefix", F.lit("/"), "segment").alias("branch"))
+        kept = _classes(stats, support, z, smoothing)
         longer = rows.withColumn("segment", segment).join(kept, ["host", "prefix", "segment"], "left")
         prefix = F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.coalesce("branch", F.concat("prefix", F.lit("/*"))))
         rows = written(longer.withColumn("prefix", prefix).select(rows.columns), "urls")

@@ -712,7 +712,102 @@ def test_op1_many_literal_branches(spark):
     labels = [(i, int(i % 240 >= 110), 0) for i, _ in rows]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert all((r.verdict == "block") == (r.page_id % 240 < 110) for r in got)
-    assert len({r.template for r in got}) == 111
+    # and the alike ones among them are one template
+    assert len({r.template for r in got}) == 2
+
+
+def brute_templates(rows, bad, support=20, z=2.6, smoothing=10.0, reject=0.5):
+    """(template, share of bad, verdict) of (id, host, path) rows, level by level."""
+    segs = [[re.sub("[0-9]+", "<n>", s) for s in p.split("/") if s] for _, _, p in rows]
+    prefix = [""] * len(rows)
+    level = 0
+    while True:
+        stats = defaultdict(lambda: [0, 0, 0])
+        parents = Counter()
+        for r, s, p in zip(rows, segs, prefix):
+            if len(s) > level:
+                x = stats[r[1], p, s[level]]
+                x[0] += 1
+                x[1] += r[0] in bad
+                x[2] += bad.get(r[0], 0)
+                parents[r[1], p] += 1
+        if not any(n >= support for n in parents.values()):
+            break
+        branch = {}
+        for host, p in parents:
+            mine = {k[2]: v for k, v in stats.items() if k[:2] == (host, p)}
+            lab, wrong = sum(v[1] for v in mine.values()), sum(v[2] for v in mine.values())
+            bins = defaultdict(lambda: [0, 0, 0, []])
+            for seg, (n, k, w) in mine.items():
+                if n >= support and k:
+                    b = bins[math.floor((w + smoothing * wrong / lab) / (k + smoothing) * 1000)]
+                    b[0] += k
+                    b[1] += w
+                    b[2] += 1
+                    b[3].append(seg)
+            tested, total = sum(b[2] for b in bins.values()), sum(b[0] for b in bins.values())
+            classes, seen, middle = [], 0, 0
+            for _, (k, w, m, names) in sorted(bins.items()):
+                if classes:
+                    c = classes[-1]
+                    pooled = (c[1] + w) / (c[0] + k)
+                    error = math.sqrt(max(pooled * (1 - pooled), 1e-6) * (c[2] / c[0] + m / k))
+                if not classes or abs(c[1] / c[0] - w / k) > math.sqrt(z * z + 2 * math.log(tested)) * error:
+                    classes.append([0, 0, 0, []])
+                c = classes[-1]
+                c[0], c[1], c[2], c[3] = c[0] + k, c[1] + w, c[2] + m, c[3] + names
+                if seen < total / 2 <= seen + k:
+                    middle = len(classes) - 1
+                seen += k
+            for i, c in enumerate(classes):
+                shown = sorted("#*" if x == "*" else x for x in c[3])
+                for seg in c[3] if i != middle else ():
+                    branch[host, p, seg] = f"{p}/{shown[0]}" if len(shown) == 1 else f"{p}/{shown[0]}#{shown[-1]}"
+        prefix = [p if len(s) <= level else branch.get((r[1], p, s[level]), p + "/*") for r, s, p in zip(rows, segs, prefix)]
+        level += 1
+    templates = [p + "/*" * max(0, len(s) - level) for p, s in zip(prefix, segs)]
+    known = [bad[r[0]] for r in rows if r[0] in bad]
+    prior = sum(known) / len(known) if known else 0.0
+    size, wrong = Counter(), Counter()
+    for r, t in zip(rows, templates):
+        size[r[1], t] += r[0] in bad
+        wrong[r[1], t] += bad.get(r[0], 0)
+    share = [(wrong[r[1], t] + smoothing * prior) / (size[r[1], t] + smoothing) for r, t in zip(rows, templates)]
+    return [(r[0], t, round(1 - x, 9), "block" if x > reject else "allow") for r, t, x in zip(rows, templates, share)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op1_tree_against_plain_python(spark, seed):
+    rng = random.Random(seed)
+    hosts, rows, bad = ["a.test", "b.test", "c.test"], [], {}
+    rate = defaultdict(lambda: rng.choice([0.0, 0.02, 0.3, 0.9, 1.0]))
+    for i in range(4000):
+        host = rng.choice(hosts[: 1 + seed])
+        path = "/" + "/".join([rng.choice("st") + rng.choice("abcdefgh"), rng.choice(["*", "b", "c#", f"p{rng.randrange(99)}"]).replace("#", ""), "".join(rng.choice("xyz") for _ in range(rng.randrange(3)))][: rng.randint(0, 3)])
+        rows.append((i, host, path))
+        if rng.random() < 0.6:
+            bad[i] = int(rng.random() < rate[path.split("/")[1]] or rng.random() < 0.01)
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    got = url_filter.judge_urls(pages, labels).collect()
+    same([(r.page_id, r.template, round(r.purity, 9), r.verdict) for r in got], brute_templates(rows, bad))
+    assert len({r.template for r in got}) > 4
+
+
+def test_op1_ten_branches_of_two_kinds_are_two_templates(spark):
+    rows = [(i, f"http://site.test/{'abcdefghij'[i % 10]}/{i}") for i in range(3000)]
+    labels = [(i, int(i % 10 >= 5), 0) for i in range(3000)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r.template for r in got} == {"/a#e/*", "/*/*"} or {r.template for r in got} == {"/f#j/*", "/*/*"}
+    assert all((r.verdict == "block") == (r.page_id % 10 < 5) for r in got)
+
+
+def test_op1_plan_is_native_and_takes_long_urls(spark):
+    long = "http://long.test/" + "/".join("seg" for _ in range(300)) + "/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, long), (2, "http://long.test/" + "y" * 100_000 + "?q")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+    assert {r.page_id: (len(r.path), r.verdict) for r in got.collect()} == {1: (len(long) - len("http://long.test"), "allow"), 2: (100_001, "allow")}
 
 
 def test_op9_named_values_are_candidates(spark):
