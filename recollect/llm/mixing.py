@@ -8,16 +8,19 @@ posterior over domains.  Document rates r >= 0 then minimise
 by projected gradient: n tokens, p posteriors, T target token totals, w the
 inverse of a domain's own mass.  A step needs only the domains' totals from
 the documents, so the driver sees a few numbers a round, and a rate is a chain
-of ``greatest`` over a document's posteriors.
+of ``greatest`` over a document's posteriors.  Steps have Nesterov's momentum
+and end when the projected gradient's norm is small.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.llm.common import written
@@ -28,11 +31,16 @@ ROWS_PER_DOMAIN = 2000
 #: Words that speak for a domain, at most, and the share of the domain's
 #: documents that has each at least.
 WORDS_PER_DOMAIN, CUE_SHARE = 64, 0.02
-#: Upper edges of the bins of the share of a domain's cue words among a
-#: document's different words: a long text has some by chance.
-CUE_EDGES = (0, 0.003, 0.01)
-#: Upper edges of the features' bins.
+#: Upper edges of the bins of the measures, and of the share of a domain's cue
+#: words.  Quantiles of the labelled rows in their place cost clean documents:
+#: what tells the rare domains apart lies beyond the others' quantiles.
 EDGES = {"upper": (0.005, 0.03, 0.1, 0.3), "symbol": (0.001, 0.01, 0.05, 0.15), "distinct": (0.2, 0.4, 0.6, 0.8, 0.95), "size": (20, 100, 400, 1600)}
+CUE_EDGES = (0, 0.003, 0.01)
+#: The only domain where nothing is labelled; every rate is 1 then.
+UNKNOWN = "unknown"
+#: Norm of the projected gradient, in rates, beside the ridge's own pull, at
+#: which the fit ends; after so many rounds it ends with a warning.
+TOLERANCE, MOST_ROUNDS = 1e-3, 300
 
 
 def _bin(value: Column, edges) -> Column:
@@ -53,7 +61,11 @@ def _word_list(text: Column) -> Column:
 
 
 def features(text: Column, cues: list[list[str]]) -> Column:
-    """struct(n: words, f: a bin for each measure and each domain's cue words)."""
+    """struct(n: words, f: a bin for each measure and each domain's cue words).
+
+    A cue value is the domain's share among the text's different words: a
+    long text has some of its cue words by chance.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
 
@@ -64,14 +76,15 @@ def features(text: Column, cues: list[list[str]]) -> Column:
         # white space at an end leaves an empty entry there, no text leaves one
         ends = (F.get(w, F.lit(0)) == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
         n = F.size(w) - ends
-        value = {
-            "upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / chars,
-            "symbol": F.regexp_count(text, F.lit("[#*$%&|<>!]")) / chars,
-            "distinct": F.size(u) / F.greatest(F.size(w), F.lit(1)),
-            "size": n,
-        }
-        said = [_bin(F.size(F.array_intersect(u, F.array(*map(F.lit, words)))) / F.size(u), CUE_EDGES) if words else F.lit(0) for words in cues]
-        return F.struct(n.cast("long").alias("n"), F.array(*(_bin(v, EDGES[k]) for k, v in value.items()), *said).alias("f"))
+        values = [
+            F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / chars,
+            F.regexp_count(text, F.lit("[#*$%&|<>!]")) / chars,
+            F.size(u) / F.greatest(F.size(w), F.lit(1)),
+            n.cast("double"),
+            *(F.size(F.array_intersect(u, F.array(*map(F.lit, words)))) / F.size(u) if words else F.lit(0.0) for words in cues),
+        ]
+        bins = (_bin(v, e) for v, e in zip(values, [*EDGES.values(), *[CUE_EDGES] * len(cues)]))
+        return F.struct(n.cast("long").alias("n"), F.array(*bins).alias("f"))
 
     return _let(F.split(text, WORDS), of)
 
@@ -92,6 +105,8 @@ class MixingModel:
     step_size: float = 0.0
     ridge: float = 0.0
     most: float | None = None
+    #: The steps that settled which documents stay for sure.
+    settled: list[list[float]] | None = None
 
     def posteriors(self, f: Column) -> Column:
         """Probabilities of the domains, in their order, from feature bins."""
@@ -105,108 +120,160 @@ class MixingModel:
 
         return _let(F.array(*map(log, range(len(self.domains)))), lambda logs: _let(F.array_max(logs), lambda top: _let(F.transform(logs, lambda x: F.exp(x - top)), normal)))
 
-    def rate(self, p: Column) -> Column:
-        """The document's rate after all steps, from its posteriors."""
-        if not self.steps:
-            return F.lit(1.0)
+    def _replay(self, p: Column, steps: list[list[float]]) -> Column:
+        """struct(r: the rate after the steps, y: the point of the next gradient)."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+        if not steps:
+            return start
 
-        def step(r: Column, pull: Column) -> Column:
-            drift = F.aggregate(F.zip_with(p, pull, lambda x, g: x * g), F.lit(0.0), lambda a, x: a + x)
-            out = F.greatest(F.lit(0.0), r + self.step_size * (self.ridge * (1 - r) - drift))
-            return F.least(F.lit(float(self.most)), out) if self.most is not None else out
+        def step(a: Column, pull: Column) -> Column:
+            # the last entry of a step is its momentum
+            drift = F.aggregate(F.zip_with(p, F.slice(pull, 1, len(self.domains)), lambda x, g: x * g), F.lit(0.0), lambda s, x: s + x)
+            out = F.greatest(F.lit(0.0), a["y"] + self.step_size * (self.ridge * (1 - a["y"]) - drift))
+            out = F.least(F.lit(float(self.most)), out) if self.most is not None else out
+            return _let(out, lambda r: F.struct(r.alias("r"), (r + F.element_at(pull, -1) * (r - a["r"])).alias("y")))
 
-        return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in self.steps)), F.lit(1.0), step)
+        return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in steps)), start, step)
 
-    def drawn(self, p: Column, sure: float) -> Column:
-        """The rate that a draw uses: 1 where ``SURE_DOMAIN`` leads and the rate is ``sure`` or more."""
+    def rate(self, p: Column, steps: list[list[float]] | None = None) -> Column:
+        """The document's rate after all steps, from its posteriors."""
+        return self._replay(p, self.steps if steps is None else steps)["r"]
+
+    def stays(self, p: Column, sure: float) -> Column:
+        """Whether ``SURE_DOMAIN`` leads and the rate before any draw is ``sure`` or more."""
         if SURE_DOMAIN not in self.domains:
-            return self.rate(p)
+            return F.lit(False)
         leads = F.array_position(p, F.array_max(p)) == self.domains.index(SURE_DOMAIN) + 1
-        return _let(self.rate(p), lambda r: F.when(leads & (r >= sure), F.lit(1.0)).otherwise(r))
+        return leads & (self.rate(p, self.settled) >= sure)
 
+    def drawn(self, p: Column, sure: float) -> Column:
+        """The rate that a draw uses: 1 for what stays for sure."""
+        return F.when(self.stays(p, sure), F.lit(1.0)).otherwise(self.rate(p))
 
-def _classifier(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> MixingModel:
-    """Naive Bayes over binned measures and cue words of the labelled rows."""
+
+def _sample(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> tuple[DataFrame, dict[str, int]]:
+    """(domain, text) of up to ``rows_per_domain`` labelled rows of each domain,
+    by hash order, and the number of labels of each domain."""
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     shares = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
+    # Spark limits each task's rows of a domain before the shuffle
+    place = F.row_number().over(W.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    picked = known.withColumn("place", place).where(F.col("place") <= rows_per_domain).select("doc_id", "domain")
+    return written(docs.join(F.broadcast(picked), "doc_id").select("domain", "text"), "labelled"), shares
+
+
+def _cues(sample: DataFrame, size: dict[str, int]) -> dict[str, list[str]]:
+    """Words that a domain's labelled documents have far more often than others."""
+    whole = sum(size.values())
+    mine = F.element_at(F.create_map(*(F.lit(x) for kv in size.items() for x in kv)), F.col("domain"))
+    words = sample.select("domain", F.explode(F.array_distinct(_word_list(F.col("text")))).alias("w")).groupBy("domain", "w").agg(F.count("*").alias("have"))
+    words = words.withColumn("every", F.sum("have").over(W.partitionBy("w")))
+    inside, outside = (F.col("have") + 0.1) / (mine + 1), (F.col("every") - F.col("have") + 0.1) / (whole - mine + 1)
+    told = words.where((F.col("have") >= F.greatest(F.lit(3.0), CUE_SHARE * mine)) & (inside > 4 * outside))
+    told = told.select("domain", "w", (F.col("have") * F.log(inside / outside)).alias("gain"))
+    place = F.row_number().over(W.partitionBy("domain").orderBy(F.desc("gain"), "w"))
+    out: dict[str, list[str]] = {d: [] for d in size}
+    for r in told.withColumn("place", place).where(F.col("place") <= WORDS_PER_DOMAIN).orderBy("domain", "place").collect():
+        out[r.domain].append(r.w)
+    return out
+
+
+def _classifier(docs: DataFrame, labelled: DataFrame, rows_per_domain: int) -> MixingModel:
+    """Naive Bayes over binned measures and cue words of the labelled rows."""
+    sample, shares = _sample(docs, labelled, rows_per_domain)
     domains = sorted(shares)
     if not domains:
-        raise ValueError("the labelled table names no domain")
-    if len(domains) > 64:
-        raise ValueError("more than 64 domains")
-    order = (F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"))
-    picked = None
-    for d in domains:
-        one = known.where(F.col("domain") == d).orderBy(*order).limit(rows_per_domain)
-        picked = one if picked is None else picked.unionByName(one)
-    sample = written(docs.join(F.broadcast(picked), "doc_id").select("domain", "text"), "labelled")
-    size = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    # words by the number of labelled documents of each domain that have them
-    words = sample.select("domain", F.explode(F.array_distinct(_word_list(F.col("text")))).alias("w")).groupBy("w").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"d{i}") for i, d in enumerate(domains)))
-    cues = {}
-    for i, d in enumerate(domains):
-        mine = size.get(d, 0)
-        others = sum(size.values()) - mine
-        inside = (F.col(f"d{i}") + 0.1) / (mine + 1)
-        outside = (sum((F.col(f"d{j}") for j in range(len(domains)) if j != i), F.lit(0)) + 0.1) / (others + 1)
-        gain = F.col(f"d{i}") * F.log(inside / outside)
-        top = words.where((F.col(f"d{i}") >= max(3, CUE_SHARE * mine)) & (inside > 4 * outside)).orderBy(gain.desc(), "w").limit(WORDS_PER_DOMAIN)
-        cues[d] = [r.w for r in top.select("w").collect()]
-    cues = [cues[d] for d in domains]
-    bins = [len(e) + 1 for e in EDGES.values()] + [len(CUE_EDGES) + 1] * len(cues)
+        return MixingModel([UNKNOWN], [[]], [0.0], [], [])
+    size = {d: 0 for d in domains} | {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
+    said = _cues(sample, size)
+    cues = [said[d] for d in domains]
+    bins = [len(e) + 1 for e in [*EDGES.values(), *[CUE_EDGES] * len(cues)]]
     seen = sample.select("domain", F.posexplode(features(F.col("text"), cues)["f"]).alias("f", "b"))
     count = {(r.domain, r.f, r.b): r["count"] for r in seen.groupBy("domain", "f", "b").count().collect()}
-    tables = [[[math.log((count.get((d, j, b), 0) + 1.0) / (size.get(d, 0) + n)) for b in range(n)] for d in domains] for j, n in enumerate(bins)]
+    tables = [[[math.log((count.get((d, j, b), 0) + 1.0) / (size[d] + n)) for b in range(n)] for d in domains] for j, n in enumerate(bins)]
     total = sum(shares.values())
     return MixingModel(domains, cues, [math.log(shares[d] / total) for d in domains], tables, [])
 
 
-def measured(docs: DataFrame, cues: list[list[str]]) -> DataFrame:
-    """(doc_id, n, f) of every row: a written table, read by fit and rates."""
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text"), cues).alias("x"))
-    return written(x.select("doc_id", "x.n", "x.f"), "features")
+def measured(docs: DataFrame, model: MixingModel) -> DataFrame:
+    """(row, n, f): every row of ``docs`` as a struct with its words and bins.
 
+    A written table, read by the fit (n and f), the rates and the draw, so
+    that no text is measured twice.
+    """
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    x = x.select("row", features(F.col("text"), model.cues).alias("x"))
+    return written(x.select("row", "x.n", "x.f"), "features")
+
+
+def _descend(model: MixingModel, table: DataFrame, whole: float, goal: np.ndarray, weight: np.ndarray) -> None:
+    """Steps until the projected gradient's norm is below ``TOLERANCE``, and
+    the ridge: what it pulls at rates that meet the targets anyhow settles in
+    thousands of rounds.
 
-def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], of_own: bool = False, ridge: float = 0.01, most: float | None = None, rounds: int = 24, sure: float | None = None) -> MixingModel:
+    Goes on from the model's steps.  ``table``: n, p, sure; rows that are sure
+    keep rate 1.
+    """
+    held = lambda r: F.when(F.col("sure"), F.lit(1.0)).otherwise(r)
+    taken, t = len(model.steps), 1.0
+    while True:
+        now, before = (model._replay(F.col("p"), x) for x in (model.steps, model.steps[:-1]))
+        rated = table.select("n", "p", held(now["r"]).alias("r"), held(now["y"]).alias("y"), held(before["y"]).alias("b"))
+        got = rated.agg(F.sum(F.col("n") * F.pow(F.col("r") - F.col("b"), F.lit(2.0))), *(F.sum(F.col("n") * F.element_at("p", i + 1) * F.col("y")) for i in range(len(goal)))).first()
+        if len(model.steps) > taken and math.sqrt(got[0] / whole) / model.step_size <= TOLERANCE + model.ridge:
+            break
+        if len(model.steps) == taken + MOST_ROUNDS:
+            warnings.warn(f"rates had not settled after {MOST_ROUNDS} rounds", stacklevel=3)
+            break
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        model.steps.append([*(weight * (np.array(got[1:], float) / whole - goal)).tolist(), (t - 1) / after])
+        t = after
+
+
+def fit_rates(model: MixingModel, table: DataFrame, targets: dict[str, float], of_own: bool = False, ridge: float = 0.001, most: float | None = None, sure: float | None = None) -> MixingModel:
     """Projected gradient on ``measured`` rows; the steps go into the model.
 
-    With ``sure`` the totals are those of ``drawn`` rates, so the other
-    documents make up for those that stay for sure.
+    With ``sure`` the rates settle which documents stay for sure, and then go
+    on to make up for them.
     """
+    if model.domains == [UNKNOWN]:
+        return model
     k = len(model.domains)
     # documents alike in their bins have equal posteriors, hence equal rates
     table = table.groupBy("f").agg(F.sum("n").cast("double").alias("n"))
     table = written(table.select("n", model.posteriors(F.col("f")).alias("p")), "posteriors")
-    at = [F.element_at("p", i + 1) for i in range(k)]
-    cross = table.agg(F.sum("n"), *(F.sum(F.col("n") * a * b) for a in at for b in at), *(F.sum(F.col("n") * a) for a in at)).first()
-    whole = cross[0] or 0.0
+    one = table.select("n", "p", F.posexplode("p").alias("i", "a")).select("n", "i", "a", F.posexplode("p").alias("j", "b"))
+    cross = {(r.i, r.j): r.s for r in one.groupBy("i", "j").agg(F.sum(F.col("n") * F.col("a") * F.col("b")).alias("s")).collect()}
+    m = np.array([[cross.get((i, j), 0.0) for j in range(k)] for i in range(k)])
+    own, whole = m.sum(axis=1), float(m.sum())  # posteriors of a row sum to one
     if not whole:
         return model
-    m = np.array([cross[1 + i] for i in range(k * k)], float).reshape(k, k) / whole
-    own = np.array([cross[1 + k * k + i] for i in range(k)], float) / whole
+    m, own = m / whole, own / whole
     want = np.array([targets.get(d, 0.0) for d in model.domains], float)
     goal = want * own if of_own else want / (want.sum() or 1.0)
     weight = 1 / np.maximum(own, 1e-6)
-    half = np.sqrt(weight)
-    model.step_size = float(1 / (np.linalg.eigvalsh(half[:, None] * m * half[None, :]).max() + ridge))
-    model.ridge, model.most = ridge, most
-    for _ in range(rounds):
-        rated = table.select("n", "p", (model.rate(F.col("p")) if sure is None else model.drawn(F.col("p"), sure)).alias("r"))
-        got = rated.agg(*(F.sum(F.col("n") * a * F.col("r")) for a in at)).first()
-        model.steps.append((weight * (np.array(got, float) / whole - goal)).tolist())
+    model.step_size = float(1 / (np.linalg.eigvals(weight[:, None] * m).real.max() + ridge))
+    model.ridge, model.most, model.steps, model.settled = ridge, most, [], None
+    _descend(model, table.withColumn("sure", F.lit(False)), whole, goal, weight)
+    if sure is not None:
+        model.settled = list(model.steps)
+        _descend(model, table.withColumn("sure", model.stays(F.col("p"), sure)), whole, goal, weight)
     return model
 
 
 def fit_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows_per_domain: int = ROWS_PER_DOMAIN, **how) -> tuple[MixingModel, DataFrame]:
     """Fit classifier and rates; returns the model and the measured rows.
 
-    ``docs``: doc_id, text.  ``labelled``: doc_id, domain.  ``targets`` are
-    weights of the whole token count (normalised), or with ``of_own`` shares
-    of each domain's own expected tokens.  ``most`` bounds rates from above.
+    ``docs``: doc_id, text and any others.  ``labelled``: doc_id, domain; rows
+    without either are no labels, and of several labels of an id the first
+    counts.  Where there are none, the only domain is ``unknown`` and every
+    rate 1.  ``targets`` are weights of the whole token count (normalised), or
+    with ``of_own`` shares of each domain's own expected tokens; a domain
+    without one gets none.  ``most`` bounds rates from above.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = _classifier(text, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")), rows_per_domain)
-    table = measured(text, model.cues)
+    table = measured(docs, model)
     return fit_rates(model, table, targets, **how), table
 
 
@@ -217,23 +284,23 @@ def mixing_rates(table: DataFrame, model: MixingModel) -> DataFrame:
     any other of their posterior.  Null ids and repeated rows get rows of
     their own.  Other columns are not read; an empty table gives no rows.
     """
-    rows = table.select("doc_id", "n", model.posteriors(F.col("f")).alias("p"))
+    rows = table.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n", model.posteriors(F.col("f")).alias("p"))
     best = F.array_position("p", F.array_max("p")).cast("int")
     each = (F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(model.domains))
     return rows.select("doc_id", F.col("n").alias("n_tokens"), F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), *each, model.rate(F.col("p")).alias("rate"))
 
 
-def resample(docs: DataFrame, model: MixingModel, sure: float = 1.0, seed: int = 7) -> DataFrame:
-    """Rows of ``docs`` drawn at their rates (at most 1), columns unchanged.
+def resample(table: DataFrame, model: MixingModel, sure: float = 1.0, seed: int = 7) -> DataFrame:
+    """Rows of ``measured`` drawn at their rates (at most 1), with their own columns.
 
     A row stays when a uniform number from the hash of its id is below its
     rate, at rate 0 never; one that ``SURE_DOMAIN`` leads stays for sure from
     the rate ``sure`` on.  A rerun draws the same rows; those of one id share
     their lot.
     """
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
-    rate = _let(features(F.col("text"), model.cues), lambda x: _let(model.posteriors(x["f"]), lambda p: model.drawn(p, sure)))
-    return docs.where(uniform < rate)
+    uniform = F.shiftrightunsigned(F.xxhash64(F.col("row.doc_id").cast("long"), F.lit(seed)), 11) / float(1 << 53)
+    rate = _let(model.posteriors(F.col("f")), lambda p: model.drawn(p, sure))
+    return table.where(uniform < rate).select("row.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -483,36 +483,111 @@ def labelled(spark, n=400):
     return docs, spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id long, quality int, toxic int"), rows
 
 
+def brute_mixing(rows, known, goal, ridge=0.001):
+    """Posteriors and rates in plain Python; all labelled rows are in the sample."""
+    domains = sorted(set(known.values()))
+    split = {i: [w for w in words(t)] for i, t in rows}
+
+    def ratio(i, t, cues):
+        w, u, n = split[i], set(split[i]), max(1, len(t))
+        # white space at an end makes an empty entry beside the words
+        ends = len(re.split(r"[\x20\x09-\x0D]+", t)) - len(w)
+        whole, kinds = len(w) + ends, len(u) + (ends > 0)
+        out = [len(re.findall("[A-ZÀ-Þ]", t)) / n, len(re.findall("[#*$%&|<>!]", t)) / n, kinds / max(1, whole), float(len(w))]
+        return out + [len(u & set(c)) / kinds for c in cues]
+
+    size = Counter(known[i] for i, _ in rows if i in known)
+    have = {d: Counter(w for i, _ in rows if known.get(i) == d for w in set(split[i])) for d in domains}
+    cues = []
+    for d in domains:
+        told, others = [], sum(size.values()) - size[d]
+        for w, x in have[d].items():
+            inside, outside = (x + 0.1) / (size[d] + 1), (sum(have[e][w] for e in domains) - x + 0.1) / (others + 1)
+            if x >= max(3, mixing.CUE_SHARE * size[d]) and inside > 4 * outside:
+                told.append((-x * math.log(inside / outside), w))
+        cues.append([w for _, w in sorted(told)[: mixing.WORDS_PER_DOMAIN]])
+    values = {i: ratio(i, t or "", cues) for i, t in rows}
+    edges = [*mixing.EDGES.values(), *[mixing.CUE_EDGES] * len(domains)]
+    bins = {i: [sum(x > e for e in edges[j]) for j, x in enumerate(v)] for i, v in values.items()}
+    post = {}
+    for i, f in bins.items():
+        logs = []
+        for d in domains:
+            mine = [k for k in bins if known.get(k) == d]
+            lp = math.log(sum(1 for k in known if known[k] == d) / len(known))
+            for j, b in enumerate(f):
+                lp += math.log((sum(bins[k][j] == b for k in mine) + 1) / (size[d] + len(edges[j]) + 1))
+            logs.append(lp)
+        e = np.exp(np.array(logs) - max(logs))
+        post[i] = e / e.sum()
+    ids = [i for i, _ in rows]
+    n, p = np.array([len(split[i]) for i in ids], float), np.array([post[i] for i in ids])
+    whole, own = n.sum(), (n[:, None] * p).sum(0) / n.sum()
+    want = np.array([goal[d] for d in domains]) / sum(goal.values())
+    r, step = np.ones(len(ids)), 1 / (np.linalg.eigvals(p.T @ (n[:, None] * p) / whole / own).real.max() + ridge)
+    y, t = r, 1.0
+    while True:
+        new = np.maximum(0, y + step * (ridge * (1 - y) - p @ (((n * y) @ p / whole - want) / own)))
+        norm, after = math.sqrt((n * (new - y) ** 2).sum() / whole) / step, (1 + math.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = new + (t - 1) / after * (new - r), new, after
+        if norm <= mixing.TOLERANCE + ridge:
+            break
+    return domains, dict(zip(ids, p)), dict(zip(ids, r))
+
+
 def test_op7(spark, docs):
     d, labels, rows = labelled(spark)
     domains = mixing.label_domains(labels.where("doc_id % 2 = 0 or doc_id % 3 = 0"))
     goal = {"clean": 0.7, "junk": 0.2, "toxic": 0.1}
-    model, table = mixing.fit_mixing(d, domains, goal, ridge=0.001, rounds=60)
+    model, table = mixing.fit_mixing(d, domains, goal)
     got = mixing.mixing_rates(table, model).collect()
     truth = {i: "toxic" if x else "clean" if q else "junk" for i, _, q, x in rows}
     assert sum(r.domain == truth[r.doc_id] for r in got) > 0.97 * len(got)
     assert all(r.rate >= 0 and r.n_tokens == len(words(rows[r.doc_id][1])) for r in got)
     whole = sum(r.n_tokens for r in got)
     for k, w in goal.items():
-        assert abs(sum(r.rate * r.n_tokens * r[f"p_{k}"] for r in got) / whole - w) < 0.01
-    odd = mixing.mixing_rates(mixing.measured(docs, model.cues), model).collect()
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{k}"] for r in got) / whole - w) < 0.003
+    names, post, rate = brute_mixing([r[:2] for r in rows], {r.doc_id: r.domain for r in domains.collect()}, goal)
+    assert names == model.domains
+    for r in got:
+        assert [r[f"p_{k}"] for k in names] == pytest.approx(post[r.doc_id].tolist(), abs=1e-9)
+        assert r.rate == pytest.approx(rate[r.doc_id], abs=1e-6)
+    odd = mixing.mixing_rates(mixing.measured(docs, model), model).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in odd) == Counter((i, len(words(t))) for i, t in ((x.doc_id, x.text) for x in docs.collect()))
     assert all(abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 for r in odd)
     assert mixing.mixing_rates(table.limit(0), model).count() == 0
     assert mixing.fit_mixing(docs.limit(0), domains, goal)[0].steps == []
 
 
+def test_op7_without_labels(spark, docs):
+    for labels in (spark.createDataFrame([], "doc_id long, domain string"), spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, domain string")):
+        model, table = mixing.fit_mixing(docs, labels, {"clean": 1.0}, of_own=True, most=1.0, sure=0.5)
+        got = mixing.mixing_rates(table, model).collect()
+        assert len(got) == docs.count() and {(r.domain, r.p_unknown, r.rate) for r in got} == {("unknown", 1.0, 1.0)}
+        kept = mixing.resample(table, model, 0.5)
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_op7_many_domains_and_long_texts(spark):
+    rows = [(i, f"cue{i % 12} word{i % 7} " * 9 + (" long" * 200_000 if i == 3 else "")) for i in range(700)]
+    labels = spark.createDataFrame([(i, f"d{i % 12:02}") for i, _ in rows], "doc_id long, domain string")
+    model, table = mixing.fit_mixing(spark.createDataFrame(rows, "doc_id long, text string"), labels, {f"d{k:02}": 1.0 for k in range(12)}, ridge=0.1)
+    got = mixing.mixing_rates(table, model).collect()
+    assert len(model.domains) == 12 and all(r.domain == f"d{r.doc_id % 12:02}" for r in got if r.doc_id != 3)
+
+
 def test_op7_plan_is_native(spark):
     d, labels, _ = labelled(spark, 80)
     model, table = mixing.fit_mixing(d, mixing.label_domains(labels), {"clean": 1.0})
-    plan = mixing.resample(d, model)._jdf.queryExecution().executedPlan().toString() + mixing.mixing_rates(table, model)._jdf.queryExecution().executedPlan().toString()
+    plan = mixing.resample(table, model)._jdf.queryExecution().executedPlan().toString() + mixing.mixing_rates(table, model)._jdf.queryExecution().executedPlan().toString()
+    plan += d.select(mixing.features(F.col("text"), model.cues))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
 def test_op7_resample_keeps_clean(spark):
     d, labels, rows = labelled(spark)
-    model, _ = mixing.fit_mixing(d, mixing.label_domains(labels), corpus_pipeline.KEEP, of_own=True, most=1.0, ridge=1e-6)
-    kept = mixing.resample(d, model, corpus_pipeline.SURE)
+    model, table = mixing.fit_mixing(d, mixing.label_domains(labels), corpus_pipeline.KEEP, of_own=True, most=1.0, ridge=1e-6)
+    kept = mixing.resample(table, model, corpus_pipeline.SURE)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == d.columns
     assert {i for i, _, q, x in rows if q and not x} <= ids
