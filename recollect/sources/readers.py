@@ -68,7 +68,8 @@ def parse_jsonl(lines: DataFrame, default_session: str | None = None) -> DataFra
     r = F.from_json(trimmed(F.col("value")), JSONL, {"mode": "PERMISSIVE"})
     got = lines.where(trimmed(F.col("value")) != "").withColumn("r", r)
     body = trimmed(F.coalesce("r.content", "r.text"))
-    named = F.lit(default_session) if default_session is not None else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl)?$", 1)
+    file = F.col("file") if "file" in lines.columns else F.col("_metadata.file_name")
+    named = F.lit(default_session) if default_session is not None else F.regexp_extract(file, r"^(.*?)(\.jsonl)?$", 1)
     out = got.select(F.coalesce("r.session", "r.sessionId", named).alias("session_id"), F.coalesce("r.ts", "r.time", F.lit("0")).alias("ts"), body.alias("content"))
     return out.where(F.coalesce(F.col("content"), F.lit("")) != "")
 

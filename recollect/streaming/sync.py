@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from recollect.operators.ingest import ingest
 from recollect.operators.session import entries_to_rows
 from recollect.plans.store import Store
+from recollect.sources.logtail import LogTailSource
 from recollect.sources.readers import parse_jsonl
 
 
 def sync_batch(store: Store, entries: DataFrame, source: str, now_ms: int, **condensing) -> dict[str, int]:
     """Ingest (session_id, ts, content) rows; known ones are duplicates."""
-    rows = entries_to_rows(entries, source, **condensing)
-    got = ingest(rows, store.read("documents"), store.embedder, now_ms)
-    messages, kept = entries.count(), rows.count()
-    new = got.documents.count()
-    if new:
-        store.add(got)
+    entries = entries.persist()  # counted and ingested: read once
+    try:
+        rows = entries_to_rows(entries, source, **condensing)
+        got = ingest(rows, store.read("documents"), store.embedder, now_ms)
+        messages, kept = entries.count(), rows.count()
+        new = got.documents.count()
+        if new:
+            store.add(got)
+    finally:
+        entries.unpersist()
     return {"messages": messages, "new_docs": new, "deduplicated": kept - new, "skipped": messages - kept}
 
 
-def sync_logs(store: Store, glob: str, checkpoint: str, source: str = "log", now_ms: int = 0, every: str | None = None) -> StreamingQuery:
-    """Follow the logs of a folder.
+def sync_logs(store: Store, path: str, checkpoint: str, source: str = "log", now_ms: int | None = None, every: str | None = None) -> StreamingQuery:
+    """Follow the logs of a folder, or of a glob in one.
 
-    The checkpoint reads each file once; the hash makes a lost checkpoint
-    harmless.  Without ``every`` what is there is taken and the query ends.
+    The checkpoint holds how far each file was read, so lines appended later
+    are taken by the next batch or the next query; the hash makes a lost
+    checkpoint harmless.  Documents get the time of their batch unless
+    ``now_ms`` is given.  Without ``every`` what is there is taken and the
+    query ends.
     """
-    lines = store.spark.readStream.format("text").load(glob)
+    store.spark.dataSource.register(LogTailSource)
+    lines = store.spark.readStream.format("log_tail").option("path", path).load()
 
     def batch(df: DataFrame, _: int) -> None:
-        sync_batch(store, df, source, now_ms)
+        sync_batch(store, df, source, int(time.time() * 1000) if now_ms is None else now_ms)
 
     out = parse_jsonl(lines).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

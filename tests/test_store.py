@@ -11,7 +11,7 @@ from recollect import cli, config
 from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest, memory, search, session
 from recollect.plans.store import Store
-from recollect.sources import chatdb, readers
+from recollect.sources import chatdb, logtail, readers
 from recollect.streaming.sync import sync_batch, sync_logs
 
 ROWS = "content string, title string, source string, content_type string, metadata string, scope string"
@@ -323,6 +323,40 @@ def test_logs_sync_once(spark, store, tmp_path):
     for checkpoint in ("c1", "c1", "c2"):  # a lost checkpoint is harmless
         sync_logs(store, f"file://{logs}", f"file://{tmp_path}/{checkpoint}").awaitTermination()
         assert store.read("documents").count() == 4
+    with open(logs / "b.jsonl", "a") as f:
+        f.write('\n{"session":"s3","ts":10,"content":"appended entry"}\n{"session":"s3","ts":11,"con')
+    assert _synced(store, logs, tmp_path) == 5  # the last line is not whole yet
+    with open(logs / "b.jsonl", "a") as f:
+        f.write('tent":"its end"}\n')
+    assert _synced(store, logs, tmp_path) == 6
+    assert _synced(store, tmp_path / "missing", tmp_path, "c3") == 6
+
+
+def _synced(store, logs, tmp_path, checkpoint="c1"):
+    before = store.manifest()["version"]
+    sync_logs(store, f"file://{logs}", f"file://{tmp_path}/{checkpoint}").awaitTermination()
+    assert store.manifest()["version"] <= before + 1
+    return store.read("documents").count()
+
+
+def test_log_ranges(tmp_path):
+    """Every cut into ranges gives every line once, from any whole offset."""
+    lines = [json.dumps({"content": "x" * (i % 7)}) for i in range(9)] + [""]
+    path = tmp_path / "a.jsonl"
+    path.write_text("\n".join(lines))
+    for size in (1, 7, 16, 40, 1000):
+        tail = logtail.LogTail({"path": str(tmp_path), "bytes_per_task": str(size)})
+        end = tail.latestOffset()
+        assert end == {str(path): path.stat().st_size}
+        for first in range(0, 9, 2):
+            start = {str(path): sum(len(x) + 1 for x in lines[:first])}
+            got = [v.rstrip("\n") for p in tail.partitions(start, end) for v, _ in tail.read(p)]
+            assert got == lines[first:9]
+    with open(path, "a") as f:
+        f.write('{"half')
+    assert tail.latestOffset() == end
+    path.write_text('{"content":"anew"}')  # valid without a newline; shorter than the offset
+    assert [v for p in tail.partitions(end, tail.latestOffset()) for v, _ in tail.read(p)] == ['{"content":"anew"}']
 
 
 def test_read_files(spark, tmp_path):
