@@ -129,5 +129,5 @@ def exchange(keyed: DataFrame, parts: int, as_keys: bool = False) -> DataFrame:
     reply``: a bitmap over the block's sorted distinct fingerprints in the
     owner's range, or with ``as_keys`` the repeated ones, coded.
     """
-    sent = keyed.repartition(parts, "block").mapInArrow(_messages(parts), MESSAGE_DDL)
-    return sent.repartition(parts, "owner").mapInArrow(_answers(as_keys), REPLY_DDL)
+    sent = keyed.repartitionById(parts, "block").mapInArrow(_messages(parts), MESSAGE_DDL)
+    return sent.repartitionById(parts, "owner").mapInArrow(_answers(as_keys), REPLY_DDL)

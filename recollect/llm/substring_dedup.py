@@ -133,7 +133,7 @@ def _send_anchors(k: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in batches:
-            rows = ((b, anchors(words.of(t), k, gram)[1].tobytes()) for b, t in zip(batch.column("block").to_pylist(), ((x or b"").split() for x in bytes_of(batch, "text"))) if len(t) >= k)
+            rows = ((b, anchors(words.of(t), k, gram)[1].tobytes()) for b, t in zip(batch.column("place").to_pylist(), ((x or b"").split() for x in bytes_of(batch, "text"))) if len(t) >= k)
             yield from in_slices(rows, _KEYS)
 
     return run
@@ -143,19 +143,18 @@ _FIRST = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n_words", p
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, Iterator[tuple]]]:
-    """Blocks of sorted rows: repeated keys (from the replies), then the rows."""
+    """Blocks of sorted rows, each with its place's repeated keys (from the
+    replies, which come first)."""
     from itertools import groupby
 
-    flat = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("block", "reply", *names))))
-    for block, rows in groupby(flat, key=lambda r: r[0]):
-        replies, first = [], []
-        for row in rows:
-            if row[1] is None:
-                first.append(row)
-                break
-            replies.append(decode(row[1]))
-        known = np.sort(np.concatenate(replies)) if replies else np.empty(0, np.uint64)
-        yield block, known, (r[2:] for part in (first, rows) for r in part)
+    flat = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("place", "block", "reply", *names))))
+    for _, rows in groupby(flat, key=lambda r: r[0]):
+        known = np.empty(0, np.uint64)
+        for block, group in groupby(rows, key=lambda r: r[1]):
+            if block is None:
+                known = np.sort(np.concatenate([decode(r[2]) for r in group]))
+            else:
+                yield block, known, (r[3:] for r in group)
 
 
 def _nominate(k: int, gram: int):
@@ -185,7 +184,7 @@ def _send_windows(k: int):
 
         def rows():
             for batch in batches:
-                for block, text, runs in zip(*(batch.column(n).to_pylist() for n in ("block", "text", "runs"))):
+                for block, text, runs in zip(*(batch.column(n).to_pylist() for n in ("place", "text", "runs"))):
                     win = windows(hashes.of(text.split()), k)
                     yield block, np.concatenate([win[a:z] for a, z in np.frombuffer(runs, np.int64).reshape(-1, 2)]).tobytes()
 
@@ -254,20 +253,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     parts = n_parts(spark, docs)
-    blocks = 4 * parts
+    # a task holds one block's automata at a time, but asks for all of its
+    # blocks at once: messages go between tasks, not between blocks
+    blocks, place = 4 * parts, F.pmod("block", F.lit(parts)).alias("place")
     none = lambda kind: F.lit(None).cast(kind)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("block", block_of(blocks, "doc_id", "text"))
+    rows = rows.withColumn("block", block_of(blocks, "doc_id", "text")).select("*", place)
     twice = exchange(rows.mapInArrow(_send_anchors(k, gram), KEYS_DDL), parts, as_keys=True)
 
     def joined(replies: DataFrame, texts: DataFrame) -> DataFrame:
-        asked = replies.select("block", "reply", none("long").alias("doc_id"), none("binary").alias("text"), none("binary").alias("runs"))
-        both = asked.unionByName(texts.select("block", none("binary").alias("reply"), "doc_id", F.col("text").cast("binary"), "runs"))
-        return both.repartition(parts, "block").sortWithinPartitions("block", F.col("reply").isNull())
+        asked = replies.select(F.col("block").alias("place"), none("int").alias("block"), "reply", none("long").alias("doc_id"), none("binary").alias("text"), none("binary").alias("runs"))
+        both = asked.unionByName(texts.select("place", "block", none("binary").alias("reply"), "doc_id", F.col("text").cast("binary"), "runs"))
+        return both.repartitionById(parts, "place").sortWithinPartitions("place", F.col("block").asc_nulls_first())
 
     first = joined(twice, rows.withColumn("runs", none("binary"))).mapInArrow(_nominate(k, gram), "block int, doc_id long, n_words long, kept_sha256 string, text binary, runs binary")
     first = written(first, "nominated")
-    still = first.where(F.col("runs").isNotNull()).select("block", "doc_id", "text", "runs")
+    still = first.where(F.col("runs").isNotNull()).select("block", "doc_id", "text", "runs", place)
     again = exchange(still.mapInArrow(_send_windows(k), KEYS_DDL), parts, as_keys=True)
     last = joined(again, still).mapInArrow(_match(k, with_text), LAST_DDL)
     done = first.where(F.col("runs").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", none("string").alias("kept_text"))
