@@ -17,7 +17,8 @@ from recollect.operators import search as sea
 from recollect.operators import session as ses
 from recollect.plans.store import Store
 from recollect.sources.chatdb import chat_stores, chat_table
-from recollect.sources.readers import read_files, read_jsonl
+from recollect.sources.logtail import log_files
+from recollect.sources.readers import REPORTED, read_file, read_files, read_jsonl
 from recollect.streaming.sync import sync_batch
 
 
@@ -78,7 +79,7 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
     text = "content string, title string, source string, content_type string, metadata string, scope string"
 
     def take(rows: DataFrame):
-        got = ing.ingest(rows, store.read("documents"), e, now, cfg.max_text_units)
+        got = ing.ingest(rows, store.read("documents"), e, now, cfg.max_text_units, known_chunks=store.read("chunks"))
         report = _rows(got.report)
         if not got.documents.isEmpty():
             store.add(got)
@@ -136,8 +137,20 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         return _rows(mem.memory_stats(store.read("memories")))
     if c == "ingest-text":
         return take(spark.createDataFrame([(a.text, a.title, None, None, None, None)], text))
-    if c in ("ingest-file", "ingest-dir"):
-        return take(read_files(spark, a.path, max_mb=cfg.max_file_mb, dirs=cfg.allowed_dirs)[0])
+    if c == "ingest-file":
+        return take(read_file(spark, a.path, max_mb=cfg.max_file_mb, dirs=cfg.allowed_dirs))
+    if c == "ingest-dir":
+        rows, found = read_files(spark, a.path, max_mb=cfg.max_file_mb, dirs=cfg.allowed_dirs)
+        got, found = take(rows), found.first()
+        good = [r for r in got if not r.get("error")]
+        bad = [*found.reasons, *(f"{r['title']} ({r['error']})" for r in got if r.get("error"))]
+        return {"ingested": good[:REPORTED], "skipped": bad[:REPORTED], "ingested_count": len(good), "skipped_count": found.skipped + len(got) - len(good)}
+    if c in ("ingest-jsonl", "sync-logs"):
+        logs = log_files(a.path if c == "ingest-jsonl" else a.dir)
+        if large := [f"{p} ({n} bytes)" for p, n in logs if n > cfg.session_max_log_bytes]:
+            raise ValueError(f"larger than {cfg.session_max_log_bytes} bytes: {', '.join(large[:REPORTED])}")
+        if c == "sync-logs" and not logs:
+            return {"messages": 0, "new_docs": 0, "deduplicated": 0, "skipped": 0}
     if c == "ingest-jsonl":
         return sync_batch(store, read_jsonl(spark, a.path), a.source, now, **condensing)
     if c == "sync-logs":

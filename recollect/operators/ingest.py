@@ -45,11 +45,12 @@ class Ingested:
     report: DataFrame  # id, title, chunk_count, tokens, deduplicated, error
 
 
-def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units: int = 1_000_000, max_chars: int = 900, overlap_chars: int = 120) -> Ingested:
+def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units: int = 1_000_000, max_chars: int = 900, overlap_chars: int = 120, known_chunks: DataFrame | None = None) -> Ingested:
     """``rows``: content, title, source, content_type, metadata, scope (null:
     none).  ``known``: the store's documents.  A blank or too long text is an
     error row; a text whose (scoped) hash is known or came earlier is a
     duplicate.  Ids are hashes of the content's, so a rerun gives the same.
+    A known text's tokens are summed from ``known_chunks``, if given.
     """
     h = F.when(F.col("scope").isNull(), content_hash(F.col("content"))).otherwise(content_hash(F.col("content"), F.col("scope")))
     error = F.when(F.col("content").isNull() | (trimmed(F.col("content")) == ""), "empty text").when(units(F.col("content")) > max_units, "text too long")
@@ -79,17 +80,25 @@ def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units:
         "token_count",
         F.lit(now_ms).cast("long").alias("created_at"),
     )
+    fresh = cut.select("content_hash", "id", F.size("parts").alias("chunk_count"), F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["token_count"]).alias("tokens"))
     have = known.select("content_hash", F.col("id").alias("known_id"), F.col("chunk_count").alias("known_chunks"))
     ordinal = F.row_number().over(W.partitionBy("content_hash").orderBy("title", "source"))
     judged = good.select("title", "source", "content_hash").withColumn("nth", ordinal).join(have, "content_hash", "left")
-    report = judged.join(documents.select("content_hash", "id", "chunk_count"), "content_hash", "left").select(
+    if known_chunks is not None:
+        hits = judged.where(F.col("known_id").isNotNull()).select(F.col("known_id").alias("doc_id")).distinct()
+        sums = known_chunks.join(hits, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("known_id")).agg(F.sum("token_count").alias("known_tokens"))
+        judged = judged.join(sums, "known_id", "left")
+    else:
+        judged = judged.withColumn("known_tokens", F.lit(None).cast("long"))
+    report = judged.join(fresh, "content_hash", "left").select(
         F.coalesce("known_id", "id").alias("id"),
         "title",
         F.coalesce("known_chunks", "chunk_count").alias("chunk_count"),
+        F.coalesce("known_tokens", "tokens").alias("tokens"),
         (F.col("known_id").isNotNull() | (F.col("nth") > 1)).alias("deduplicated"),
         F.lit(None).cast("string").alias("error"),
     )
-    bad = rows.where(F.col("error").isNotNull()).select(F.lit(None).cast("string").alias("id"), "title", F.lit(0).alias("chunk_count"), F.lit(False).alias("deduplicated"), "error")
+    bad = rows.where(F.col("error").isNotNull()).select(F.lit(None).cast("string").alias("id"), "title", F.lit(0).alias("chunk_count"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("deduplicated"), "error")
     return Ingested(documents, pieces, report.unionByName(bad))
 
 

@@ -33,8 +33,10 @@ def _place(path: str) -> tuple[pafs.FileSystem, str, str]:
 
 
 def log_files(path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the logs of a folder, or of a glob; none if it is missing."""
+    """(path, bytes) of a log, or of those of a folder or a glob; none if it is missing."""
     system, root, pattern = _place(path)
+    if (one := system.get_file_info(root)).is_file:
+        return [(one.path, one.size)]
     found = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
     return sorted((f.path, f.size) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, pattern))
 

@@ -372,6 +372,29 @@ def test_read_files(spark, tmp_path):
     with pytest.raises(PermissionError):
         readers.read_files(spark, root, dirs=(f"{tmp_path}/e",))
     assert readers.allowed(root, (f"{tmp_path}",)) and not readers.allowed(root + "x", (f"{tmp_path}/d",))
+    assert not readers.allowed(f"{root}/../e/f", (f"{tmp_path}/d",)) and readers.allowed(f"{root}/sub/../a.md", (f"{tmp_path}/d/",))
+    assert readers.allowed("hdfs://n/a/b", ("hdfs://n/a",)) and not readers.allowed("hdfs://n/a/../b", ("hdfs://n/a",)) and not readers.allowed("hdfs://m/a", ("hdfs://n/a",))
+    (tmp_path / "out.md").write_text("outside")
+    (tmp_path / "d" / "link.md").symlink_to(tmp_path / "out.md")
+    rows, report = readers.read_files(spark, root, max_mb=0.001, dirs=(f"{tmp_path}/d",))
+    assert rows.count() == 3 and report.first().skipped == 2
+    assert [r.split(" (")[1][:7] for r in report.first().reasons] == ["too lar", "outside"]
+    with pytest.raises(PermissionError):
+        readers.read_file(spark, f"{root}/link.md", dirs=(f"{tmp_path}/d",))
+
+
+def test_read_file(spark, tmp_path):
+    odd = tmp_path / "a[1] {x}*.log"
+    odd.write_bytes(b"\xff plain")
+    (tmp_path / "a1 x.log").write_text("another")
+    (row,) = readers.read_file(spark, f"file://{odd}").collect()
+    assert (row.title, row.content, row.content_type) == (odd.name, "\ufffd plain", "log")
+    odd.write_text("y" * 5000)
+    for error, path in ((ValueError, odd), (FileNotFoundError, tmp_path / "none"), (IsADirectoryError, tmp_path)):
+        with pytest.raises(error):
+            readers.read_file(spark, f"file://{path}", max_mb=0.001)
+    with pytest.raises(NotADirectoryError):
+        readers.read_files(spark, f"file://{odd}")
 
 
 def test_config():
