@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
         add(name)
     add("backup", "to")
     add("restore", "source")
+    add("vacuum", keep_hours=24.0)
     add("ingest-text", "text", "title")
     add("ingest-file", "path")
     add("ingest-dir", "path")
@@ -129,6 +130,8 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         return store.stats(warn_mb=cfg.vector_cache_warn_mb)
     if c in ("reindex", "backup", "restore"):
         return _rows(getattr(store, c)(*([a.to] if c == "backup" else [a.source] if c == "restore" else [])))
+    if c == "vacuum":
+        return {"deleted": store.vacuum(a.keep_hours)}
     if c == "clean-all":
         return store.clear()
     if c == "document-stats":
@@ -169,15 +172,16 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
     if c == "list":
         return _rows(ing.list_documents(store.read("documents"), a.limit, a.offset))
     if c == "delete":
-        d, k = ing.delete_document(store.read("documents"), store.read("chunks"), a.id)
-        return store.commit({"documents": d, "chunks": k})["version"]
+        one = spark.createDataFrame([(a.id, a.id)], "id string, doc_id string")
+        return store.change(drop={"documents": one, "chunks": one})["version"]
     if c == "memory-remember":
         row = {"content": a.content, "type": a.type, "importance": a.importance, "tags": [a.tag] if a.tag else []}
         return store.add_memories(mem.remember(spark, [row], now, e))["version"]
     if c == "memory-recall":
         hits = remembered(a.top_k, a.query, a.min_score).cache()
         out = _rows(hits.withColumns({"recall_count": F.col("recall_count") + 1, "last_recalled": F.lit(now)}))
-        store.commit({"memories": mem.bump(store.read("memories"), hits, now)})
+        told = store.read("memories").join(F.broadcast(hits.select("id")), "id", "left_semi")  # top_k rows
+        store.change(put={"memories": mem.bump(told, hits, now)})
         return out
     if c == "memory-context":
         return _rows(mem.memory_context(remembered(a.top_k, a.topic, 0.1)))
@@ -187,13 +191,16 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
     if c == "memory-get":
         return _rows(mem.get_memory(store.read("memories"), a.id))
     if c == "memory-forget":
-        return store.commit({"memories": mem.forget(store.read("memories"), a.id)})["version"]
+        return store.change(drop={"memories": spark.createDataFrame([(a.id,)], "id string")})["version"]
     if c == "memory-update":
         patch = {"content": a.content, "type": a.type, "importance": a.importance, "tags": [a.tag] if a.tag else None}
-        return store.commit({"memories": mem.update_memory(store.read("memories"), a.id, patch, now, e)})["version"]
-    after, report = mem.consolidate(store.read("memories"), now, cfg.dedup_max_vectors, cfg.prune, cfg.prune_importance, cfg.prune_age_days)
+        mine = store.read("memories").where(F.col("id") == a.id)
+        return store.change(put={"memories": mem.update_memory(mine, a.id, patch, now, e)})["version"]
+    before = store.read("memories")
+    after, report = mem.consolidate(before, now, cfg.dedup_max_vectors, cfg.prune, cfg.prune_importance, cfg.prune_age_days)
     out = _rows(report)
-    store.commit({"memories": after})
+    risen = after.join(before.where(mem.due()).select("id"), "id", "left_semi")
+    store.change(put={"memories": risen}, drop={"memories": before.select("id").join(after.select("id"), "id", "left_anti")})
     return out
 
 

@@ -5,6 +5,8 @@ Reads are pure; a write is a new version of the table, left to the caller.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,9 +114,13 @@ def forget(memories: DataFrame, id) -> DataFrame:
     return memories.where(~F.col("id").eqNullSafe(F.lit(id)))
 
 
+def due() -> Column:
+    """Recalled often enough to rise in importance."""
+    return (F.col("recall_count") >= 5) & (F.col("importance") < 1)
+
+
 def promote(memories: DataFrame) -> DataFrame:
-    due = (F.col("recall_count") >= 5) & (F.col("importance") < 1)
-    return memories.withColumn("importance", F.when(due, F.least(F.lit(1.0), F.col("importance") + 0.1)).otherwise(F.col("importance")))
+    return memories.withColumn("importance", F.when(due(), F.least(F.lit(1.0), F.col("importance") + 0.1)).otherwise(F.col("importance")))
 
 
 def prunable(now_ms: int, min_importance: float = 0.2, age_days: float = 90.0) -> Column:
@@ -183,26 +189,28 @@ def near_duplicates(memories: DataFrame, classes: DataFrame | None = None, embed
     return met.select(F.when(F.col("ahead"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("ahead"), F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
 
 
-def removed_by(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+def removed_by(pairs: DataFrame) -> DataFrame:
     """Ids to go, as the sequential pass would have it: a row goes if an
     earlier row that stays matches it.
 
     Rounds to a fixpoint: a row with no undecided earlier match stays, and its
-    later matches go.  Each round's undecided pairs are checkpointed.
+    later matches go.  Each round's undecided pairs are checkpointed.  The
+    earliest of those is always decided, so the rounds end, however long a
+    chain of matches is.
     """
     spark = pairs.sparkSession
     pairs = settle(pairs.select("a", "b").distinct())
     gone = pairs.select(F.col("b").alias("id")).limit(0)
-    for _ in range(most_rounds):
+    for n in itertools.count(1):
         if pairs.isEmpty():
             return gone
         waits = pairs.select(F.col("b").alias("a")).distinct()
         stays = pairs.select("a").distinct().join(waits, "a", "left_anti")
         out = settle(pairs.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct())
         gone = gone.unionByName(out)
+        gone = gone if n % 16 else settle(gone)  # else the plan grows with the rounds
         rest = pairs.join(out, pairs["b"] == out["id"], "left_anti")
         pairs = settle(rest.join(out, rest["a"] == out["id"], "left_anti").join(stays, "a", "left_anti"))
-    raise RuntimeError("consolidation did not settle")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -231,12 +239,12 @@ def consolidate(memories: DataFrame, now_ms: int, max_vectors: int = 500, prune:
         later = classes.where("id <> class_id").select("id")
         gone = settle(later.unionByName(removed_by(near_duplicates(memories, classes, embedder))))
     left = memories.join(gone, "id", "left_anti")
-    due = left.where((F.col("recall_count") >= 5) & (F.col("importance") < 1))
+    risen = left.where(due())
     after = promote(left)
     pruned = after.where(prunable(now_ms, min_importance, age_days)) if prune else after.limit(0)
     if prune:
         after = after.where(~F.coalesce(prunable(now_ms, min_importance, age_days), F.lit(False)))
-    report = memories.sparkSession.createDataFrame([(gone.count(), due.count(), pruned.count(), skipped)], "removed long, promoted long, pruned long, skipped_dedup boolean")
+    report = memories.sparkSession.createDataFrame([(gone.count(), risen.count(), pruned.count(), skipped)], "removed long, promoted long, pruned long, skipped_dedup boolean")
     return after, report
 
 

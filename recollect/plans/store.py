@@ -1,25 +1,37 @@
 """A versioned store: Parquet directories and a manifest swapped whole.
 
-A version is a set of table directories; the manifest names the current one
-with the vector space's model, dimension and state.  Readers see the version
-they opened; one writer at a time commits the next.  Paths are any that
-Hadoop's file systems know.
+A version is a list of segments for each table; the manifest names the current
+ones with the vector space's model, dimension and state.  A segment is rows, or
+changes: rows that replace all earlier ones of their keys, or take them out.
+So a change of a few rows writes a few rows, and many small segments are put
+together as they come.  Readers see the version they opened; one writer at a
+time commits the next.  Paths are any that Hadoop's file systems know.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.plans.schema import TABLES
+from recollect.plans.schema import KEYS, TABLES
+
+#: So many segments of a table are put together; the first one too, when the
+#: others have a fourth of its bytes.
+MOST_SEGMENTS, REWRITE = 16, 4
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, embedder) -> None:
+    def __init__(self, spark: SparkSession, path: str, embedder, lock_s: float = 600.0) -> None:
+        """A writer's lock that was not renewed for ``lock_s`` is a dead one's."""
+        self.lock_s = lock_s
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,36 +59,168 @@ class Store:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
         context.rename(tmp, live, options)
 
-    def _locked(self):
-        lock = self._p("writer.lock")
-        if not self._fs.createNewFile(lock):
-            raise RuntimeError("another writer holds the store")
-        return lock
+    @contextmanager
+    def _locked(self) -> Iterator[str]:
+        """Hold the writer's lock, renewed until it is given back."""
+        lock, me, done = self._p("writer.lock"), uuid.uuid4().hex, threading.Event()
+        if not self._take(lock, me):
+            age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 if self._fs.exists(lock) else 0
+            if age > self.lock_s:
+                self._fs.rename(lock, self._p(f".dead-{me}"))
+                self._fs.delete(self._p(f".dead-{me}"), False)
+            if age <= self.lock_s or not self._take(lock, me):
+                raise RuntimeError("another writer holds the store")
+
+        def renew() -> None:
+            while not done.wait(self.lock_s / 4):
+                if self._holder() == me:
+                    self._fs.setTimes(lock, int(time.time() * 1000), -1)
+
+        beat = threading.Thread(target=renew, daemon=True)
+        beat.start()
+        try:
+            yield me
+        finally:
+            done.set()
+            beat.join()
+            if self._holder() == me:
+                self._fs.delete(lock, False)
+
+    def _take(self, lock, me: str) -> bool:
+        try:
+            out = self._fs.create(lock, False)
+        except Py4JJavaError:
+            if self._fs.exists(lock):
+                return False
+            raise
+        out.write(bytearray(me.encode()))
+        out.close()
+        return True
+
+    def _holder(self) -> str | None:
+        try:
+            got = self._fs.open(self._p("writer.lock"))
+        except Py4JJavaError:
+            return None
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(got, "UTF-8")
+        finally:
+            got.close()
 
     # tables
 
     def read(self, table: str) -> DataFrame:
         at = self.manifest()["tables"].get(table)
-        if at is None:
+        if not at:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(*at)
+        return self._live(table, at)
+
+    def _stamped(self, table: str, at: list) -> DataFrame:
+        """Rows of the segments that no later change replaced, those that say
+        ``gone`` included; ``changed`` tells the kind of their segment."""
+        runs: list[tuple[bool, list[str]]] = []
+        for x in at:
+            changed = not isinstance(x, str)
+            if changed or not runs or runs[-1][0]:
+                runs.append((changed, []))
+            runs[-1][1].append(x["changes"] if changed else x)
+        rows = changes = None
+        for n, (changed, paths) in enumerate(runs):
+            one = self.spark.read.schema(TABLES[table] + (", gone boolean" if changed else "")).parquet(*paths)
+            one = one.withColumns({"seq": F.lit(n), "changed": F.lit(changed)} | ({} if changed else {"gone": F.lit(False)}))
+            rows = one if rows is None else rows.unionByName(one)
+            if changed:
+                keys = one.select(KEYS[table], "seq")
+                changes = keys if changes is None else changes.unionByName(keys)
+        if changes is None:
+            return rows
+        last = changes.groupBy(KEYS[table]).agg(F.max("seq").alias("last"))
+        return rows.join(last, KEYS[table], "left").where(F.col("last").isNull() | (F.col("seq") >= F.col("last")))
+
+    def _live(self, table: str, at: list) -> DataFrame:
+        if all(isinstance(x, str) for x in at):
+            return self.spark.read.schema(TABLES[table]).parquet(*at)
+        return self._stamped(table, at).where(~F.col("gone")).select(*self._columns(table))
+
+    @staticmethod
+    def _columns(table: str) -> list[str]:
+        return [f.strip().split(" ")[0] for f in TABLES[table].split(", ")]
+
+    def _bytes(self, segment) -> int:
+        path = self._jvm.org.apache.hadoop.fs.Path(segment if isinstance(segment, str) else segment["changes"])
+        return self._fs.getContentSummary(path).getLength()
+
+    def _compact(self, table: str, at: list, folder: str) -> list:
+        """At most three segments that read as the given ones.
+
+        All but the first become one of changes and one of added rows: a row
+        added after a change of its key stands, and one added before is gone.
+        """
+        first, rest = at[0], at[1:]
+        write = lambda df, name: df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        if not isinstance(first, str) or sum(map(self._bytes, rest)) * REWRITE >= self._bytes(first):
+            write(self._live(table, at), f"{table}-whole")
+            return [f"{folder}/{table}-whole"]
+        columns, now = self._columns(table), self._stamped(table, rest)
+        write(now.where(~F.col("changed")).select(*columns), f"{table}-added")
+        if all(isinstance(x, str) for x in rest):
+            return [first, f"{folder}/{table}-added"]
+        write(now.where("changed").select(*columns, "gone"), f"{table}-changed")
+        return [first, {"changes": f"{folder}/{table}-changed"}, f"{folder}/{table}-added"]
+
+    def _commit(self, holder: str, new: dict[str, DataFrame], how: str, **meta) -> dict:
+        m = self.manifest()
+        m["version"] += 1
+        folder = f"{self.path}/v{m['version']}-{uuid.uuid4().hex[:8]}"
+        for name, df in new.items():
+            where = f"{folder}/{name}"
+            df.select(*self._columns(name), *["gone"] * (how == "change")).write.mode("errorifexists").parquet(where)
+            one = {"changes": where} if how == "change" else where
+            m["tables"][name] = [one] if how == "replace" else [*m["tables"].get(name, []), one]
+            if len(m["tables"][name]) > MOST_SEGMENTS:
+                m["tables"][name] = self._compact(name, m["tables"][name], folder)
+        m.update(meta)
+        if self._holder() != holder:
+            raise RuntimeError("another writer took the store over")
+        self._swap(m)
+        return m
 
     def commit(self, new: dict[str, DataFrame], append: bool = False, **meta) -> dict:
         """Write tables and make them current, all at once."""
-        lock = self._locked()
-        try:
-            m = self.manifest()
-            m["version"] += 1
-            for name, df in new.items():
-                where = f"{self.path}/v{m['version']}-{uuid.uuid4().hex[:8]}/{name}"
-                names = [f.strip().split(" ")[0] for f in TABLES[name].split(", ")]
-                df.select(*names).write.mode("errorifexists").parquet(where)
-                m["tables"][name] = [*m["tables"].get(name, []), where] if append else [where]
-            m.update(meta)
-            self._swap(m)
-            return m
-        finally:
-            self._fs.delete(lock, False)
+        with self._locked() as me:
+            return self._commit(me, new, "append" if append else "replace", **meta)
+
+    def change(self, put: dict[str, DataFrame] | None = None, drop: dict[str, DataFrame] | None = None) -> dict:
+        """Replace all rows of the keys in ``put`` and take out those of the
+        keys in ``drop``, in one commit that writes no other rows.
+
+        ``drop`` wins over ``put``; a null key changes nothing.
+        """
+        new: dict[str, DataFrame] = {}
+        for name in {**(put or {}), **(drop or {})}:
+            key, parts = KEYS[name], []
+            if drop and name in drop:
+                parts.append(drop[name].select(key).where(F.col(key).isNotNull()).distinct())
+            if put and name in put:
+                rows = put[name].where(F.col(key).isNotNull())
+                rows = rows.join(parts[0], key, "left_anti") if parts else rows
+                parts.append(rows.select(*self._columns(name), F.lit(False).alias("gone")))
+            if drop and name in drop:
+                parts[0] = self.spark.createDataFrame([], TABLES[name]).unionByName(parts[0], allowMissingColumns=True).withColumn("gone", F.lit(True))
+            new[name] = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        with self._locked() as me:
+            return self._commit(me, new, "change")
+
+    def vacuum(self, keep_hours: float = 24.0) -> int:
+        """Delete folders that no current segment lies in and that are older
+        than ``keep_hours``, in which readers of former versions may go on."""
+        with self._locked():
+            used = {(x if isinstance(x, str) else x["changes"]).split("/")[-2] for at in self.manifest()["tables"].values() for x in at}
+            before = (time.time() - keep_hours * 3600) * 1000
+            old = [s.getPath() for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)) if s.isDirectory() and s.getPath().getName().startswith("v") and s.getPath().getName() not in used and s.getModificationTime() < before]
+            for path in old:
+                self._fs.delete(path, True)
+            return len(old)
 
     # guards
 
@@ -103,13 +247,15 @@ class Store:
 
     def reindex(self) -> DataFrame:
         """Embed everything anew; a failure leaves the state to be repaired."""
-        began, m = time.time(), self.manifest()
-        self._swap(m | {"embed_state": "reindexing"})
-        new = {}
-        for name in ("chunks", "memories"):
-            if name in m["tables"]:
-                new[name] = self.read(name).withColumn("embedding", self.embedder.column(F.col("content")))
-        self.commit(new, embed_state="ready", **(self._space() if new else {}))
+        began = time.time()
+        with self._locked() as me:
+            m = self.manifest()
+            self._swap(m | {"embed_state": "reindexing"})
+            new = {}
+            for name in ("chunks", "memories"):
+                if name in m["tables"]:
+                    new[name] = self.read(name).withColumn("embedding", self.embedder.column(F.col("content")))
+            self._commit(me, new, "replace", embed_state="ready", **(self._space() if new else {}))
         n = [self.read(t).count() for t in ("chunks", "memories")]
         return self.spark.createDataFrame([(*n, m["embed_dim"], self.manifest()["embed_dim"], time.time() - began)], "chunks long, memories long, dim_before int, dim_after int, seconds double")
 

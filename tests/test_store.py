@@ -1,8 +1,11 @@
 """Search, ingest, memories, sessions, the store, sync and the command line."""
 
 import json
+import os
 import random
 import sqlite3
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from recollect import cli, config
 from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest, memory, search, session
+from recollect.plans import store as store_module
+from recollect.plans.schema import TABLES
 from recollect.plans.store import Store
 from recollect.sources import chatdb, logtail, readers
 from recollect.streaming.sync import sync_batch, sync_logs
@@ -131,6 +136,79 @@ def test_reindex_guard(spark, store):
         other.check()
 
 
+def plain(spark, names, importance=0.5):
+    got = [(n, "fact", n, importance, [1.0], ["t"], 0, None, 1, 1) for n in names]
+    return spark.createDataFrame(got, TABLES["memories"])
+
+
+def test_changes_are_keyed(spark, store, monkeypatch):
+    """Random appends, replacements and removals against a dict, put together
+    after every second segment; the store then holds few segments."""
+    monkeypatch.setattr(store_module, "MOST_SEGMENTS", 3)
+    rng, want = random.Random(4), {}
+    for n in range(14):
+        new = [f"m{n}-{i}" for i in range(8 if n == 0 else rng.randint(0, 2))]
+        put = rng.sample(sorted(want), min(len(want), rng.randint(0, 3)))
+        drop = rng.sample(sorted(want), min(len(want), rng.randint(0, 2))) + ["unknown"]
+        if n % 3 == 2:
+            store.change({"memories": plain(spark, put, n / 100)}, {"memories": spark.createDataFrame([(x,) for x in [*drop, None]], "id string")})
+            want.update(dict.fromkeys(put, n / 100))
+            for x in drop:
+                want.pop(x, None)
+        elif n % 3 == 1 and put:
+            # a row that comes back after its removal
+            store.change(drop={"memories": spark.createDataFrame([(x,) for x in put], "id string")})
+            store.commit({"memories": plain(spark, put, n / 100)}, append=True)
+            want.update(dict.fromkeys(put, n / 100))
+        else:
+            store.commit({"memories": plain(spark, new)}, append=True)
+            want.update(dict.fromkeys(new, 0.5))
+        assert sorted((r.id, r.importance) for r in store.read("memories").collect()) == sorted(want.items())
+        assert len(store.manifest()["tables"]["memories"]) <= 3
+    assert store.read("memories").columns == [f.split()[0] for f in TABLES["memories"].split(", ")]
+
+
+def test_few_changes_rewrite_no_base(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_SEGMENTS", 3)
+    store.commit({"memories": plain(spark, [f"{random.Random(i).random()}" * 9 for i in range(3000)])})
+    base = store.manifest()["tables"]["memories"]
+    one = store.read("memories").orderBy("id").limit(1)
+    for n in range(5):
+        store.change({"memories": one.withColumn("recall_count", F.lit(n).cast("int"))})
+    at = store.manifest()["tables"]["memories"]
+    assert at[0] == base[0] and len(at) <= 3
+    got = store.read("memories")
+    assert got.count() == 3000 and got.agg(F.max("recall_count")).first()[0] == 4
+    # what no segment lies in goes, once it is old
+    folders = lambda: {x.name for x in Path(store.path.removeprefix("file://")).glob("v*")}
+    assert store.vacuum() == 0 and len(folders()) == 6
+    assert store.vacuum(0.0) == 6 - len(folders()) > 0 and store.read("memories").count() == 3000
+
+
+def test_a_dead_writers_lock_is_broken(spark, store):
+    store.commit({"memories": plain(spark, ["a"])})
+    lock = Path(store.path.removeprefix("file://")) / "writer.lock"
+    lock.write_text("someone")
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit({"memories": plain(spark, ["b"])})
+    assert lock.read_text() == "someone"
+    os.utime(lock, (1, 1))
+    store.commit({"memories": plain(spark, ["b"])})
+    assert not lock.exists() and [r.id for r in store.read("memories").collect()] == ["b"]
+    # a holder renews its lock, and does not commit once it has lost it
+    quick = Store(spark, store.path, E, lock_s=0.4)
+    with quick._locked() as me:
+        os.utime(lock, (1, 1))
+        time.sleep(0.5)
+        with pytest.raises(RuntimeError, match="another writer"):
+            quick.commit({"memories": plain(spark, ["c"])})
+        (lock.parent / ".writer.lock.crc").unlink(missing_ok=True)
+        lock.write_text("thief")
+        with pytest.raises(RuntimeError, match="took"):
+            quick._commit(me, {"memories": plain(spark, ["c"])}, "replace")
+    assert lock.read_text() == "thief" and [r.id for r in store.read("memories").collect()] == ["b"]
+
+
 def mem(spark, items):
     schema = "id string, type string, content string, importance double, tags array<string>, recall_count int, last_recalled long, created_at long, updated_at long"
     df = spark.createDataFrame(items, schema)
