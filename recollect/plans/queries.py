@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.chunking import chunks
-from recollect.functions.embedding import LocalEmbedder, bucket_column
-from recollect.functions.text import condense, content_hash, estimate_tokens, parse_tags, token_set
+from recollect.functions.embedding import PAIR_STOPWORDS, LocalEmbedder, bucket_column
+from recollect.functions.text import CONDENSE_STOPWORDS, condense, content_hash, estimate_tokens, parse_tags, token_set
 from recollect.operators import ingest, memory, search, session
 
 KEYWORDS, KEYWORD_SOURCE = "ouent thor", "src0"
@@ -75,7 +75,7 @@ def features_sql(source: str) -> str:
     Feature hashing as SQL: words, word pairs and character grams by FNV-1a;
     the tables have no CJK text.
     """
-    stop = "'a','an','the','and','or','of','to','in','on','at','by','for','with','from','as','is','are','was','were','be','been','this','that','it','its','i','you','we','they','he','she','my','your','our','their'"
+    stop = ", ".join(f"'{w}'" for w in sorted(PAIR_STOPWORDS))
     return f"""
     low AS (SELECT id, lower(content) AS c, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM {source}),
     grams AS (
@@ -249,17 +249,87 @@ def dedup_anti_join(spark, sf_dir):
     return d.where("lang <> 'en'").join(d.where("lang = 'en'"), "h", "left_anti").select("doc_id")
 
 
-@query()
+def _cut_sql(name: str, source: str, most: int) -> str:
+    """CTEs that end in ``name(id, n, part, piece)``: texts of ``source(id, n,
+    piece)`` cut at the last good break past 60% of ``most`` characters."""
+    floor = int(most * 0.6)
+    return f"""{name}_cut AS (
+        SELECT id, n, 0 AS part, NULL::VARCHAR AS piece, piece AS rest FROM {source}
+        UNION ALL SELECT id, n, part + 1, trim(left(rest, cut), {_BLANKS}), substr(rest, cut + 1) FROM (
+            SELECT *, CASE WHEN good > {floor} THEN good + 1 WHEN blank - 1 > {floor} THEN blank ELSE {most} END AS cut FROM (
+                SELECT *, length(regexp_extract(left(rest, {most}), '(?s)^(.*)(?:\\. |\\.\\n|。|\\n|, )', 1)) AS good, length(regexp_extract(left(rest, {most}), '(?s)^.*\\s')) AS blank
+                FROM {name}_cut WHERE length(rest) > {most}))),
+    {name} AS (SELECT id, n, part, piece FROM {name}_cut WHERE part > 0
+        UNION ALL SELECT id, n, part + 1, trim(rest, {_BLANKS}) FROM {name}_cut WHERE length(rest) <= {most} AND trim(rest, {_BLANKS}) <> '')"""
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def chunks_sql(most: int = 900, overlap: int = 120) -> str:
+    """CTEs that end in ``chunked(doc_id, idx, text, token_count)``.
+
+    Another way to the same chunks: sentences by a pattern, the cuts and the
+    window by recursion, a row a step.  For one block a text: the tables have
+    no blank line, fence, nor character beyond the basic plane.
+    """
+    cjk = "length(regexp_replace(piece, '[^一-鿿぀-ヿ가-힯]', '', 'g'))"
+    glue = lambda w: f"CASE WHEN {w} = '' OR ends_with({w}, chr(10)) OR starts_with(piece, chr(10)) THEN '' WHEN contains({w} || piece, chr(10)) THEN chr(10) ELSE ' ' END"
+    wordy = "'[\\p{L}\\p{N}_]'"
+    return f"""blocks AS (SELECT doc_id AS id, 0 AS n, rtrim(replace(text, chr(13) || chr(10), chr(10)), {_BLANKS}) AS piece FROM documents WHERE trim(text, {_BLANKS}) <> ''),
+    long_blocks AS (SELECT * FROM blocks WHERE length(piece) > {most}), {_cut_sql("long_pieces", "long_blocks", most)},
+    marked AS (SELECT id, piece, regexp_replace(regexp_replace(piece, '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g') AS m FROM blocks WHERE length(piece) <= {most}),
+    sentences AS (SELECT id, piece, list_filter(list_transform(regexp_extract_all(m, '[^.!?。！？]*[.!?。！？]["''\\)\\]}}»”]*|[^.!?。！？]+$'), lambda x: trim(replace(x, chr(1), '.'), {_BLANKS})), lambda x: x <> '') AS ss FROM marked),
+    pieces AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY part) AS n, piece FROM long_pieces
+        UNION ALL SELECT id, unnest(range(1, len(ss) + 1)), unnest(ss) FROM sentences),
+    steps AS (
+        SELECT id, 0::BIGINT AS n, ''::VARCHAR AS w, NULL::VARCHAR AS full_ FROM blocks
+        UNION ALL SELECT id, n, kept || {glue("kept")} || piece, CASE WHEN over THEN w END FROM (
+            SELECT *, CASE WHEN NOT over THEN w WHEN {overlap} = 0 THEN '' WHEN regexp_full_match(before, {wordy}) AND regexp_full_match(body[1], {wordy}) AND regexp_matches(body, '\\s') THEN regexp_replace(body, '^\\S+\\s+', '') ELSE body END AS kept FROM (
+                SELECT p.id, p.n, s.w, p.piece, s.w <> '' AND length(s.w) + length({glue("s.w")}) + length(p.piece) > {most} AS over,
+                    ltrim(right(s.w, {overlap}), {_BLANKS}) AS body, CASE WHEN length(s.w) > {overlap} THEN s.w[length(s.w) - {overlap}] ELSE '' END AS before
+                FROM steps s JOIN pieces p ON p.id = s.id AND p.n = s.n + 1))),
+    windows AS (SELECT id, n, trim(full_, {_BLANKS}) AS piece FROM steps WHERE full_ IS NOT NULL
+        UNION ALL SELECT id, max(n) + 1, trim(arg_max(w, n), {_BLANKS}) FROM steps GROUP BY id),
+    {_cut_sql("whole", "windows", most)},
+    chunked AS (SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY n, part) - 1)::INT AS idx, piece AS text,
+        (ceil({cjk} * 1.5) + ceil((length(piece) - {cjk}) / 4.0))::INT AS token_count FROM whole WHERE piece <> '')"""
+
+
+@query(f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, idx, text, token_count FROM chunked")
 def chunk_documents(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", F.inline(chunks(F.col("text")))).select("doc_id", "idx", "text", "token_count")
 
 
-@query()
+@query(f"WITH RECURSIVE {chunks_sql()} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, sum(token_count)::BIGINT AS tokens, max(length(text))::INT AS longest FROM chunked")
 def chunk_stats(spark, sf_dir):
     return chunk_documents(spark, sf_dir).agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max(F.length("text")).alias("longest"))
 
 
+def _chunk_table(spark, sf_dir) -> DataFrame:
+    c = chunk_documents(spark, sf_dir)
+    return c.select(F.concat("doc_id", F.lit("#"), "idx").alias("id"), "doc_id", "idx", F.col("text").alias("content"), "token_count")
+
+
+@query(f"WITH RECURSIVE {chunks_sql()} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, sum(token_count)::BIGINT AS tokens FROM chunked")
+def store_document_stats(spark, sf_dir):
+    return ingest.document_stats(t(spark, sf_dir, "documents"), _chunk_table(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {chunks_sql()}, parts AS (SELECT doc_id || '#' || idx AS id, doc_id, idx, text FROM chunked), {bm25_sql("parts", "id", KEYWORDS.split())},
+    k AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS kr, count(*) OVER () AS n FROM (SELECT * FROM scored ORDER BY bm25 DESC, id LIMIT 60))
+    SELECT kr::INT AS rank, k.id, source, idx AS chunk_index, round(1 - kr / (n + 1.0), 6)::DOUBLE AS score, parts.text AS content
+    FROM k JOIN parts USING (id) JOIN documents USING (doc_id) WHERE kr < 10"""
+)
+def hydrated_hits(spark, sf_dir):
+    parts, d = _chunk_table(spark, sf_dir), t(spark, sf_dir, "documents")
+    hits = search.search_chunks(parts, KEYWORDS, None, mode="keyword")
+    hits = search.hydrate(hits, parts, d.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "source"))
+    return hits.select("rank", "id", "source", "chunk_index", F.round("score", 6).alias("score"), "content")
+
+
 @query("SELECT doc_id, ceil(length(text) / 4.0)::INT AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
@@ -278,10 +348,12 @@ def docs_page(spark, sf_dir):
     return ingest.list_documents(page, 100, 20).select("id", "source", F.col("updated_at").alias("n_chars"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id <> 5")
+@query(f"WITH RECURSIVE {chunks_sql()} SELECT 'documents' AS kind, doc_id, 1::BIGINT AS rows FROM documents WHERE doc_id <> 5 UNION ALL SELECT 'chunks', doc_id, count(*) FROM chunked WHERE doc_id <> 5 GROUP BY doc_id")
 def delete_document_cascade(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return ingest.delete_document(d, d.withColumnRenamed("id", "doc_id"), 5)[1]
+    kept, parts = ingest.delete_document(d, _chunk_table(spark, sf_dir).select("doc_id"), 5)
+    rows = kept.select(F.lit("documents").alias("kind"), F.col("id").alias("doc_id")).unionByName(parts.select(F.lit("chunks").alias("kind"), "doc_id"))
+    return rows.groupBy("kind", "doc_id").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT page_id, CASE WHEN lower(url) LIKE '%.html' THEN 'html' ELSE 'text' END AS content_type FROM pages")
@@ -291,7 +363,7 @@ def content_types(spark, sf_dir):
 
 # Sessions
 
-_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys("a an and are as at be but by for from has have he her his i if in is it its not of on or our she so that the their them they this to was we were will with dan atau yang dari ke di untuk pada dengan tidak apakah saya kamu kita ini itu sudah akan bisa mau apa siapa kapan mana lebih".split()))
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(CONDENSE_STOPWORDS))
 
 
 @query(
@@ -375,16 +447,26 @@ def memory_stats(spark, sf_dir):
     return each.unionByName(whole)
 
 
-@query(
-    f"""WITH m AS ({MEMORIES_SQL}), {cosine_sql("m", QUERY)},
+_RECALL = f"""WITH m AS ({MEMORIES_SQL}), {cosine_sql("m", QUERY)},
     near AS (SELECT id, cosine FROM cosines WHERE cosine >= 0.1 ORDER BY cosine DESC, id LIMIT 16),
-    s AS (SELECT m.id, cosine, cosine * pow(0.5, ({NOW} - coalesce(last_recalled, created_at)) / (14 * {DAY}.0)) AS score FROM near JOIN m USING (id))
-    SELECT id, round(cosine, 6) AS cosine, round(score, 6) AS score FROM s WHERE score >= 0.1 ORDER BY s.score DESC, s.cosine DESC, id LIMIT 8"""
-)
-def memory_recall_decay(spark, sf_dir):
+    s AS (SELECT m.id, type, importance, content, cosine, cosine * pow(0.5, ({NOW} - coalesce(last_recalled, created_at)) / (14 * {DAY}.0)) AS score FROM near JOIN m USING (id)),
+    hit AS (SELECT * FROM s WHERE score >= 0.1 ORDER BY s.score DESC, s.cosine DESC, id LIMIT 8)"""
+
+
+def _recalled(spark, sf_dir) -> DataFrame:
     e = LocalEmbedder()
     m = memories(spark, sf_dir).withColumn("embedding", e.column(F.col("content")))
-    return memory.recall(m, e.query(QUERY), NOW).select("id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+    return memory.recall(m, e.query(QUERY), NOW)
+
+
+@query(f"{_RECALL} SELECT id, round(cosine, 6) AS cosine, round(score, 6) AS score FROM hit")
+def memory_recall_decay(spark, sf_dir):
+    return _recalled(spark, sf_dir).select("id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_RECALL} SELECT string_agg('[' || type || ', importance ' || format('{{:.2f}}', importance) || '] ' || content, chr(10) ORDER BY score DESC, id) AS context FROM hit")
+def memory_context_lines(spark, sf_dir):
+    return memory.memory_context(_recalled(spark, sf_dir))
 
 
 @query(f"WITH m AS ({MEMORIES_SQL}) SELECT id, CASE WHEN recall_count >= 5 AND importance < 1 THEN round(least(1, importance + 0.1), 6) ELSE importance END AS importance FROM m")
@@ -448,7 +530,16 @@ def near_dup_members(spark, sf_dir):
     return memory.duplicate_classes(_document_memories(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ALL}, pairs AS MATERIALIZED ({_PAIRS}),
+    later AS (SELECT id FROM every WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]{{2}}') QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) > 1),
+    firsts AS MATERIALIZED (SELECT a, bs, row_number() OVER (ORDER BY importance DESC, created_at, a) AS k FROM (SELECT a, list(b) AS bs FROM pairs GROUP BY a) JOIN every ON id = a),
+    pass AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+        UNION ALL SELECT f.k, CASE WHEN list_contains(gone, f.a) THEN gone ELSE list_concat(gone, f.bs::BIGINT[]) END FROM pass JOIN firsts f ON f.k = pass.k + 1),
+    removed AS (SELECT id FROM later UNION SELECT unnest(gone) FROM (SELECT gone FROM pass ORDER BY k DESC LIMIT 1))
+    SELECT id, CASE WHEN id % 7 >= 5 AND importance < 1 THEN round(least(1, importance + 0.1), 6) ELSE importance END AS importance
+    FROM every WHERE id NOT IN (SELECT id FROM removed) AND NOT (importance < 0.2 AND id % 7 = 0)"""
+)
 def consolidate_survivors(spark, sf_dir):
     left, _ = memory.consolidate(_document_memories(spark, sf_dir), 20 * DAY, prune=True, age_days=10, embedder=LocalEmbedder())
     return left.select("id", F.round("importance", 6).alias("importance"))

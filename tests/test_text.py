@@ -4,13 +4,16 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollect.functions import chunking, embedding, text
+from recollect.plans import queries
 
 SAMPLES = [
     "",
@@ -132,6 +135,19 @@ def test_chunk_column(spark):
     assert [(r.idx, r.text, r.token_count) for r in sorted(got)] == chunking.chunk_text(long)
 
 
+def test_chunks_are_those_of_sql():
+    """Texts of one block each, as SQL cuts them: long ones, long runs without
+    a break, decimals, closers, lines and letters of many scripts."""
+    rng = random.Random(9)
+    words = ["ab", "word", "3.14", "1.2.3", 'he said "no."', "(end!)", "漢字。", "ñandú,", "x" * 70, "z" * 1300, "line\nbreak", "stop.", "why?", "\r\nnext"]
+    texts = [" ".join(rng.choices(words, [9, 9, 2, 1, 2, 2, 2, 4, 1, 0.05, 2, 4, 2, 1], k=rng.choice([1, 5, 60, 400]))) for _ in range(150)] + ["", " \n", "  lead", "trail \n "]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", rows)
+    want = con.execute(f"WITH RECURSIVE {queries.chunks_sql()} SELECT doc_id, idx, text, token_count FROM chunked").fetchall()
+    assert sorted(want) == [(i, *c) for i, t in enumerate(texts) for c in chunking.chunk_text(t)]
+
+
 # Embedder
 
 
