@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.config import from_env
+from recollect.config import environment, from_env
 from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest as ing
 from recollect.operators import memory as mem
@@ -74,7 +74,9 @@ def _rows(df: DataFrame) -> list:
 
 
 def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
-    a, cfg, e = parser().parse_args(argv), from_env(), LocalEmbedder()
+    a, cfg, e = parser().parse_args(argv), from_env(environment()), LocalEmbedder()
+    if cfg.embedding_provider != "local":
+        raise ValueError(f"no {cfg.embedding_provider} embedder here: pass one to Store, or unset EMBEDDING_PROVIDER")
     now = int(time.time() * 1000) if now_ms is None else now_ms
     store = Store(spark, a.db or cfg.db_dir, e)
     text = "content string, title string, source string, content_type string, metadata string, scope string"

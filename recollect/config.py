@@ -62,6 +62,7 @@ def from_env(env: dict[str, str] | None = None) -> Config:
         condense=e.get("RAG_SESSION_CONDENSE") != "0",
         condense_min_chars=int(number(e.get("RAG_SESSION_CONDENSE_MIN_CHARS"), c.condense_min_chars, lambda n: n >= 50)),
         condense_ratio=number(e.get("RAG_SESSION_CONDENSE_RATIO"), c.condense_ratio, lambda n: 0 < n <= 1),
+        embedding_provider="transformers" if e.get("EMBEDDING_PROVIDER") == "transformers" else c.embedding_provider,
         db_dir=e.get("RAG_DB_DIR") or c.db_dir,
     )
 
@@ -83,3 +84,20 @@ def parse_env_file(text: str, allowed: set[str]) -> dict[str, str]:
             value = value.split(" #", 1)[0].rstrip()
         out[m[1]] = value
     return out
+
+
+#: Names that a file of settings may set.
+_OURS = re.compile(r"\b(?:RAG_|OPENCODE_|EMBEDDING_)[A-Z0-9_]+|\bSEARCH_MODE\b")
+
+
+def environment(env: dict[str, str] | None = None, folder: str = ".") -> dict[str, str]:
+    """The environment with what the file ``RAG_ENV_FILE``, or ``.env`` in the
+    folder, adds; a name that is set already keeps its value.  A file that was
+    named and cannot be read is an error, a ``.env`` that is not there is none."""
+    e = dict(os.environ if env is None else env)
+    path = e.get("RAG_ENV_FILE") or os.path.join(folder, ".env")
+    if "RAG_ENV_FILE" not in e and not os.path.isfile(path):
+        return e
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    return parse_env_file(text, set(_OURS.findall(text))) | e

@@ -482,6 +482,16 @@ def test_config():
     assert config.parse_env_file(text, {"A", "B", "D"}) == {"A": "x y", "B": "2", "D": "q#z"}
 
 
+def test_environment_file(tmp_path):
+    (tmp_path / ".env").write_text("export RAG_RRF_K = 30 # less\nSEARCH_MODE='vector'\nPATH=/nowhere\nEMBEDDING_PROVIDER=transformers\n")
+    got = config.environment({"SEARCH_MODE": "keyword", "PATH": "/bin"}, str(tmp_path))
+    assert got == {"RAG_RRF_K": "30", "SEARCH_MODE": "keyword", "PATH": "/bin", "EMBEDDING_PROVIDER": "transformers"}
+    assert config.from_env(got).rrf_k == 30 and config.from_env(got).embedding_provider == "transformers"
+    assert config.environment({"A": "1"}, str(tmp_path / "none")) == {"A": "1"}
+    with pytest.raises(OSError):
+        config.environment({"RAG_ENV_FILE": str(tmp_path / "none")})
+
+
 def test_command_line(spark, tmp_path):
     db = f"file://{tmp_path}/db"
     run = lambda *a: cli.run(spark, ["--db", db, *a], 10 * DAY)
