@@ -225,19 +225,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def duplicates(memories: DataFrame, embedder=None) -> DataFrame:
+    """(id) of the memories that go as near-duplicates of one that stays.
+
+    All but the first of a class go: whatever takes the first one takes them,
+    and else it does.
+    """
+    classes = settle(duplicate_classes(memories))
+    later = classes.where("id <> class_id").select("id")
+    return settle(later.unionByName(removed_by(near_duplicates(memories, classes, embedder))))
+
+
 def consolidate(memories: DataFrame, now_ms: int, max_vectors: int = 500, prune: bool = False, min_importance: float = 0.2, age_days: float = 90.0, enforce_ceiling: bool = False, embedder=None) -> tuple[DataFrame, DataFrame]:
     """(table after, one-row report).  Near-duplicates go, then promote, prune.
 
-    All but the first of a class go: whatever takes the first one takes them,
-    and else it does.  The ceiling on vectors protected a quadratic loop; the
-    join here needs none, so it applies only with ``enforce_ceiling``.
+    The ceiling on vectors protected a quadratic loop; the join here needs
+    none, so it applies only with ``enforce_ceiling``.
     """
     skipped = enforce_ceiling and memories.where(F.col("embedding").isNotNull()).count() > max_vectors
-    gone = memories.select("id").limit(0)
-    if not skipped:
-        classes = settle(duplicate_classes(memories))
-        later = classes.where("id <> class_id").select("id")
-        gone = settle(later.unionByName(removed_by(near_duplicates(memories, classes, embedder))))
+    gone = memories.select("id").limit(0) if skipped else duplicates(memories, embedder)
     left = memories.join(gone, "id", "left_anti")
     risen = left.where(due())
     after = promote(left)

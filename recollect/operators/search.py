@@ -18,6 +18,18 @@ from recollect.functions.text import clamp, query_tokens
 K1, B = 1.2, 0.75
 
 
+def bm25(found: list[tuple[Column, int]], size: Column, n: int, avg: float) -> Column:
+    """Score of a text of ``size`` from each token's count in it and the number
+    of the ``n`` texts that hold the token."""
+    score = F.lit(0.0)
+    for count, df in found:
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        idf = idf if idf > 0 else 1e-6
+        f = count.cast("double")
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / (avg or 1.0)))
+    return score
+
+
 def keyword_scores(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "content", allowed: Column | None = None) -> DataFrame:
     """(id, bm25) of chunks that contain every query token of three or more
     characters; statistics are over all chunks, ``allowed`` filters after them."""
@@ -32,13 +44,7 @@ def keyword_scores(chunks: DataFrame, query: str, id_col: str = "id", text_col:
     stats = seen.agg(F.count("*").alias("n"), F.avg(size).alias("avg"), *(F.count(F.when(low.contains(t), 1)).alias(f"df{i}") for i, t in enumerate(tokens))).first()
     if not stats["n"]:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25")).limit(0)
-    score = F.lit(0.0)
-    for i in range(len(tokens)):
-        n, df = stats["n"], stats[f"df{i}"]
-        idf = math.log((n - df + 0.5) / (df + 0.5))
-        idf = idf if idf > 0 else 1e-6
-        f = F.col(f"tf{i}").cast("double")
-        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / (stats["avg"] or 1.0)))
+    score = bm25([(F.col(f"tf{i}"), stats[f"df{i}"]) for i in range(len(tokens))], F.col("size"), stats["n"], stats["avg"])
     has_all = low.contains(tokens[0])
     for t in tokens[1:]:
         has_all = has_all & low.contains(t)

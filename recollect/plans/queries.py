@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from recollect.functions.chunking import chunks
 from recollect.functions.embedding import PAIR_STOPWORDS, LocalEmbedder, bucket_column
 from recollect.functions.text import CONDENSE_STOPWORDS, condense, content_hash, estimate_tokens, parse_tags, token_set
-from recollect.operators import ingest, memory, search, session
+from recollect.operators import ingest, keyword_index, memory, search, session
+from recollect.plans.scratch import fresh_dir
 
 KEYWORDS, KEYWORD_SOURCE = "ouent thor", "src0"
 QUERY = "the thinging of onerst and heation"
@@ -127,6 +128,27 @@ def keyword_filtered(spark, sf_dir):
     return hits.select("id", F.round("bm25", 6).alias("bm25"))
 
 
+# The same through an index, which is built over all texts first
+
+
+def _indexed(spark, sf_dir) -> keyword_index.KeywordIndex:
+    path = fresh_dir(spark, "keywords")
+    keyword_index.add(t(spark, sf_dir, "documents"), path, id_col="doc_id", text_col="text")
+    return keyword_index.read(spark, path, "long")
+
+
+@query(ORACLE["keyword_bm25_topk"])
+def keyword_index_topk(spark, sf_dir):
+    return keyword_index.indexed_search(_indexed(spark, sf_dir), KEYWORDS).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', ['the'], 'doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')} SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY scored.bm25 DESC, id LIMIT 60")
+def keyword_index_filtered(spark, sf_dir):
+    """A token that very many words contain, among documents labelled good."""
+    good = t(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return keyword_index.indexed_search(_indexed(spark, sf_dir), "the", allowed=good).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 # Vector search
 
 _DOTS = f"""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = {QUERY_VECTOR}),
@@ -487,15 +509,17 @@ def update_memory_patch(spark, sf_dir):
 
 _ALL = "every AS (SELECT doc_id AS id, text AS content, ((doc_id * 37) % 101) / 100.0::DOUBLE AS importance, doc_id % 50 AS created_at FROM documents)"
 
-_PAIRS = f"""WITH {_ALL},
-    m AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) = 1),
-    tok AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS t FROM m),
-    ranked AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r, count(*) OVER (PARTITION BY id) AS n FROM tok JOIN (SELECT t, count(*) AS df FROM tok GROUP BY t) USING (t)),
-    head AS (SELECT id, t FROM ranked WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
-    met AS (SELECT DISTINCT a.id AS p, b.id AS q FROM head a JOIN head b ON a.t = b.t AND a.id < b.id),
-    shared AS (SELECT p, q, count(*) AS n FROM met JOIN tok a ON a.id = p JOIN tok b ON b.id = q AND b.t = a.t GROUP BY ALL),
+
+def pairs_sql() -> str:
+    """CTEs and the select of pairs (a, b, cosine, overlap) of ``every``: all
+    pairs of unlike contents that share a token and are of near enough size are
+    counted, with no filter that the code's own could share a mistake with."""
+    return f"""m AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) = 1),
+    tok AS MATERIALIZED (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS t FROM m),
     size AS (SELECT id, count(*) AS u FROM tok GROUP BY id),
-    c AS (SELECT p, q, n / (a.u + b.u - n)::DOUBLE AS overlap FROM shared JOIN size a ON a.id = p JOIN size b ON b.id = q WHERE n / (a.u + b.u - n)::DOUBLE >= 0.8),
+    sized AS MATERIALIZED (SELECT id, u, t FROM tok JOIN size USING (id)),
+    shared AS (SELECT a.id AS p, b.id AS q, any_value(a.u) AS pu, any_value(b.u) AS qu, count(*) AS n FROM sized a JOIN sized b ON b.t = a.t AND a.id < b.id AND a.u >= 0.79 * b.u AND b.u >= 0.79 * a.u GROUP BY a.id, b.id),
+    c AS MATERIALIZED (SELECT p, q, n / (pu + qu - n)::DOUBLE AS overlap FROM shared WHERE n / (pu + qu - n)::DOUBLE >= 0.8),
     x AS (SELECT id, content FROM m WHERE id IN (SELECT p FROM c UNION SELECT q FROM c)), {features_sql("x")},
     z AS (SELECT p, q, overlap, coalesce(sum(sqrt(a.cnt * b.cnt)), 0) / sqrt(any_value(sa.total) * any_value(sb.total)) AS cosine
           FROM c JOIN buckets a ON a.id = p JOIN buckets b ON b.id = q AND b.bucket = a.bucket JOIN sizes sa ON sa.id = p JOIN sizes sb ON sb.id = q GROUP BY p, q, overlap),
@@ -503,6 +527,16 @@ _PAIRS = f"""WITH {_ALL},
     SELECT CASE WHEN first THEN p ELSE q END AS a, CASE WHEN first THEN q ELSE p END AS b, round(cosine, 6) AS cosine, round(overlap, 6) AS overlap FROM o"""
 
 
+def removed_sql() -> str:
+    """CTEs that end in ``removed(id)``: the sequential pass over ``every`` by
+    its matches ``pairs(a, b)``, a row a step."""
+    return """later AS (SELECT id FROM every WHERE regexp_matches(content, '[\\p{L}\\p{N}]{2}') QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) > 1),
+    firsts AS MATERIALIZED (SELECT a, bs, row_number() OVER (ORDER BY importance DESC, created_at, a) AS k FROM (SELECT a, list(b) AS bs FROM pairs GROUP BY a) JOIN every ON id = a),
+    pass AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+        UNION ALL SELECT f.k, CASE WHEN list_contains(gone, f.a) THEN gone ELSE list_concat(gone, f.bs::BIGINT[]) END FROM pass JOIN firsts f ON f.k = pass.k + 1),
+    removed AS (SELECT id FROM later UNION SELECT unnest(gone) FROM (SELECT gone FROM pass ORDER BY k DESC LIMIT 1))"""
+
+
 def _document_memories(spark, sf_dir) -> DataFrame:
     """Documents as memories; vectors are made of those that need one."""
     d = t(spark, sf_dir, "documents")
@@ -516,7 +550,7 @@ def _document_memories(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(_PAIRS)
+@query(f"WITH {_ALL}, {pairs_sql()}")
 def near_dup_pairs(spark, sf_dir):
     p = memory.near_duplicates(_document_memories(spark, sf_dir), embedder=LocalEmbedder())
     return p.select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("overlap", 6).alias("overlap"))
@@ -531,12 +565,7 @@ def near_dup_members(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {_ALL}, pairs AS MATERIALIZED ({_PAIRS}),
-    later AS (SELECT id FROM every WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]{{2}}') QUALIFY row_number() OVER (PARTITION BY content ORDER BY importance DESC, created_at, id) > 1),
-    firsts AS MATERIALIZED (SELECT a, bs, row_number() OVER (ORDER BY importance DESC, created_at, a) AS k FROM (SELECT a, list(b) AS bs FROM pairs GROUP BY a) JOIN every ON id = a),
-    pass AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
-        UNION ALL SELECT f.k, CASE WHEN list_contains(gone, f.a) THEN gone ELSE list_concat(gone, f.bs::BIGINT[]) END FROM pass JOIN firsts f ON f.k = pass.k + 1),
-    removed AS (SELECT id FROM later UNION SELECT unnest(gone) FROM (SELECT gone FROM pass ORDER BY k DESC LIMIT 1))
+    f"""WITH RECURSIVE {_ALL}, pairs AS MATERIALIZED (WITH {pairs_sql()}), {removed_sql()}
     SELECT id, CASE WHEN id % 7 >= 5 AND importance < 1 THEN round(least(1, importance + 0.1), 6) ELSE importance END AS importance
     FROM every WHERE id NOT IN (SELECT id FROM removed) AND NOT (importance < 0.2 AND id % 7 = 0)"""
 )
