@@ -28,7 +28,7 @@ FILTER_BITS = 1 << 29
 CHUNK_BITS = 1 << 19
 
 _PRINT = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("sha", pa.binary())])
-_MARKED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("nth", pa.int64()), ("suspect", pa.bool_())])
+_MARKED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("block", pa.int32()), ("nth", pa.int64()), ("suspect", pa.bool_())])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,8 @@ def _mark(owners: int):
                 nth.append(nth[-1] + 1 if row == last else 0)
                 last = row
             ids, shas = zip(*docs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(nth, pa.int64()), pa.array(marks[back].astype(bool))], schema=_MARKED)
+            columns = [pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array([block] * len(docs), pa.int32()), pa.array(nth, pa.int64()), pa.array(marks[back].astype(bool))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_MARKED)
 
     return run
 
@@ -70,20 +71,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after lower-casing A-Z; a null text counts
     as empty, and all empty texts are one group.  Of a group the largest id
-    stays.  A null id is smaller than any other.  Rows that repeat an id and a
-    text are separate members of the group, and one of them stays.  Other
-    columns are not read.  An empty table gives no rows.
+    stays.  A null id is smaller than any other.  Rows that repeat an id are
+    separate members of the group, and one of them stays.  Other columns are
+    not read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = n_parts(spark, docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(rows.withColumn("block", block_of(parts, "doc_id", "text")).mapInArrow(_prints, "doc_id long, block int, sha binary"), "prints")
+    # dealt evenly, whatever repeats; written once, so that every later stage sees the same blocks
+    prints = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("block", block_of(parts, "row")).drop("row").mapInArrow(_prints, "doc_id long, block int, sha binary"), "prints")
     replies = exchange(prints.select("block", F.expr("substring(sha, 1, 8)").alias("fingerprints")), parts)
     none = lambda kind: F.lit(None).cast(kind)
     both = replies.select("block", "owner", "reply", none("long").alias("doc_id"), none("binary").alias("sha")).unionByName(
         prints.select("block", none("int").alias("owner"), none("binary").alias("reply"), "doc_id", "sha")
     )
-    marked = written(both.repartition(parts, "block").mapInArrow(_mark(parts), "doc_id long, sha binary, nth long, suspect boolean"), "marked")
+    marked = written(both.repartition(parts, "block").mapInArrow(_mark(parts), "doc_id long, sha binary, block int, nth long, suspect boolean"), "marked")
 
     suspects = suspect_filter(marked.where("suspect").select("sha").distinct())
     hashed = rows.mapInArrow(_with_text(suspects), "sha binary, body binary, doc_id long")
@@ -91,14 +93,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     clash = F.raise_error(F.lit("two different texts share a SHA-256"))
     classes = verified.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
     classes = classes.select("sha", F.when(F.col("texts") > 1, clash.cast("long")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size")
-    out = marked.join(classes, "sha", "left")
+    # of the rows with the largest id the first one, by block and place in it; a member's fingerprint is always a suspect
+    stays = marked.where("suspect").groupBy("sha").agg(F.max(F.struct("doc_id", -F.col("block"), -F.col("nth"))).alias("stays"))
+    out = marked.join(classes.join(stays, "sha"), "sha", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    first = F.col("stays").eqNullSafe(F.struct("doc_id", -F.col("block"), -F.col("nth")))
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 0)).alias("kept"),
+        (alone | first).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

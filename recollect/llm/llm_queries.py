@@ -122,7 +122,7 @@ ORACLE = {
     "op12_license_scan": licences.oracle(),
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(low) AS text_sha256
+               row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(low) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS low FROM documents)
         WINDOW g AS (PARTITION BY low)""",
 }

@@ -10,20 +10,26 @@ blocks meet in one task.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from recollect.llm.common import bytes_of, in_slices, written
 from recollect.llm.packing import Tokens
 
 END_ID = 50256
 BLOCK_BYTES = 1 << 20
+#: Bytes of a long flat file that a task reads.
+TASK_BYTES = 64 << 20
 #: Blocks that one window partition of the prefix scan takes at most.
 SUPER_BLOCKS = 4096
 
@@ -77,32 +83,62 @@ def flat_token_blocks(docs: DataFrame, vocabulary: str, end_id: int = END_ID, bl
     return flat.where(F.col("payload").isNotNull()).select("file", "block", "payload"), order.select("file", (F.col("first_ordinal") + F.col("nth")).alias("ordinal"), "doc_id")
 
 
-def read_flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, whole: int = 1 << 30) -> DataFrame:
+class Blocks(InputPartition):
+    def __init__(self, path: str, first: int, end: int) -> None:
+        self.path, self.first, self.end = path, first, end
+
+
+class FlatFileReader(DataSourceReader):
+    """Blocks of files, dealt to tasks by ranges of bytes."""
+
+    def __init__(self, options) -> None:
+        self.files, self.block = json.loads(options["files"]), int(options["block_bytes"])
+
+    def partitions(self) -> list[Blocks]:
+        step = max(1, TASK_BYTES // self.block)
+        return [Blocks(path, b, min(-(-size // self.block), b + step)) for path, size in self.files for b in range(0, -(-size // self.block), step)]
+
+    def read(self, partition: Blocks) -> Iterator[tuple[str, int, bytes]]:
+        system, path = pafs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", partition.path))
+        with system.open_input_file(path) as f:
+            f.seek(partition.first * self.block)
+            for b in range(partition.first, partition.end):
+                yield partition.path, b, f.read(self.block)
+
+
+class FlatFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "flat_tokens"
+
+    def schema(self) -> str:
+        return "path string, block long, payload binary"
+
+    def reader(self, schema) -> FlatFileReader:
+        return FlatFileReader(self.options)
+
+
+def read_flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, whole: int = 1 << 30, width: int = 2) -> DataFrame:
     """Blocks (file, block, payload) of raw token files at ``path``, of any length.
 
     Files of up to ``whole`` bytes are read as one and cut; longer ones by
-    fixed-length records, which are split across tasks: a record is the
-    longest divisor of the file's length up to ``block_bytes``, so a length
-    without divisors reads slowly, but whole.  ``file`` is the path's hash.
+    ranges of blocks, which are split across tasks.  A block is of whole ids:
+    ``block_bytes``, less what is over ``width``.  A file that ends within an
+    id is an error.  ``file`` is the path's hash.
     """
+    block_bytes = max(width, block_bytes - block_bytes % width)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     found = [(s.getPath().toString(), s.getLen()) for s in at.getFileSystem(conf).globStatus(at) or () if s.isFile()]
+    if broken := [name for name, size in found if size % width]:
+        raise ValueError(f"no whole number of ids of {width} bytes: {', '.join(broken[:10])}")
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole).select(F.xxhash64("path").alias("file"), "content")
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / block_bytes))).alias("block")
     out = files.select("file", "content", cuts).select("file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("payload"))
-    for name, size in found:
-        if size > whole:
-            record = next(n for n in range(min(block_bytes, size), 0, -1) if size % n == 0)
-            read = spark.sparkContext.newAPIHadoopFile(
-                name,
-                "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat",
-                "org.apache.hadoop.io.LongWritable",
-                "org.apache.hadoop.io.BytesWritable",
-                conf={"fixedlengthinputformat.record.length": str(record)},
-            )
-            blocks = spark.createDataFrame(read.map(lambda kv, n=record: (kv[0] // n, bytes(kv[1]))), "block long, payload binary")
-            out = out.unionByName(blocks.select(F.xxhash64(F.lit(name)).alias("file"), "block", "payload"))
+    if long := [x for x in found if x[1] > whole]:
+        spark.dataSource.register(FlatFiles)
+        ranged = spark.read.format("flat_tokens").option("files", json.dumps(long)).option("block_bytes", block_bytes).load()
+        out = out.unionByName(ranged.select(F.xxhash64("path").alias("file"), "block", "payload"))
     return out
 
 

@@ -367,6 +367,16 @@ def test_tokens_equal_the_library(spark, spelled):
     assert list(t.of(odd)) == [np.array(t.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
 
 
+def test_op3_one_row_of_an_id_stays(spark):
+    """Rows of one id whose texts differ in case only, or in nothing, in any number of blocks."""
+    rows = [(i, t) for i in range(30) for t in (f"Abc {i} word", f"abc {i} Word", f"abc {i} word", f"abc {i} word")] + [(None, "Null ID"), (None, "null id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_dedup(frame).collect()
+    assert len(got) == len(rows) and {r.group_size for r in got if r.doc_id is not None} == {4}
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == 31
+
+
 def test_op6(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
@@ -425,6 +435,27 @@ def test_op6_reads_raw_files(spark, tmp_path):
         assert sorted(sorted(x) for x in by.values()) == [[(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1)], [(0, 0, 2), (1, 3, 0), (2, 4, 1), (3, 6, 1)]]
 
 
+@pytest.mark.parametrize("n,block", [(15, 16), (1009, 7), (4 * 1013, 64), (1, 3)])
+def test_op6_reads_long_files_of_any_length(spark, tmp_path, monkeypatch, n, block):
+    """Odd and prime numbers of ids, blocks that are no multiple of an id, several tasks."""
+    monkeypatch.setattr(token_counts, "TASK_BYTES", 256)
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 6, n).astype("<u2")
+    (tmp_path / "a.bin").write_bytes(ids.tobytes())
+    want, begin = [], 0
+    for o, e in enumerate([*np.flatnonzero(ids == 5).tolist(), n]):
+        if e < n or begin < n:
+            want.append((o, begin, e - begin))
+        begin = e + 1
+    for whole in (1 << 30, 0):
+        blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}/*.bin", block, whole)
+        got = token_counts.separator_scan(blocks, end_id=5).collect()
+        assert sorted((r.ordinal, r.start, r.n_tokens) for r in got) == want
+    (tmp_path / "b.bin").write_bytes(b"odd")
+    with pytest.raises(ValueError, match="no whole number of ids"):
+        token_counts.read_flat_files(spark, f"file://{tmp_path}/*.bin", block, 0)
+
+
 def brute_rule(host, path):
     best = None
     for verdict, rule in url_filter.RULES:
