@@ -968,12 +968,14 @@ def test_op9_named_values_are_candidates(spark):
 def test_stages_count_rows_without_ids_and_repeated_ids(spark):
     say = lambda c, k=30: " ".join(f"{c}{i}" for i in range(k))
     rows = [(1, say("a")), (None, say("A")), (None, say("b")), (None, say("B")), (None, say("c")), (None, say("a") + " more"), (None, say("c") + " more"), (7, say("d")), (7, say("e")), (8, say("E")), (9, say("d") + " more"), (3, say("d") + " other")]
-    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, n string, x string").repartition(3)
+    docs = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id long, text string, n string, row long").repartition(3)
     once = corpus_pipeline.exact_dedup(spark, docs, "")
     got = once.collect()
+    assert {(r.n, r.row) for r in got} == {("x", 9)}  # columns of the stages' own names keep their values
     low = [r.text.translate(LOW) for r in got]
     assert len(low) == len(set(low)) and set(low) == {t.translate(LOW) for _, t in rows}
     assert (1, say("a")) in [r[:2] for r in got] and (8, say("E")) in [r[:2] for r in got]
     assert Counter(r.doc_id for r in got) == {1: 1, 7: 1, 8: 1, 9: 1, 3: 1, None: 4}
     left = corpus_pipeline.near_dedup(spark, once, "").collect()
+    assert {(r.n, r.row) for r in left} == {("x", 9)}
     assert Counter((r.doc_id, r.text[0].lower()) for r in left) == {(1, "a"): 1, (None, "b"): 1, (None, "c"): 1, (3, "d"): 1, (8, "e"): 1}
