@@ -63,9 +63,10 @@ def decode(b: bytes) -> np.ndarray:
         return np.concatenate([np.array([first], np.uint64), np.uint64(first) + np.cumsum(gaps, dtype=np.uint64)])
 
 
-def owner_cuts(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners of sorted keys: the owners that occur, and where each begins."""
-    own = ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+def owner_cuts(keys: np.ndarray, owners: int, low: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of sorted keys: the owners that occur, and where each begins.
+    ``low``: bits that were left out of the keys."""
+    own = (((keys << np.uint64(low)) >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
     return np.unique(own, return_index=True)
 
 
@@ -73,17 +74,18 @@ MESSAGE = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("keys", pa.b
 REPLY = pa.schema([("block", pa.int32()), ("owner", pa.int32()), ("reply", pa.binary())])
 MESSAGE_DDL = "owner int, block int, keys binary, twice binary"
 REPLY_DDL = "block int, owner int, reply binary"
+COUNTED = REPLY.append(pa.field("often", pa.binary()))
 
 
-def _messages(owners: int):
+def _messages(owners: int, low: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = defaultdict(list)
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("fingerprints").to_pylist()):
                 held[block].append(np.frombuffer(raw, np.uint64))
         for block in sorted(held):
-            keys, count = np.unique(np.concatenate(held.pop(block)), return_counts=True)
-            own, begin = owner_cuts(keys, owners)
+            keys, count = np.unique(np.concatenate(held.pop(block)) >> np.uint64(low), return_counts=True)
+            own, begin = owner_cuts(keys, owners, low)
             ends = [*begin[1:], len(keys)]
             rows = [(int(o), block, encode(keys[a:z]), np.packbits(count[a:z] > 1).tobytes()) for o, a, z in zip(own, begin, ends)]
             if rows:
@@ -92,7 +94,9 @@ def _messages(owners: int):
     return run
 
 
-def _answers(as_keys: bool):
+def _answers(as_keys: bool, counts: bool = False):
+    schema = COUNTED if counts else REPLY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
         for batch in batches:
@@ -101,33 +105,40 @@ def _answers(as_keys: bool):
         for owner in sorted(held):
             got = held.pop(owner)
             sent = [decode(keys) for _, keys, _ in got]
-            merged = np.concatenate(sent)
-            inside = np.concatenate([k[np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool)] for k, (_, _, t) in zip(sent, got)])
-            merged = np.concatenate([merged, inside])
+            inside = [k[np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool)] for k, (_, _, t) in zip(sent, got)]
+            merged = np.concatenate([*sent, *inside])
             merged.sort()
-            again = merged[1:][merged[1:] == merged[:-1]]
-            again = again[np.flatnonzero(np.diff(again, prepend=again[:1] + np.uint64(1) if len(again) else None))] if len(again) else again
+            begin = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+            times = np.diff(begin, append=len(merged))
+            again, times = merged[begin[times > 1]], times[times > 1]
             rows = []
             for keys, (block, _, _) in zip(sent, got):
-                at = np.searchsorted(again, keys)
-                is_twice = again[np.minimum(at, len(again) - 1)] == keys if len(again) else np.zeros(len(keys), bool)
+                at = np.minimum(np.searchsorted(again, keys), max(0, len(again) - 1))
+                is_twice = again[at] == keys if len(again) else np.zeros(len(keys), bool)
                 if as_keys and is_twice.any():
-                    rows.append((block, owner, encode(keys[is_twice])))
+                    often = [np.log2(times[at[is_twice]]).astype(np.uint8).tobytes()] if counts else []
+                    rows.append((block, owner, encode(keys[is_twice]), *often))
                 elif not as_keys:
                     rows.append((block, owner, np.packbits(is_twice).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), REPLY)], schema=REPLY)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def exchange(keyed: DataFrame, parts: int, as_keys: bool = False) -> DataFrame:
+def exchange(keyed: DataFrame, parts: int, as_keys: bool = False, counts: bool = False, low: int = 0, in_place: bool = False) -> DataFrame:
     """Which fingerprints occur more than once.
 
     ``keyed``: ``block`` int and ``fingerprints`` binary (unsigned 64-bit,
     native order; any number of rows a block).  Returns ``block, owner,
     reply``: a bitmap over the block's sorted distinct fingerprints in the
-    owner's range, or with ``as_keys`` the repeated ones, coded.
+    owner's range, or with ``as_keys`` the repeated ones, coded.  With
+    ``counts`` these come with ``often``: a byte each, the logarithm of how
+    many blocks sent it (one more for a block that holds it twice).  ``low``
+    bits of the fingerprints are left out, also of replies, which makes
+    messages shorter and some fingerprints repeated that are not.  With
+    ``in_place`` a block's rows lie in one task, or in few, each of which
+    sends its own messages, and nothing is shuffled before.
     """
-    sent = keyed.repartitionById(parts, "block").mapInArrow(_messages(parts), MESSAGE_DDL)
-    return sent.repartitionById(parts, "owner").mapInArrow(_answers(as_keys), REPLY_DDL)
+    sent = (keyed if in_place else keyed.repartitionById(parts, "block")).mapInArrow(_messages(parts, low), MESSAGE_DDL)
+    return sent.repartitionById(parts, "owner").mapInArrow(_answers(as_keys, counts), REPLY_DDL + (", often binary" if counts else ""))
