@@ -77,19 +77,27 @@ REPLY_DDL = "block int, owner int, reply binary"
 COUNTED = REPLY.append(pa.field("often", pa.binary()))
 
 
-def _messages(owners: int, low: int = 0):
+def _messages(owners: int, low: int = 0, ordered: bool = False):
+    """With ``ordered`` a block is sent as soon as another one begins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = defaultdict(list)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for block in sorted(held):
+                keys, count = np.unique(np.concatenate(held.pop(block)) >> np.uint64(low), return_counts=True)
+                own, begin = owner_cuts(keys, owners, low)
+                ends = [*begin[1:], len(keys)]
+                rows = [(int(o), block, encode(keys[a:z]), np.packbits(count[a:z] > 1).tobytes()) for o, a, z in zip(own, begin, ends)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MESSAGE)], schema=MESSAGE)
+
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("fingerprints").to_pylist()):
+                if ordered and held and block not in held:
+                    yield from send()
                 held[block].append(np.frombuffer(raw, np.uint64))
-        for block in sorted(held):
-            keys, count = np.unique(np.concatenate(held.pop(block)) >> np.uint64(low), return_counts=True)
-            own, begin = owner_cuts(keys, owners, low)
-            ends = [*begin[1:], len(keys)]
-            rows = [(int(o), block, encode(keys[a:z]), np.packbits(count[a:z] > 1).tobytes()) for o, a, z in zip(own, begin, ends)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MESSAGE)], schema=MESSAGE)
+        yield from send()
 
     return run
 
@@ -126,7 +134,7 @@ def _answers(as_keys: bool, counts: bool = False):
     return run
 
 
-def exchange(keyed: DataFrame, parts: int, as_keys: bool = False, counts: bool = False, low: int = 0, in_place: bool = False) -> DataFrame:
+def exchange(keyed: DataFrame, parts: int, as_keys: bool = False, counts: bool = False, low: int = 0, prints=None) -> DataFrame:
     """Which fingerprints occur more than once.
 
     ``keyed``: ``block`` int and ``fingerprints`` binary (unsigned 64-bit,
@@ -136,9 +144,15 @@ def exchange(keyed: DataFrame, parts: int, as_keys: bool = False, counts: bool =
     ``counts`` these come with ``often``: a byte each, the logarithm of how
     many blocks sent it (one more for a block that holds it twice).  ``low``
     bits of the fingerprints are left out, also of replies, which makes
-    messages shorter and some fingerprints repeated that are not.  With
-    ``in_place`` a block's rows lie in one task, or in few, each of which
-    sends its own messages, and nothing is shuffled before.
+    messages shorter and some fingerprints repeated that are not.
+
+    With ``prints``, a function of record batches, the fingerprints are made
+    where the messages are, from ``keyed`` as it lies: a block's rows stand
+    together, and each task that has some sends messages of its own.
     """
-    sent = (keyed if in_place else keyed.repartitionById(parts, "block")).mapInArrow(_messages(parts, low), MESSAGE_DDL)
+    if prints is None:
+        sent = keyed.repartitionById(parts, "block").mapInArrow(_messages(parts, low), MESSAGE_DDL)
+    else:
+        message = _messages(parts, low, ordered=True)
+        sent = keyed.mapInArrow(lambda batches: message(prints(batches)), MESSAGE_DDL)
     return sent.repartitionById(parts, "owner").mapInArrow(_answers(as_keys, counts), REPLY_DDL + (", often binary" if counts else ""))
