@@ -15,6 +15,7 @@ from recollect.operators import ingest as ing
 from recollect.operators import memory as mem
 from recollect.operators import search as sea
 from recollect.operators import session as ses
+from recollect.plans.scratch import settle
 from recollect.plans.store import Store
 from recollect.sources.chatdb import chat_stores, chat_table
 from recollect.sources.logtail import log_files
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(a)
         for k, v in options.items():
             s.add_argument("--" + k.replace("_", "-"), default=v, type=type(v) if v is not None and not isinstance(v, bool) else None)
+        return s
 
     for name in ("stats", "reindex", "document-stats", "memory-stats", "memory-consolidate", "clean-all"):
         add(name)
@@ -56,8 +58,8 @@ def parser() -> argparse.ArgumentParser:
     add("sync-session", "id", limit=0)
     add("sync-latest", limit=0, dir=None)
     for name, k in (("search", 10), ("retrieve", 6)):
-        add(name, "query", top_k=k, min_score=0.08, alpha=None, doc_id=None, source=None)
-    add("list", limit=100, offset=0)
+        add(name, "query", top_k=k, min_score=0.08, alpha=None, doc_id=None, source=None).add_argument("--explain", action="store_true")
+    add("list", limit=100, offset=0).add_argument("--total", action="store_true")
     add("delete", "id")
     add("memory-remember", "content", type="fact", importance=0.5, tag=None)
     add("memory-recall", "query", top_k=8, min_score=0.1)
@@ -69,41 +71,55 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+# The most that each command takes, of characters or of hits.
+MOST_CHARS = {"query": 2000, "topic": 500, "title": 500, "path": 4096, "id": 200, "doc_id": 200, "source": 200, "tag": 64}
+MOST_MEMORY = 20_000
+MOST_HITS = {"search": 50, "retrieve": 20, "memory-recall": 30, "memory-context": 20}
+#: What ``search`` tells of its legs, if asked to explain.
+LEGS = ("rrf_score", "vector_score", "keyword_score", "vector_rank", "keyword_rank", "legs")
+
+
+def bounded(a: argparse.Namespace) -> argparse.Namespace:
+    """The arguments, if none is empty or out of its bounds."""
+    for name, most in {**MOST_CHARS, **({"content": MOST_MEMORY} if a.op.startswith("memory") else {})}.items():
+        value = getattr(a, name, None)
+        if isinstance(value, str) and not (len(value) <= most and (value or name in ("doc_id", "source", "tag"))):
+            raise ValueError(f"{name} must have 1 to {most} characters")
+    if a.op in MOST_HITS and not 1 <= a.top_k <= MOST_HITS[a.op]:
+        raise ValueError(f"top_k must be 1 to {MOST_HITS[a.op]}")
+    for name in ("min_score", "alpha", "importance", "min_importance"):
+        value = getattr(a, name, None)
+        if value is not None and not 0 <= float(value) <= 1:
+            raise ValueError(f"{name} must be 0 to 1")
+    return a
+
+
 def _rows(df: DataFrame) -> list:
     return [json.loads(x) for x in df.toJSON().collect()]  # listings are limited
 
 
 def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
-    a, cfg, e = parser().parse_args(argv), from_env(environment()), LocalEmbedder()
+    a, cfg, e = bounded(parser().parse_args(argv)), from_env(environment()), LocalEmbedder()
     if cfg.embedding_provider != "local":
         raise ValueError(f"no {cfg.embedding_provider} embedder here: pass one to Store, or unset EMBEDDING_PROVIDER")
     now = int(time.time() * 1000) if now_ms is None else now_ms
-    store = Store(spark, a.db or cfg.db_dir, e)
+    store = Store(spark, a.db or cfg.db_dir, e, wait_s=60.0)
     text = "content string, title string, source string, content_type string, metadata string, scope string"
 
     def take(rows: DataFrame):
-        got = ing.ingest(rows, store.read("documents"), e, now, cfg.max_text_units, known_chunks=store.read("chunks"))
-        report = _rows(got.report)
-        if not got.documents.isEmpty():
-            store.add(got)
-        return report
+        return _rows(store.ingest(rows, now, max_units=cfg.max_text_units))
 
     def find() -> DataFrame:
         store.check()
         chunks, documents = store.read("chunks"), store.read("documents")
         wanted = None
-        if a.doc_id is not None:
-            wanted = F.col("doc_id") == a.doc_id
-        if a.source is not None:
-            # ids of one source: a sub-select would hide the size, a join does not
-            ids = documents.where(F.col("source") == a.source).select(F.col("id").alias("doc_id"))
-            chunks_in = chunks.join(ids, "doc_id", "left_semi").select(F.col("id").alias("cid"))
-            chunks = chunks.join(chunks_in.withColumn("of_source", F.lit(True)), chunks["id"] == F.col("cid"), "left")
-            inside = F.col("of_source").isNotNull()
-            wanted = inside if wanted is None else wanted & inside
+        if a.source is not None or a.doc_id is not None:
+            wanted = documents if a.source is None else documents.where(F.col("source") == a.source)
+            wanted = wanted if a.doc_id is None else wanted.where(F.col("id") == a.doc_id)
+            wanted = wanted.select(F.col("id").alias("doc_id"))
         alpha = float(a.alpha) if a.alpha is not None else None
         hits = sea.search_chunks(chunks, a.query, e.query(a.query), a.top_k, a.min_score, cfg.search_mode, alpha, cfg.rrf_k, wanted)
-        return sea.hydrate(hits, store.read("chunks"), documents)
+        return sea.hydrate(hits, chunks, documents)
 
     def remembered(top_k: int, query: str, min_score: float) -> DataFrame:
         store.check()
@@ -168,9 +184,15 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         hit = ses.latest_session(listed(50, a.dir), now).first()
         return {"found": hit is not None, **(sync_session(hit["id"]) if hit else {})}
     if c == "search":
-        return _rows(find().orderBy("rank"))
+        found = find().orderBy("rank")
+        return _rows(found if a.explain else found.drop(*LEGS))
     if c == "retrieve":
-        return _rows(sea.context_block(find()))
+        found = settle(find())
+        rows = _rows(found.orderBy("rank").select("doc_title", "chunk_index", "content", "score", "token_count"))
+        return [{**r, "chunks": rows} for r in _rows(sea.context_block(found))]
+    if c == "list" and a.total:
+        page = _rows(ing.list_documents(store.read("documents"), a.limit, a.offset))
+        return {"documents": page, "total": store.read("documents").count(), "limit": max(1, min(1000, a.limit)), "offset": max(0, a.offset)}
     if c == "list":
         return _rows(ing.list_documents(store.read("documents"), a.limit, a.offset))
     if c == "delete":
@@ -180,10 +202,9 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         row = {"content": a.content, "type": a.type, "importance": a.importance, "tags": [a.tag] if a.tag else []}
         return store.add_memories(mem.remember(spark, [row], now, e))["version"]
     if c == "memory-recall":
-        hits = remembered(a.top_k, a.query, a.min_score).cache()
+        hits = settle(remembered(a.top_k, a.query, a.min_score))  # top_k rows
         out = _rows(hits.withColumns({"recall_count": F.col("recall_count") + 1, "last_recalled": F.lit(now)}))
-        told = store.read("memories").join(F.broadcast(hits.select("id")), "id", "left_semi")  # top_k rows
-        store.change(put={"memories": mem.bump(told, hits, now)})
+        store.recalled(hits.select("id"), now)
         return out
     if c == "memory-context":
         return _rows(mem.memory_context(remembered(a.top_k, a.topic, 0.1)))
@@ -196,14 +217,19 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         return store.change(drop={"memories": spark.createDataFrame([(a.id,)], "id string")})["version"]
     if c == "memory-update":
         patch = {"content": a.content, "type": a.type, "importance": a.importance, "tags": [a.tag] if a.tag else None}
-        mine = store.read("memories").where(F.col("id") == a.id)
-        return store.change(put={"memories": mem.update_memory(mine, a.id, patch, now, e)})["version"]
-    before = store.read("memories")
-    after, report = mem.consolidate(before, now, cfg.dedup_max_vectors, cfg.prune, cfg.prune_importance, cfg.prune_age_days)
-    out = _rows(report)
-    risen = after.join(before.where(mem.due()).select("id"), "id", "left_semi")
-    store.change(put={"memories": risen}, drop={"memories": before.select("id").join(after.select("id"), "id", "left_anti")})
-    return out
+        mine = lambda: store.read("memories").where(F.col("id") == a.id)
+        return store.change(put=lambda: {"memories": mem.update_memory(mine(), a.id, patch, now, e)})["version"]
+    told = {}
+
+    def consolidated() -> dict[str, DataFrame]:
+        before = store.read("memories")
+        after, told["report"] = mem.consolidate(before, now, cfg.dedup_max_vectors, cfg.prune, cfg.prune_importance, cfg.prune_age_days)
+        told["gone"] = before.select("id").join(after.select("id"), "id", "left_anti")
+        return {"memories": after.join(before.where(mem.due()).select("id"), "id", "left_semi")}
+
+    # the change to put is asked for first, and what goes is decided with it
+    store.change(put=consolidated, drop=lambda: {"memories": told["gone"]})
+    return _rows(told["report"])
 
 
 def main() -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.chunking import chunks
 from recollect.functions.text import content_hash, trimmed, units
+from recollect.plans.scratch import settle
 
 # The sixteen extensions read by default, and the content types.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".json", ".md", ".txt", ".py", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".html", ".css")
@@ -59,7 +59,7 @@ def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units:
     one = first_wins(good, "content_hash", "title", "source")
     seen = known.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
     new = one.join(seen, "content_hash", "left_anti").withColumn("id", F.concat(F.lit("doc-"), F.substring("content_hash", 1, 32)))
-    cut = new.withColumn("parts", chunks(F.col("content"), max_chars, overlap_chars))
+    cut = settle(new.withColumn("parts", chunks(F.col("content"), max_chars, overlap_chars)).drop("content"))
     documents = cut.select(
         "id",
         "title",
@@ -82,8 +82,10 @@ def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units:
     )
     fresh = cut.select("content_hash", "id", F.size("parts").alias("chunk_count"), F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["token_count"]).alias("tokens"))
     have = known.select("content_hash", F.col("id").alias("known_id"), F.col("chunk_count").alias("known_chunks"))
-    ordinal = F.row_number().over(W.partitionBy("content_hash").orderBy("title", "source"))
-    judged = good.select("title", "source", "content_hash").withColumn("nth", ordinal).join(have, "content_hash", "left")
+    # the first row of a text is the one that counts: a least row a text, added up before any shuffle
+    said = settle(good.select("title", "source", "content_hash").withColumn("row", F.monotonically_increasing_id()))
+    first = said.groupBy("content_hash").agg(F.min(F.struct("title", "source", "row"))["row"].alias("first"))
+    judged = said.join(first, "content_hash").join(have, "content_hash", "left")
     if known_chunks is not None:
         hits = judged.where(F.col("known_id").isNotNull()).select(F.col("known_id").alias("doc_id")).distinct()
         sums = known_chunks.join(hits, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("known_id")).agg(F.sum("token_count").alias("known_tokens"))
@@ -95,7 +97,7 @@ def ingest(rows: DataFrame, known: DataFrame, embedder, now_ms: int, max_units:
         "title",
         F.coalesce("known_chunks", "chunk_count").alias("chunk_count"),
         F.coalesce("known_tokens", "tokens").alias("tokens"),
-        (F.col("known_id").isNotNull() | (F.col("nth") > 1)).alias("deduplicated"),
+        (F.col("known_id").isNotNull() | (F.col("row") != F.col("first"))).alias("deduplicated"),
         F.lit(None).cast("string").alias("error"),
     )
     bad = rows.where(F.col("error").isNotNull()).select(F.lit(None).cast("string").alias("id"), "title", F.lit(0).alias("chunk_count"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("deduplicated"), "error")
@@ -107,6 +109,12 @@ def list_documents(documents: DataFrame, limit: int = 100, offset: int = 0) -> D
     return page.orderBy(F.desc("updated_at"), "id").offset(max(0, offset)).limit(max(1, min(1000, limit)))
 
 
+def document_page(documents: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of ``list_documents``, each row with the number of all documents."""
+    total = documents.agg(F.count("*").alias("total"))
+    return list_documents(documents, limit, offset).crossJoin(F.broadcast(total))  # beside one row
+
+
 def delete_document(documents: DataFrame, chunk_table: DataFrame, id) -> tuple[DataFrame, DataFrame]:
     """Both tables without a document and its chunks."""
     return documents.where(F.col("id") != id), chunk_table.where(F.col("doc_id") != id)

@@ -6,12 +6,17 @@ Reads are pure; a write is a new version of the table, left to the caller.
 from __future__ import annotations
 
 import itertools
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import clamp_importance, cosine, decay, dot, estimate_tokens_from_chars, jaccard, token_set
 from recollect.operators.search import vector_search
+from recollect.plans.scratch import settle
 
 MEMORY_TYPES = ("fact", "preference", "decision", "instruction", "task", "insight", "conversation")
 SIMILARITY, OVERLAP = 0.92, 0.8
@@ -154,28 +159,28 @@ def duplicate_classes(memories: DataFrame) -> DataFrame:
     return keyed.join(first, by).select("id", "class_id")
 
 
-def near_duplicates(memories: DataFrame, classes: DataFrame | None = None, embedder=None) -> DataFrame:
-    """(a, b, cosine, overlap): pairs of class representatives alike in both
-    gates; b is the one to go.  ``duplicate_classes`` has the members.
+def _token_sets(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, importance, created_at, tokens) of the memories ``ids``."""
+    return settle(memories.join(ids, "id", "left_semi").select("id", "importance", "created_at", token_set(F.col("content")).alias("tokens")))
+
+
+def _rare_keys(sets: DataFrame) -> DataFrame:
+    """(id, n, at, t): of each set of n tokens its rarest ones, by their place.
 
     Sets of overlap 0.8 share one of their |s| - ceil(0.8 |s|) + 1 rarest
-    tokens, so pairs meet by an equality join on those and not all with all.
-    Where ``memories`` has no vectors, ``embedder`` makes those of rows that
-    passed the token gate.
+    tokens, so candidates meet by an equality join on those.
     """
-    classes = duplicate_classes(memories) if classes is None else classes
-    heads = classes.where("id = class_id").select("id")
-    sets = settle(memories.join(heads, "id", "left_semi").select("id", "importance", "created_at", token_set(F.col("content")).alias("tokens")))
     each = sets.select("id", F.explode("tokens").alias("t"))
     frequency = each.groupBy("t").agg(F.count("*").alias("df"))
     order = each.join(frequency, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     head = F.slice("o", 1, (F.size("o") - F.ceil(OVERLAP * F.size("o") - 1e-9) + 1).cast("int"))
-    keys = order.select("id", F.size("o").alias("n"), F.posexplode(F.transform(head, lambda x: x["t"])).alias("at", "t"))
-    # what follows a pair's first shared token bounds what it can share
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    enough = most >= OVERLAP / (1 + OVERLAP) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    pairs = keys.alias("x").join(keys.alias("y"), "t").where((F.col("x.id") < F.col("y.id")) & enough).select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
-    # the narrow gate first: vectors travel for pairs that passed it only
+    return order.select("id", F.size("o").alias("n"), F.posexplode(F.transform(head, lambda x: x["t"])).alias("at", "t"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, memories: DataFrame, embedder) -> DataFrame:
+    """(p, q, ahead, overlap, cosine) of the candidates (p, q) that pass both
+    gates; the narrow one first: vectors travel for pairs that passed it only.
+    ``ahead``: p comes first in the order."""
     side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
     met = pairs.join(side(sets, "p"), F.col("p") == F.col("p_id")).join(side(sets, "q"), F.col("q") == F.col("q_id"))
     ahead = _before("p_") < _before("q_")
@@ -186,24 +191,56 @@ def near_duplicates(memories: DataFrame, classes: DataFrame | None = None, embed
     wide = settle(memories.join(passed, "id", "left_semi").select("id", vector.alias("embedding")))
     met = met.join(side(wide, "p"), F.col("p") == F.col("p_id")).join(side(wide, "q"), F.col("q") == F.col("q_id"))
     met = met.withColumn("cosine", cosine(F.col("p_embedding"), F.col("q_embedding"))).where(F.col("cosine") >= SIMILARITY)
-    return met.select(F.when(F.col("ahead"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("ahead"), F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
+    return met.select("p", "q", "ahead", "overlap", "cosine")
+
+
+def near_duplicates(memories: DataFrame, classes: DataFrame | None = None, embedder=None) -> DataFrame:
+    """(a, b, cosine, overlap): pairs of class representatives alike in both
+    gates; b is the one to go.  ``duplicate_classes`` has the members.
+
+    Where ``memories`` has no vectors, ``embedder`` makes those of rows that
+    passed the token gate.
+    """
+    classes = duplicate_classes(memories) if classes is None else classes
+    sets = _token_sets(memories, classes.where("id = class_id").select("id"))
+    return _matches(_rare_keys(sets), sets, memories, embedder)
+
+
+def _matches(keys: DataFrame, sets: DataFrame, memories: DataFrame, embedder) -> DataFrame:
+    # what follows a pair's first shared token bounds what it can share; lengths
+    # in bands a fifth apart deal a hot token's rows to several keys
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = most >= OVERLAP / (1 + OVERLAP) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    band = F.floor(F.log("n") / math.log(1 / OVERLAP) + 1e-9)
+    near = keys.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    met = keys.withColumn("band", band).alias("x").join(near.alias("y"), ["t", "band"]).where((F.col("x.id") < F.col("y.id")) & enough)
+    pairs = met.select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
+    found = _alike(pairs, sets, memories, embedder)
+    return found.select(F.when(F.col("ahead"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("ahead"), F.col("q")).otherwise(F.col("p")).alias("b"), "cosine", "overlap")
 
 
-def removed_by(pairs: DataFrame) -> DataFrame:
+#: Pairs that one task decides at most, and rounds that are tried before.
+LOCAL_PAIRS, ROUNDS = 1_000_000, 3
+
+
+def removed_by(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """Ids to go, as the sequential pass would have it: a row goes if an
     earlier row that stays matches it.
 
-    Rounds to a fixpoint: a row with no undecided earlier match stays, and its
-    later matches go.  Each round's undecided pairs are checkpointed.  The
-    earliest of those is always decided, so the rounds end, however long a
-    chain of matches is.
+    A round decides all rows without an undecided earlier match, and the later
+    matches of those that stay.  Few rounds leave only chains; once these are
+    ``local_pairs`` or fewer one task goes through them in order, and else the
+    rounds go on.  Each round's undecided pairs are checkpointed.
     """
-    spark = pairs.sparkSession
     pairs = settle(pairs.select("a", "b").distinct())
     gone = pairs.select(F.col("b").alias("id")).limit(0)
     for n in itertools.count(1):
-        if pairs.isEmpty():
+        left = pairs.count()
+        if not left:
             return gone
+        if n > ROUNDS and left <= local_pairs:
+            kind = pairs.schema["a"].dataType.simpleString()
+            return gone.unionByName(pairs.coalesce(1).mapInPandas(_in_order, f"id {kind}"))
         waits = pairs.select(F.col("b").alias("a")).distinct()
         stays = pairs.select("a").distinct().join(waits, "a", "left_anti")
         out = settle(pairs.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct())
@@ -213,27 +250,64 @@ def removed_by(pairs: DataFrame) -> DataFrame:
         pairs = settle(rest.join(out, rest["a"] == out["id"], "left_anti").join(stays, "a", "left_anti"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint: computed once, and safe from lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        import tempfile
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sequential pass over bounded pairs (a before b): ids that go."""
+    pairs = pd.concat([*batches, pd.DataFrame({"a": [], "b": []})])
+    later, waits = defaultdict(list), Counter(pairs["b"])
+    for a, b in zip(pairs["a"], pairs["b"]):
+        later[a].append(b)
+    decided, gone = [a for a in later if not waits[a]], set()
+    while decided:
+        a = decided.pop()
+        for b in later.get(a, ()):
+            if a not in gone:
+                gone.add(b)
+            waits[b] -= 1
+            if not waits[b]:
+                decided.append(b)
+    yield pd.DataFrame({"id": pd.Series(sorted(gone), dtype=pairs["b"].dtype)})
+
+
+#: Passes over the first rows of a token before all pairs are looked for.
+LEADER_PASSES = 2
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-"))
-    return df.checkpoint()
+
+def _led(keys: DataFrame, sets: DataFrame, memories: DataFrame, embedder) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows that go) by a pass that compares each row with the
+    first one of its rare tokens only.
+
+    A row that is the first of all its tokens has no earlier match, so it
+    stays; its matches go.  It has then met all that it could match.
+    """
+    ordered = keys.join(sets.select("id", _before().alias("before")), "id")
+    first = ordered.groupBy("t").agg(F.min_by("id", "before").alias("p"))
+    beside = ordered.select("id", "t").join(first, "t")
+    leads = settle(beside.groupBy("id").agg(F.min(F.col("id") == F.col("p")).alias("leads")).where("leads").select("id"))
+    pairs = beside.where("id <> p").join(leads.select(F.col("id").alias("p")), "p", "left_semi").select("p", F.col("id").alias("q")).distinct()
+    return leads, settle(_alike(pairs, sets, memories, embedder).select(F.col("q").alias("id")).distinct())
 
 
 def duplicates(memories: DataFrame, embedder=None) -> DataFrame:
     """(id) of the memories that go as near-duplicates of one that stays.
 
     All but the first of a class go: whatever takes the first one takes them,
-    and else it does.
+    and else it does.  Passes over the first rows of a token settle large
+    groups by comparisons that are linear in their members; then the pairs of
+    what is left are found and decided in order.
     """
     classes = settle(duplicate_classes(memories))
-    later = classes.where("id <> class_id").select("id")
-    return settle(later.unionByName(removed_by(near_duplicates(memories, classes, embedder))))
+    gone = classes.where("id <> class_id").select("id")
+    sets = _token_sets(memories, classes.where("id = class_id").select("id"))
+    keys = settle(_rare_keys(sets))
+    for _ in range(LEADER_PASSES):
+        # a token of one row brings nobody together
+        met = keys.join(keys.groupBy("t").agg(F.count("*").alias("rows")).where("rows > 1").select("t"), "t", "left_semi")
+        if met.isEmpty():
+            return settle(gone)
+        leads, out = _led(met, sets, memories, embedder)
+        gone = gone.unionByName(out)
+        keys = settle(met.join(leads.unionByName(out), "id", "left_anti"))
+    return settle(gone.unionByName(removed_by(_matches(keys, sets, memories, embedder))))
 
 
 def consolidate(memories: DataFrame, now_ms: int, max_vectors: int = 500, prune: bool = False, min_importance: float = 0.2, age_days: float = 90.0, enforce_ceiling: bool = False, embedder=None) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,14 @@ def bm25(found: list[tuple[Column, int]], size: Column, n: int, avg: float) -> C
     return score
 
 
-def keyword_scores(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "content", allowed: Column | None = None) -> DataFrame:
+def only(rows: DataFrame, allowed: Column | DataFrame | None) -> DataFrame:
+    """The rows that a condition allows, or another table by its column."""
+    if allowed is None:
+        return rows
+    return rows.where(allowed) if isinstance(allowed, Column) else rows.join(allowed, allowed.columns, "left_semi")
+
+
+def keyword_scores(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "content", allowed: Column | DataFrame | None = None) -> DataFrame:
     """(id, bm25) of chunks that contain every query token of three or more
     characters; statistics are over all chunks, ``allowed`` filters after them."""
     tokens = [t for t in query_tokens(query) if len(t) >= 3]
@@ -48,7 +55,7 @@ def keyword_scores(chunks: DataFrame, query: str, id_col: str = "id", text_col:
     has_all = low.contains(tokens[0])
     for t in tokens[1:]:
         has_all = has_all & low.contains(t)
-    hits = seen.where(has_all if allowed is None else has_all & allowed)
+    hits = only(seen.where(has_all), allowed)
     return hits.select(F.col(id_col).alias("id"), size.alias("size"), *(c.alias(f"tf{i}") for i, c in enumerate(tf))).select("id", score.alias("bm25"))
 
 
@@ -63,9 +70,9 @@ def _dot_literal(vector: Column, query: list[float]) -> Column:
     return F.when(F.size(vector) == len(query), total).otherwise(0.0)
 
 
-def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, min_score: float = 0.08, id_col: str = "id", vec_col: str = "embedding", allowed: Column | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, min_score: float = 0.08, id_col: str = "id", vec_col: str = "embedding", allowed: Column | DataFrame | None = None) -> DataFrame:
     """(id, score) of the vectors nearest to a query: exact, filtered first."""
-    rows = vectors.where(F.col(vec_col).isNotNull() if allowed is None else F.col(vec_col).isNotNull() & allowed)
+    rows = only(vectors.where(F.col(vec_col).isNotNull()), allowed)
     scored = rows.select(F.col(id_col).alias("id"), clamp(_dot_literal(F.col(vec_col), query), -1.0, 1.0).alias("score"))
     return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(top_k)
 
@@ -129,7 +136,7 @@ def search_chunks(
     mode: str = "hybrid",
     alpha: float | None = None,
     rrf_k: float = 60.0,
-    allowed: Column | None = None,
+    allowed: Column | DataFrame | None = None,
 ) -> DataFrame:
     """Search chunks (id, doc_id, content, embedding, ...): ranked hit ids."""
     cap = cap_of(top_k)

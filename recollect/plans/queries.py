@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions.chunking import chunks
 from recollect.functions.embedding import PAIR_STOPWORDS, LocalEmbedder, bucket_column
 from recollect.functions.text import CONDENSE_STOPWORDS, condense, content_hash, estimate_tokens, parse_tags, token_set
-from recollect.operators import ingest, keyword_index, memory, search, session
+from recollect.operators import ingest, keyword_index, memory, search, session, vector_blocks
 from recollect.plans.scratch import fresh_dir
 
 KEYWORDS, KEYWORD_SOURCE = "ouent thor", "src0"
@@ -180,6 +180,29 @@ def vector_label_filter(spark, sf_dir):
     return _vector(spark, sf_dir, 20, 0.0, F.col("label").isin(2, 5))
 
 
+# The same through blocks of vectors, of which only those that can win are read
+
+
+def _blocked(spark, sf_dir, top_k, min_score, allowed=None):
+    v, path = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), fresh_dir(spark, "vectors")
+    vector_blocks.fit(v, path)
+    vector_blocks.add(v, path)
+    query = [float(x) for x in v.where(F.col("id") == QUERY_VECTOR).first()["embedding"]]
+    some = None if allowed is None else v.where(allowed)
+    hits, report = vector_blocks.blocked_search(vector_blocks.read(spark, path, "long"), query, top_k, min_score, some)
+    return hits, report
+
+
+@query(ORACLE["vector_topk"])
+def vector_blocks_topk(spark, sf_dir):
+    return _blocked(spark, sf_dir, 10, 0.08)[0].select("id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE["vector_label_filter"])
+def vector_blocks_filtered(spark, sf_dir):
+    return _blocked(spark, sf_dir, 20, 0.0, F.col("label").isin(2, 5))[0].select("id", F.round("score", 6).alias("score"))
+
+
 # Fusion, over the benchmark's passages as chunks
 
 HYBRID = "ouent the"
@@ -370,6 +393,13 @@ def docs_page(spark, sf_dir):
     return ingest.list_documents(page, 100, 20).select("id", "source", F.col("updated_at").alias("n_chars"))
 
 
+@query("SELECT doc_id AS id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id OFFSET 40 LIMIT 50")
+def docs_page_total(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    page = d.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "source", F.lit("text").alias("content_type"), F.lit(1).alias("chunk_count"), F.lit(0).alias("created_at"), F.col("n_chars").alias("updated_at"))
+    return ingest.document_page(page, 50, 40).select("id", F.col("updated_at").alias("n_chars"), "total")
+
+
 @query(f"WITH RECURSIVE {chunks_sql()} SELECT 'documents' AS kind, doc_id, 1::BIGINT AS rows FROM documents WHERE doc_id <> 5 UNION ALL SELECT 'chunks', doc_id, count(*) FROM chunked WHERE doc_id <> 5 GROUP BY doc_id")
 def delete_document_cascade(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))

@@ -14,24 +14,30 @@ import json
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.operators.ingest import ingest
+from recollect.operators.memory import bump
 from recollect.plans.schema import KEYS, TABLES
 
+#: Rows by table, or what gives them.
+Rows = dict[str, DataFrame] | Callable[[], dict[str, DataFrame]]
+
 #: So many segments of a table are put together; the first one too, when the
 #: others have a fourth of its bytes.
 MOST_SEGMENTS, REWRITE = 16, 4
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, embedder, lock_s: float = 600.0) -> None:
-        """A writer's lock that was not renewed for ``lock_s`` is a dead one's."""
-        self.lock_s = lock_s
+    def __init__(self, spark: SparkSession, path: str, embedder, lock_s: float = 600.0, wait_s: float = 0.0) -> None:
+        """A writer's lock that was not renewed for ``lock_s`` is a dead one's;
+        a live one's is waited for, ``wait_s`` at most."""
+        self.lock_s, self.wait_s = lock_s, wait_s
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -63,7 +69,10 @@ class Store:
     def _locked(self) -> Iterator[str]:
         """Hold the writer's lock, renewed until it is given back."""
         lock, me, done = self._p("writer.lock"), uuid.uuid4().hex, threading.Event()
-        if not self._take(lock, me):
+        until = time.time() + self.wait_s
+        while not (taken := self._take(lock, me)) and time.time() < until:
+            time.sleep(0.2)
+        if not taken:
             age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 if self._fs.exists(lock) else 0
             if age > self.lock_s:
                 self._fs.rename(lock, self._p(f".dead-{me}"))
@@ -190,25 +199,28 @@ class Store:
         with self._locked() as me:
             return self._commit(me, new, "append" if append else "replace", **meta)
 
-    def change(self, put: dict[str, DataFrame] | None = None, drop: dict[str, DataFrame] | None = None) -> dict:
+    def change(self, put: Rows | None = None, drop: Rows | None = None) -> dict:
         """Replace all rows of the keys in ``put`` and take out those of the
         keys in ``drop``, in one commit that writes no other rows.
 
-        ``drop`` wins over ``put``; a null key changes nothing.
+        ``drop`` wins over ``put``; a null key changes nothing.  Given as
+        functions they are called under the writer's lock: what they read is
+        what the change goes on, whoever wrote before.
         """
-        new: dict[str, DataFrame] = {}
-        for name in {**(put or {}), **(drop or {})}:
-            key, parts = KEYS[name], []
-            if drop and name in drop:
-                parts.append(drop[name].select(key).where(F.col(key).isNotNull()).distinct())
-            if put and name in put:
-                rows = put[name].where(F.col(key).isNotNull())
-                rows = rows.join(parts[0], key, "left_anti") if parts else rows
-                parts.append(rows.select(*self._columns(name), F.lit(False).alias("gone")))
-            if drop and name in drop:
-                parts[0] = self.spark.createDataFrame([], TABLES[name]).unionByName(parts[0], allowMissingColumns=True).withColumn("gone", F.lit(True))
-            new[name] = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         with self._locked() as me:
+            put, drop = (x() if callable(x) else x for x in (put, drop))
+            new: dict[str, DataFrame] = {}
+            for name in {**(put or {}), **(drop or {})}:
+                key, parts = KEYS[name], []
+                if drop and name in drop:
+                    parts.append(drop[name].select(key).where(F.col(key).isNotNull()).distinct())
+                if put and name in put:
+                    rows = put[name].where(F.col(key).isNotNull())
+                    rows = rows.join(parts[0], key, "left_anti") if parts else rows
+                    parts.append(rows.select(*self._columns(name), F.lit(False).alias("gone")))
+                if drop and name in drop:
+                    parts[0] = self.spark.createDataFrame([], TABLES[name]).unionByName(parts[0], allowMissingColumns=True).withColumn("gone", F.lit(True))
+                new[name] = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
             return self._commit(me, new, "change")
 
     def vacuum(self, keep_hours: float = 24.0) -> int:
@@ -234,10 +246,36 @@ class Store:
     def _space(self) -> dict:
         return {"embed_model": self.embedder.model, "embed_dim": self.embedder.dim}
 
+    def ingest(self, rows: DataFrame, now_ms: int, **options) -> DataFrame:
+        """Add texts, decided under the writer's lock; returns the report.
+
+        A text that another writer brought meanwhile is a duplicate.
+        """
+        self.check()
+        with self._locked() as me:
+            got = ingest(rows, self.read("documents"), self.embedder, now_ms, known_chunks=self.read("chunks"), **options)
+            if not got.documents.isEmpty():
+                self._commit(me, {"documents": got.documents, "chunks": got.chunks}, "append", **self._space())
+        return got.report
+
     def add(self, ingested) -> dict:
-        """Append what ``ingest`` made, in one commit."""
+        """Append what ``ingest`` made, in one commit, less the texts that the
+        store has got since."""
         self.check()
-        return self.commit({"documents": ingested.documents, "chunks": ingested.chunks}, append=True, **self._space())
+        with self._locked() as me:
+            known = self.read("documents").select("content_hash")
+            documents = ingested.documents.join(known, "content_hash", "left_anti")
+            chunks = ingested.chunks.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+            return self._commit(me, {"documents": documents, "chunks": chunks}, "append", **self._space())
+
+    def recalled(self, ids: DataFrame, now_ms: int) -> dict:
+        """Count a recall of the memories ``ids``, from what they are now."""
+
+        def bumped() -> dict[str, DataFrame]:
+            told = self.read("memories").join(ids.select("id"), "id", "left_semi")
+            return {"memories": bump(told, ids, now_ms)}
+
+        return self.change(put=bumped)
 
     def add_memories(self, memories: DataFrame) -> dict:
         self.check()

@@ -4,28 +4,27 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recollect.operators.ingest import ingest
 from recollect.operators.session import entries_to_rows
+from recollect.plans.scratch import settle
 from recollect.plans.store import Store
 from recollect.sources.logtail import LogTailSource
 from recollect.sources.readers import parse_jsonl
 
 
 def sync_batch(store: Store, entries: DataFrame, source: str, now_ms: int, **condensing) -> dict[str, int]:
-    """Ingest (session_id, ts, content) rows; known ones are duplicates."""
-    entries = entries.persist()  # counted and ingested: read once
-    try:
-        rows = entries_to_rows(entries, source, **condensing)
-        got = ingest(rows, store.read("documents"), store.embedder, now_ms)
-        messages, kept = entries.count(), rows.count()
-        new = got.documents.count()
-        if new:
-            store.add(got)
-    finally:
-        entries.unpersist()
+    """Ingest (session_id, ts, content) rows; known ones are duplicates.
+
+    The entries are counted as they are settled, the rows as they are judged.
+    """
+    read = Observation()
+    entries = settle(entries.observe(read, F.count(F.lit(1)).alias("messages")))
+    report = store.ingest(entries_to_rows(entries, source, **condensing), now_ms)
+    kept, new = report.agg(F.count("*"), F.count_if(~F.col("deduplicated") & F.col("error").isNull())).first()
+    messages = read.get["messages"]
     return {"messages": messages, "new_docs": new, "deduplicated": kept - new, "skipped": messages - kept}
 
 

@@ -1,4 +1,5 @@
-"""Overlapping chunks of texts: a sequential state machine in an Arrow UDF.
+"""The chunker as a plain state machine over one text, which the tests hold the
+columns of ``recollect.functions.chunking`` against.
 
 Lengths are UTF-16 units.  A text with characters beyond the basic plane is
 worked on as its surrogate pairs, so one code path serves both.
@@ -7,13 +8,8 @@ worked on as its surrogate pairs, so one code path serves both.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from math import ceil
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 SPACE = r"[\t\n\v\f\r    -     　﻿]"
 _TRIM = re.compile(rf"^{SPACE}+|{SPACE}+$")
 _TRIM_END = re.compile(rf"{SPACE}+$")
@@ -22,7 +18,6 @@ _END = re.compile(r"[.!?。！？]")
 _CLOSERS = "\"')]}»”"
 _CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
 _BREAK = re.compile(SPACE)
-CHUNK_DDL = "array<struct<idx:int,text:string,token_count:int>>"
 
 
 def trim(s: str) -> str:
@@ -135,14 +130,3 @@ def _pairs(text: str) -> str:
 
 def _whole(units: str) -> str:
     return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
-
-
-def chunks(text: Column, max_chars: int = 900, overlap_chars: int = 120) -> Column:
-    """Chunks of a text column; a null text gives null."""
-
-    @F.pandas_udf(CHUNK_DDL)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if t is None else [{"idx": i, "text": x, "token_count": n} for i, x, n in chunk_text(t, max_chars, overlap_chars)] for t in s])
-
-    return run(text)

@@ -4,11 +4,11 @@ import logging
 from collections import Counter
 
 import pytest
+from plain_chunker import chunk_text
 from pyspark.sql import functions as F
 
 from jobs import corpus_index, memory_upkeep
 from jobs.common import existing, settings
-from recollect.functions.chunking import chunk_text
 from recollect.operators import keyword_index as ki
 from recollect.operators.search import keyword_scores
 

@@ -4,6 +4,7 @@ import json
 import os
 import random
 import sqlite3
+import threading
 import time
 from pathlib import Path
 
@@ -209,6 +210,51 @@ def test_a_dead_writers_lock_is_broken(spark, store):
     assert lock.read_text() == "thief" and [r.id for r in store.read("memories").collect()] == ["b"]
 
 
+def test_writes_are_decided_under_the_lock(spark, store):
+    """Two writers that prepared their work from one version."""
+    one, two = Store(spark, store.path, E), Store(spark, store.path, E)
+    store.commit({"memories": plain(spark, ["a", "b"])}, **store._space())
+    hits = spark.createDataFrame([("a",)], "id string")
+    one.recalled(hits, 5)
+    two.recalled(hits, 6)
+    assert {r.id: (r.recall_count, r.last_recalled) for r in store.read("memories").collect()} == {"a": (2, 6), "b": (0, None)}
+    text = rows(spark, ("One text for two writers.", "t", "s", None))
+    first, second = (ingest.ingest(text, store.read("documents"), E, n) for n in (1, 2))
+    one.add(first)
+    two.add(second)
+    assert store.read("documents").count() == 1 and store.read("chunks").count() == 1
+    assert [r.deduplicated for r in two.ingest(text, 3).collect()] == [True]
+    assert [r.deduplicated for r in one.ingest(rows(spark, ("Another text.", "t", "s", None)), 3).collect()] == [False]
+    wrong = {r.invariant for r in store.integrity().where("violations > 0").collect()}
+    assert wrong <= {"memories.embedding size"} and store.read("documents").count() == 2  # the memories here have vectors of one number
+
+
+def test_a_writer_waits_for_another(spark, store):
+    store.commit({"memories": plain(spark, ["a"])})
+    patient = Store(spark, store.path, E, wait_s=20.0)
+    with store._locked():
+        late = threading.Thread(target=lambda: patient.commit({"memories": plain(spark, ["b"])}))
+        late.start()
+        time.sleep(1.0)
+        assert [r.id for r in store.read("memories").collect()] == ["a"]
+    late.join()
+    assert [r.id for r in store.read("memories").collect()] == ["b"]
+
+
+def test_a_text_said_often_is_one_tasks_row(spark):
+    """Equal texts, titles and sources included: one row counts, the others are duplicates."""
+    items = [("same text", "t", "s", None)] * 5 + [("same text", "a", "s", None), ("other", "t", None, None)]
+    got = ingest.ingest(rows(spark, *items).repartition(3), spark.createDataFrame([], TABLES["documents"]), E, 1)
+    assert sorted((r.title, r.deduplicated) for r in got.report.collect()) == [("a", False)] + [("t", False)] + [("t", True)] * 5
+    assert got.documents.count() == 2
+
+
+def test_a_page_comes_with_its_total(spark):
+    docs = spark.createDataFrame([(f"d{i}", "t", "s", "text", "{}", 1, i, i % 3, "h") for i in range(7)], TABLES["documents"])
+    page = ingest.document_page(docs, 3, 2).collect()
+    assert len(page) == 3 and {r.total for r in page} == {7}
+
+
 def mem(spark, items):
     schema = "id string, type string, content string, importance double, tags array<string>, recall_count int, last_recalled long, created_at long, updated_at long"
     df = spark.createDataFrame(items, schema)
@@ -499,7 +545,15 @@ def test_command_line(spark, tmp_path):
     doc = run("list")[0]
     run("ingest-text", "A slow green turtle.", "turtle")
     assert run("search", "quick fox")[0]["doc_title"] == "fox"
-    assert "[fox#0]" in run("retrieve", "quick fox", "--doc-id", doc["id"])[0]["context"]
+    told = run("retrieve", "quick fox", "--doc-id", doc["id"])[0]
+    assert "[fox#0]" in told["context"] and [r["doc_title"] for r in told["chunks"]] == ["fox"]
+    assert "legs" not in run("search", "fox")[0]
+    assert run("search", "quick fox", "--explain", "--doc-id", doc["id"])[0]["legs"]
+    assert run("search", "quick fox", "--source", "nothing") == []
+    assert run("list", "--total", "--limit", "1")["total"] == 2
+    for bad in (("search", ""), ("search", "x" * 2001), ("search", "x", "--top-k", "51"), ("retrieve", "x", "--top-k", "0"), ("memory-recall", "x", "--top-k", "31"), ("search", "x", "--min-score", "1.5"), ("search", "x", "--alpha", "-0.1"), ("memory-remember", "y" * 20_001), ("memory-get", "i" * 201)):
+        with pytest.raises(ValueError):
+            run(*bad)
     assert run("document-stats")[0]["documents"] == 2 and run("stats")["integrity"] == "ok"
     run("memory-remember", "prefers tabs over spaces", "--type", "preference")
     assert run("memory-recall", "tabs or spaces")[0]["recall_count"] == 1

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import plain_chunker
 from recollect.functions import chunking, embedding, text
 from recollect.plans import queries
 
@@ -95,24 +96,24 @@ def test_query_tokens():
 
 
 def test_chunk_examples():
-    assert chunking.chunk_text("") == [] == chunking.chunk_text(" \n ")
-    assert [c[1] for c in chunking.chunk_text("See schema.prisma now. pip 24.0.1 e.g. this")] == ["See schema. prisma now. pip 24.0.1 e. g. this"]
+    assert plain_chunker.chunk_text("") == [] == plain_chunker.chunk_text(" \n ")
+    assert [c[1] for c in plain_chunker.chunk_text("See schema.prisma now. pip 24.0.1 e.g. this")] == ["See schema. prisma now. pip 24.0.1 e. g. this"]
     fenced = "intro\n\n```\na = 1\n\nb = 2\n```\n\nend"
-    assert [c[1] for c in chunking.chunk_text(fenced)] == ["intro\n```\na = 1\n\nb = 2\n```\nend"]
+    assert [c[1] for c in plain_chunker.chunk_text(fenced)] == ["intro\n```\na = 1\n\nb = 2\n```\nend"]
     for bad in ({"max_chars": 0}, {"max_chars": float("nan")}, {"overlap_chars": -1}, {"overlap_chars": float("nan")}):
         with pytest.raises(ValueError):
-            chunking.chunk_text("x", **bad)
+            plain_chunker.chunk_text("x", **bad)
 
 
 def test_chunk_overlap_zero_repeats_nothing():
     t = " ".join(f"Sentence number {i} is here." for i in range(200))
-    got = chunking.chunk_text(t, 100, 0)
+    got = plain_chunker.chunk_text(t, 100, 0)
     assert " ".join(c[1] for c in got) == t
 
 
 def test_chunk_overlap_begins_at_words():
     t = "\n\n".join(f"Word{i} follows nicely{i}." for i in range(200))
-    got = chunking.chunk_text(t, 120, 40)
+    got = plain_chunker.chunk_text(t, 120, 40)
     for (_, a, _), (_, b, _) in zip(got, got[1:]):
         assert b.split()[0] in a.split()
 
@@ -120,7 +121,7 @@ def test_chunk_overlap_begins_at_words():
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab. \n!?,1`~\"')語😀ñ")), max_size=600), st.integers(5, 90), st.integers(0, 60))
 def test_chunk_bounds(t, most, overlap):
-    got = chunking.chunk_text(t, most, overlap)
+    got = plain_chunker.chunk_text(t, most, overlap)
     assert [c[0] for c in got] == list(range(len(got)))
     assert all(0 < units(c[1].encode("utf-16-le", "replace").decode("utf-16-le")) <= most for c in got)
     squeezed = lambda s: re.sub(r"\s", "", s)
@@ -132,7 +133,33 @@ def test_chunk_column(spark):
     long = "One sentence here. " * 200
     df = spark.createDataFrame([(1, long), (2, None), (3, "")], "i int, t string")
     got = df.select("i", F.inline(chunking.chunks(F.col("t")))).collect()
-    assert [(r.idx, r.text, r.token_count) for r in sorted(got)] == chunking.chunk_text(long)
+    assert [(r.idx, r.text, r.token_count) for r in sorted(got)] == plain_chunker.chunk_text(long)
+
+
+def odd_texts(seed=1, n=300):
+    rng = random.Random(seed)
+    parts = list("ab. \n!?,1`~\"')語😀ñ") + ["\n\n", "```\n", "~~~", "3.14", ". ", "\r\n", "\u3000", "_x", "\ufeff", "word ", "\U0001d4b3", "\x0b", "(x!)", "para\n\n"]
+    out = [None, "", " \n", "x" * 2000, "😀" * 700, "a" * 599 + "😀" * 400, "```\na\n\nb", "intro\n\n```\na = 1\n\nb = 2\n```\n\nend", "See schema.prisma now. pip 24.0.1 e.g. this"]
+    return out + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 600))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("most,overlap", [(900, 120), (5, 2), (17, 8), (60, 0), (90, 45), (1, 0)])
+def test_chunk_columns_are_the_plain_machine(spark, most, overlap):
+    """Fences, blank lines, decimals, closers, astral characters that a cut splits."""
+    texts = odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r.i: r.c and [tuple(x) for x in r.c] for r in df.select("i", chunking.chunks(F.col("t"), most, overlap).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else plain_chunker.chunk_text(t, most, overlap)), t
+
+
+def test_chunks_need_no_python(spark):
+    df = spark.createDataFrame([(1, "x")], "i int, t string")
+    plan = df.select(F.inline(chunking.chunks(F.col("t"))))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    for bad in ({"max_chars": 0}, {"max_chars": float("nan")}, {"overlap_chars": -1}, {"overlap_chars": float("nan")}):
+        with pytest.raises(ValueError):
+            chunking.chunks(F.col("t"), **bad)
 
 
 def test_chunks_are_those_of_sql():
@@ -145,7 +172,7 @@ def test_chunks_are_those_of_sql():
     con = duckdb.connect()
     con.register("documents", rows)
     want = con.execute(f"WITH RECURSIVE {queries.chunks_sql()} SELECT doc_id, idx, text, token_count FROM chunked").fetchall()
-    assert sorted(want) == [(i, *c) for i, t in enumerate(texts) for c in chunking.chunk_text(t)]
+    assert sorted(want) == [(i, *c) for i, t in enumerate(texts) for c in plain_chunker.chunk_text(t)]
 
 
 # Embedder
