@@ -117,25 +117,33 @@ def judge_urls(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
     rows = rows.join(bad, "page_id", "left").withColumn("segments", _segments(F.col("path"))).withColumn("prefix", F.lit(""))
-    rows = written(rows, "urls")
-    prior = rows.agg(F.avg("bad")).first()[0] or 0.0
+    live, ended = written(rows, "urls"), []
+    prior = live.agg(F.avg("bad")).first()[0] or 0.0
 
     counts = (F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    level = 0
+    depth = 0
     while True:
-        level += 1
-        segment = F.get("segments", F.lit(level - 1))
-        stats = rows.where(F.size("segments") >= level).groupBy("host", "prefix", segment.alias("segment")).agg(*counts)
+        segment = F.get("segments", F.lit(depth))
+        stats = live.where(F.size("segments") > depth).groupBy("host", "prefix", segment.alias("segment")).agg(*counts)
         stats = written(stats, "stats")
         # a branch below, also of a wildcard, has no more pages than its parent here
-        if stats.groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= support).isEmpty():
+        parents = stats.groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("host", "prefix")
+        if parents.isEmpty():
             break
         kept = _classes(stats, support, z, smoothing)
-        longer = rows.withColumn("segment", segment).join(kept, ["host", "prefix", "segment"], "left")
-        prefix = F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.coalesce("branch", F.concat("prefix", F.lit("/*"))))
-        rows = written(longer.withColumn("prefix", prefix).select(rows.columns), "urls")
-
-    rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - (level - 1), F.lit(0)))
+        longer = live.withColumn("segment", segment).join(parents.withColumn("goes", F.lit(True)), ["host", "prefix"], "left")
+        longer = longer.withColumn("goes", F.col("goes").isNotNull() & F.col("segment").isNotNull()).join(kept, ["host", "prefix", "segment"], "left")
+        prefix = F.when(F.col("goes"), F.coalesce("branch", F.concat("prefix", F.lit("/*")))).otherwise(F.col("prefix"))
+        # who ends here is not gone through again: only the rows that go on are written with the next level
+        step = written(longer.withColumn("prefix", prefix).select(*rows.columns, "goes"), "urls")
+        ended.append(step.where(~F.col("goes")).select(*rows.columns, F.lit(depth).alias("depth")))
+        live = step.where("goes").select(*rows.columns)
+        depth += 1
+
+    rows = live.withColumn("depth", F.lit(depth))
+    for one in ended:
+        rows = rows.unionByName(one)
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - F.col("depth"), F.lit(0)))
     rows = rows.withColumn("template", F.concat("prefix", rest))
     purity = rows.groupBy("host", "template").agg(*counts).select("host", "template", ((F.col("bad") + smoothing * prior) / (F.col("labelled") + smoothing)).alias("bad_share"))
     judged = rows.join(purity, ["host", "template"])
