@@ -11,7 +11,7 @@ from recollect.functions.chunking import chunks
 from recollect.functions.embedding import PAIR_STOPWORDS, LocalEmbedder, bucket_column
 from recollect.functions.text import CONDENSE_STOPWORDS, condense, content_hash, estimate_tokens, parse_tags, token_set
 from recollect.operators import ingest, keyword_index, memory, search, session, vector_blocks
-from recollect.plans.scratch import fresh_dir
+from recollect.plans.scratch import passing_dir
 
 KEYWORDS, KEYWORD_SOURCE = "ouent thor", "src0"
 QUERY = "the thinging of onerst and heation"
@@ -132,7 +132,7 @@ def keyword_filtered(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir) -> keyword_index.KeywordIndex:
-    path = fresh_dir(spark, "keywords")
+    path = passing_dir(spark, "keywords")
     keyword_index.add(t(spark, sf_dir, "documents"), path, id_col="doc_id", text_col="text")
     return keyword_index.read(spark, path, "long")
 
@@ -184,7 +184,7 @@ def vector_label_filter(spark, sf_dir):
 
 
 def _blocked(spark, sf_dir, top_k, min_score, allowed=None):
-    v, path = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), fresh_dir(spark, "vectors")
+    v, path = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), passing_dir(spark, "vectors")
     vector_blocks.fit(v, path)
     vector_blocks.add(v, path)
     query = [float(x) for x in v.where(F.col("id") == QUERY_VECTOR).first()["embedding"]]
@@ -208,10 +208,14 @@ def vector_blocks_filtered(spark, sf_dir):
 HYBRID = "ouent the"
 
 
-def _fused_sql(order: str, score: str, floor: float, columns: str, k: int = 10) -> str:
+BENCHMARK_ITEMS = "WITH items AS (SELECT item_id AS id, text AS content, text FROM benchmark)"
+
+
+def _fused_sql(order: str, score: str, floor: float, columns: str, k: int = 10, items: str = BENCHMARK_ITEMS) -> str:
+    """``items``: what ends in ``items(id, content, text)``, with its WITH."""
     tokens = [x for x in HYBRID.split() if len(x) >= 3]
-    return f"""WITH items AS (SELECT item_id AS id, text AS content FROM benchmark), {cosine_sql("items", HYBRID)},
-    {bm25_sql("benchmark", "item_id", tokens)},
+    return f"""{items}, {cosine_sql("items", HYBRID)},
+    {bm25_sql("items", "id", tokens)},
     v AS (SELECT id, cosine AS vs, row_number() OVER (ORDER BY cosine DESC, id) - 1 AS vr FROM
         (SELECT * FROM cosines WHERE cosine >= 0.08 ORDER BY cosine DESC, id LIMIT 60)),
     k AS (SELECT id, bm25, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS kr, count(*) OVER () AS n, bm25 / max(bm25) OVER () AS ks FROM
@@ -369,7 +373,10 @@ def store_document_stats(spark, sf_dir):
     FROM k JOIN parts USING (id) JOIN documents USING (doc_id) WHERE kr < 10"""
 )
 def hydrated_hits(spark, sf_dir):
-    parts, d = _chunk_table(spark, sf_dir), t(spark, sf_dir, "documents")
+    path, d = passing_dir(spark, "chunks"), t(spark, sf_dir, "documents")
+    cut = _chunk_table(spark, sf_dir)
+    cut.write.parquet(path)
+    parts = spark.read.schema(cut.schema).parquet(path)
     hits = search.search_chunks(parts, KEYWORDS, None, mode="keyword")
     hits = search.hydrate(hits, parts, d.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "source"))
     return hits.select("rank", "id", "source", "chunk_index", F.round("score", 6).alias("score"), "content")
@@ -413,6 +420,30 @@ def content_types(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", ingest.content_type(F.col("url")).alias("content_type"))
 
 
+# Fusion over the chunks of all documents
+
+CHUNK_ITEMS = f"WITH RECURSIVE {chunks_sql()}, items AS MATERIALIZED (SELECT doc_id * 100000 + idx AS id, text AS content, text FROM chunked)"
+
+
+def _hybrid_chunks(spark, sf_dir, **kw):
+    """Chunks are cut and embedded once, and both legs read them as written."""
+    e, path = LocalEmbedder(), passing_dir(spark, "chunks")
+    c = chunk_documents(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("idx")).alias("id"), F.col("text").alias("content"))
+    c.withColumn("embedding", e.column(F.col("content"))).write.parquet(path)
+    return search.search_chunks(spark.read.schema("id long, content string, embedding array<double>").parquet(path), HYBRID, e.query(HYBRID), **kw)
+
+
+@query(_fused_sql("rrf", "greatest(coalesce(vs, 0), decay)", 0.08, "rank::INT AS rank, id, round(score, 6) AS score, round(rrf, 6) AS rrf_score", items=CHUNK_ITEMS))
+def hybrid_chunks_rrf(spark, sf_dir):
+    return _hybrid_chunks(spark, sf_dir).select("rank", "id", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query(_fused_sql("score", "0.7 * coalesce(vs, 0) + (1 - 0.7) * coalesce(ks, 0)", 0.2, f"rank::INT AS rank, id, round(score, 6) AS score, {_LEGS}", 20, CHUNK_ITEMS))
+def hybrid_chunks_alpha(spark, sf_dir):
+    hits = _hybrid_chunks(spark, sf_dir, alpha=0.7, min_score=0.2, top_k=20)
+    return hits.select("rank", "id", F.round("score", 6).alias("score"), F.array_join("legs", ",").alias("legs"))
+
+
 # Sessions
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(CONDENSE_STOPWORDS))

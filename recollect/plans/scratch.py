@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,6 +30,22 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended, and with it the files' use
+        pass
+
+
+def passing_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver's Python ends:
+    a returned DataFrame may read it until then."""
+    path = fresh_dir(spark, name)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint: computed once, and safe from lost executors."""
     sc = df.sparkSession.sparkContext
