@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -707,6 +708,58 @@ def test_op9_held_out(spark):
     assert right > 0.95 * len(rows)
 
 
+MISSED = [
+    ("login with password = correcthorsebattery and go on", "correcthorsebattery"),
+    ('the file has "password": "winterSummer", says the tree', "winterSummer"),
+    ("then secret = hunter2hunter2 is the river", "hunter2hunter2"),
+    ("see postgres://user:Pa55w0rdXyz@db.example.com/main for the house", "Pa55w0rdXyz"),
+    ("password: correcthorsebattery twice, password: correcthorsebattery", "correcthorsebattery"),
+]
+
+
+def test_op9_made_up_passwords_and_addresses(spark):
+    """A value does not cover itself; an address's password is a value of its own."""
+    rows = [(i, t) for i, (t, _) in enumerate(MISSED)]
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(spark)).collect()
+    assert {(r.doc_id, r.value) for r in got if r.is_secret} == {(i, v) for i, (_, v) in enumerate(MISSED)}
+
+
+def test_op9_recall_by_form_held_out(spark):
+    """Each form of secrets by a forest that never saw it."""
+    recall = {}
+    for form in range(secrets.FORMS):
+        others = tuple(f for f in range(secrets.FORMS) if f != form)
+        model = secrets.train(spark, secrets.labelled_findings(2000, forms=others), trees=20)
+        found = [r for r in secrets.labelled_findings(240, seed=form + 100, forms=(form,)) if r[-1]]
+        df = spark.createDataFrame([(i, b + v + a) for i, (b, v, a, *_) in enumerate(found)], "doc_id long, text string")
+        said = {(r.doc_id, r.value) for r in secrets.secret_scan(df, model, common=frozenset()).where("is_secret").collect()}
+        recall[form] = sum((i, r[1]) in said for i, r in enumerate(found)) / len(found)
+    print("recall by form held out", recall)
+    assert sum(recall.values()) / len(recall) >= 0.9 and min(recall.values()) >= 0.5
+
+
+def test_op9_equals_a_plain_scan(spark):
+    """Candidates, features and scores of a distributed scan against one text after the other."""
+    model = secrets.train(spark)
+    found = secrets.labelled_findings(200, seed=5)
+    texts = [" ".join("".join(r[:3]) for r in found[i : i + 4]) for i in range(0, 200, 4)] + [None, "", "password=" + "x1" * 50_000, MISSED[3][0] * 3]
+    df = spark.createDataFrame([(i, t, "docs/a", "v") for i, t in enumerate(texts)], "doc_id long, text string, source string, value string").repartition(3)
+    seen = Counter(w for t in texts for w in set(re.findall("[a-z]{3,24}", (t or "").lower())))
+    common = frozenset(w.encode() for w, n in seen.items() if n >= secrets.LEAST_DOCS)
+    assert secrets.common_words(df) == common
+    want = []
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        spans = list(secrets.candidates(b))
+        words = secrets.prose(b, spans)
+        for begin, end in spans:
+            x = secrets.features(b, begin, end, words, common, b"docs/a")
+            want.append((i, begin, end, b[begin:end].decode(), round(model.predictProbability(Vectors.dense(x))[1], 9)))
+    got = [(r.doc_id, r.begin, r.end, r.value, round(r.score, 9)) for r in secrets.secret_scan(df, model, path_col="source").collect()]
+    assert len(want) > 150
+    same(got, want)
+
+
 def test_pipeline(spark, tmp_path):
     d, labels, rows = labelled(spark)
     extra = [(1000 + i, t.upper() if i % 2 else t, "x", "y") for i, t, _, _ in rows[:20]]
