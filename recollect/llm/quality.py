@@ -153,6 +153,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) ->
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
     count = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     share = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
+    if count:
+        # the lowest hashes only, some twice as many as are taken, meet in a class's task; that a
+        # range holds too few has a chance below 1e-100 at the shipped rows, and costs a few rows
+        reach = F.create_map(*(F.lit(x) for q, n in count.items() for x in (q, min(1.0, (2 * rows_per_class + 100) / n))))
+        known = known.where((F.xxhash64("doc_id", F.lit(8)) / 2.0**64 + 0.5) <= F.element_at(reach, F.col("quality")))
     place = F.row_number().over(W.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id"))
     picked = known.withColumn("place", place).where(F.col("place") <= rows_per_class).select("doc_id", "quality")
     # at most two classes of rows_per_class ids

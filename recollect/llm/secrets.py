@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import bytes_of, in_slices
+from recollect.llm.common import bytes_of, in_slices, written
 
 #: Names that announce a credential, as they stand before a value.
 NAMES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"access_key", b"auth", b"credential", b"private_key")
@@ -214,7 +214,9 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_COMMO
     """The word list: runs of letters by the number of documents that hold them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit("[a-z]{3,24}"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return frozenset(r["word"].encode() for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+    # written first: a collected top list would come to the driver once a task
+    top = written(counts.orderBy(F.desc("n"), "word").limit(most), "words")
+    return frozenset(r["word"].encode() for r in top.collect())
 
 
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None, trees: int = 30, depth: int = 8, seed: int = 9) -> RandomForestClassificationModel:

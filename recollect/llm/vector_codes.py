@@ -263,7 +263,9 @@ def compress_vectors(
     if bound(width, reach) >= MOST:
         raise ValueError("vector components are too large: squared distances do not fit a long")
 
-    first = rows.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).collect()
+    # written first: a collected top list would come to the driver once a task
+    first = written(rows.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries), "first")
+    first = first.orderBy(F.asc_nulls_last("vec_id"), "v").collect()
     held = np.zeros((len(first), dim), np.int64)
     for i, r in enumerate(first):
         held[i, : len(r["v"])] = r["v"]

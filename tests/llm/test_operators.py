@@ -642,6 +642,29 @@ def test_op8(spark, docs):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_op8_is_calibrated(spark):
+    """Where a quarter of the labels is wrong, scores say so on rows held out."""
+    d, _, rows = labelled(spark)
+    rng = random.Random(12)
+    truth = {i: q if rng.random() < 0.75 else 1 - q for i, _, q, _ in rows}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in truth.items()], "doc_id long, quality int, toxic int")
+    held = [(r.score, truth[r.doc_id]) for r in quality.classify(d, labels).collect() if r.held_out]
+    for part in ([x for x in held if x[0] >= 0.5], [x for x in held if x[0] < 0.5]):
+        assert len(part) > 30
+        assert abs(sum(s for s, _ in part) / len(part) - sum(q for _, q in part) / len(part)) < 0.14
+
+
+def test_op8_sample_is_that_of_all_labels(spark):
+    """The hash range that goes through the window holds the rows that a window over all would take."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    sample, share = quality.labelled_sample(docs, labels, 200)
+    got = {(int(r.text.split()[1]), r.quality) for r in sample.collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(8)).alias("h")).collect()}
+    want = {(i, q) for q in (0, 1) for i in sorted((i for i in hashes if (i % 3 == 0) == bool(q)), key=lambda i: hashes[i])[:200]}
+    assert got == want and share == pytest.approx(3001 / 9002)
+
+
 def brute_outline(t):
     lines = []
     for line in t.split("\n"):
