@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import counted_write, existing, log, session, settings
@@ -70,8 +70,9 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, max_c
 
     def batch(rows: DataFrame, number: int) -> None:
         taken.append(number)
-        log.info("batch %d: %d rows of %s", number, rows.count(), documents)
-        take(rows.sparkSession, rows, number, output, max_chars, overlap_chars)
+        read = Observation()
+        take(rows.sparkSession, rows.observe(read, F.count(F.lit(1)).alias("rows")), number, output, max_chars, overlap_chars)
+        log.info("batch %d: read %d rows of %s", number, read.get["rows"], documents)
 
     # a stream takes a folder or a pattern: a single file is a pattern of itself
     bare = lambda path: re.sub(r"^[\w+.-]+:/*", "/", path)

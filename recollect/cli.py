@@ -15,12 +15,14 @@ from recollect.operators import ingest as ing
 from recollect.operators import memory as mem
 from recollect.operators import search as sea
 from recollect.operators import session as ses
+from recollect.plans.indexes import search_indexed
+from recollect.plans.pages import document_pages
 from recollect.plans.scratch import settle
 from recollect.plans.store import Store
 from recollect.sources.chatdb import chat_stores, chat_table
 from recollect.sources.logtail import log_files
 from recollect.sources.readers import REPORTED, read_file, read_files, read_jsonl
-from recollect.streaming.sync import sync_batch
+from recollect.streaming.sync import sync_batch, sync_chats
 
 
 #: Shorter names of the same commands.
@@ -57,9 +59,14 @@ def parser() -> argparse.ArgumentParser:
     add("sessions", limit=15, dir=None)
     add("sync-session", "id", limit=0)
     add("sync-latest", limit=0, dir=None)
+    add("sync-chats", "checkpoint")
     for name, k in (("search", 10), ("retrieve", 6)):
-        add(name, "query", top_k=k, min_score=0.08, alpha=None, doc_id=None, source=None).add_argument("--explain", action="store_true")
-    add("list", limit=100, offset=0).add_argument("--total", action="store_true")
+        s = add(name, "query", top_k=k, min_score=0.08, alpha=None, doc_id=None, source=None)
+        s.add_argument("--explain", action="store_true")
+        s.add_argument("--indexed", action="store_true", help="through the chunks' indexes, which are brought up to date first")
+    s = add("list", limit=100, offset=0)
+    s.add_argument("--total", action="store_true")
+    s.add_argument("--cursor", nargs="?", const="", help="read by pages that no writer shifts; the next one's cursor comes with each")
     add("delete", "id")
     add("memory-remember", "content", type="fact", importance=0.5, tag=None)
     add("memory-recall", "query", top_k=8, min_score=0.1)
@@ -118,7 +125,8 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
             wanted = wanted if a.doc_id is None else wanted.where(F.col("id") == a.doc_id)
             wanted = wanted.select(F.col("id").alias("doc_id"))
         alpha = float(a.alpha) if a.alpha is not None else None
-        hits = sea.search_chunks(chunks, a.query, e.query(a.query), a.top_k, a.min_score, cfg.search_mode, alpha, cfg.rrf_k, wanted)
+        how = (a.query, e.query(a.query), a.top_k, a.min_score, cfg.search_mode, alpha, cfg.rrf_k, wanted)
+        hits = search_indexed(store, *how) if a.indexed else sea.search_chunks(chunks, *how)
         return sea.hydrate(hits, chunks, documents)
 
     def remembered(top_k: int, query: str, min_score: float) -> DataFrame:
@@ -180,6 +188,11 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         return _rows(listed(a.limit, a.dir).drop("source_index"))
     if c == "sync-session":
         return sync_session(a.id)
+    if c == "sync-chats":
+        before = store.read("documents").count()
+        for n, path in enumerate(chats()):
+            sync_chats(store, path, f"{a.checkpoint}/{n}", now_ms=now, **condensing).awaitTermination()
+        return {"new_docs": store.read("documents").count() - before}
     if c == "sync-latest":
         hit = ses.latest_session(listed(50, a.dir), now).first()
         return {"found": hit is not None, **(sync_session(hit["id"]) if hit else {})}
@@ -190,6 +203,9 @@ def run(spark: SparkSession, argv: list[str], now_ms: int | None = None):
         found = settle(find())
         rows = _rows(found.orderBy("rank").select("doc_title", "chunk_index", "content", "score", "token_count"))
         return [{**r, "chunks": rows} for r in _rows(sea.context_block(found))]
+    if c == "list" and a.cursor is not None:
+        page, more = document_pages(store, a.limit, a.cursor or None)
+        return {"documents": page, "cursor": more}
     if c == "list" and a.total:
         page = _rows(ing.list_documents(store.read("documents"), a.limit, a.offset))
         return {"documents": page, "total": store.read("documents").count(), "limit": max(1, min(1000, a.limit)), "offset": max(0, a.offset)}

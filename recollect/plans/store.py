@@ -10,6 +10,7 @@ time commits the next.  Paths are any that Hadoop's file systems know.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import time
@@ -119,7 +120,10 @@ class Store:
     # tables
 
     def read(self, table: str) -> DataFrame:
-        at = self.manifest()["tables"].get(table)
+        return self.read_segments(table, self.manifest()["tables"].get(table) or [])
+
+    def read_segments(self, table: str, at: list) -> DataFrame:
+        """The table as these segments, of this version or a former one, tell it."""
         if not at:
             return self.spark.createDataFrame([], TABLES[table])
         return self._live(table, at)
@@ -166,7 +170,7 @@ class Store:
         added after a change of its key stands, and one added before is gone.
         """
         first, rest = at[0], at[1:]
-        write = lambda df, name: df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        write = lambda df, name: self._write(df, table, f"{folder}/{name}", name.endswith("-whole"))
         if not isinstance(first, str) or sum(map(self._bytes, rest)) * REWRITE >= self._bytes(first):
             write(self._live(table, at), f"{table}-whole")
             return [f"{folder}/{table}-whole"]
@@ -177,13 +181,23 @@ class Store:
         write(now.where("changed").select(*columns, "gone"), f"{table}-changed")
         return [first, {"changes": f"{folder}/{table}-changed"}, f"{folder}/{table}-added"]
 
+    @staticmethod
+    def _write(rows: DataFrame, table: str, path: str, whole: bool) -> None:
+        """A segment in order of its keys; one of a whole table with Bloom
+        filters of these, so that a look-up of a key reads the row groups that
+        may hold it (in a small one they would outweigh the rows)."""
+        out = rows.sortWithinPartitions(KEYS[table]).write.mode("errorifexists")
+        for key in {"id", KEYS[table]} if whole else ():
+            out = out.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        out.parquet(path)
+
     def _commit(self, holder: str, new: dict[str, DataFrame], how: str, **meta) -> dict:
         m = self.manifest()
         m["version"] += 1
         folder = f"{self.path}/v{m['version']}-{uuid.uuid4().hex[:8]}"
         for name, df in new.items():
             where = f"{folder}/{name}"
-            df.select(*self._columns(name), *["gone"] * (how == "change")).write.mode("errorifexists").parquet(where)
+            self._write(df.select(*self._columns(name), *["gone"] * (how == "change")), name, where, how == "replace")
             one = {"changes": where} if how == "change" else where
             m["tables"][name] = [one] if how == "replace" else [*m["tables"].get(name, []), one]
             if len(m["tables"][name]) > MOST_SEGMENTS:
@@ -284,18 +298,38 @@ class Store:
     # maintenance
 
     def reindex(self) -> DataFrame:
-        """Embed everything anew; a failure leaves the state to be repaired."""
-        began = time.time()
+        """Embed everything anew, segment by segment; a failure leaves the
+        state to be repaired.
+
+        A run that broke off is gone on with: segments that it had embedded
+        with this model are taken as they are (``reused``).
+        """
+        began, reused = time.time(), 0
         with self._locked() as me:
             m = self.manifest()
             self._swap(m | {"embed_state": "reindexing"})
-            new = {}
-            for name in ("chunks", "memories"):
-                if name in m["tables"]:
-                    new[name] = self.read(name).withColumn("embedding", self.embedder.column(F.col("content")))
-            self._commit(me, new, "replace", embed_state="ready", **(self._space() if new else {}))
+            folder = f"{self.path}/v{m['version'] + 1}-{hashlib.sha256(f'{self.embedder.model} {self.embedder.dim}'.encode()).hexdigest()[:8]}"
+            tables = dict(m["tables"])
+            for name in [t for t in ("chunks", "memories") if t in tables]:
+                new = []
+                for x in tables[name]:
+                    changed = not isinstance(x, str)
+                    path = x["changes"] if changed else x
+                    where = f"{folder}/{name}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+                    if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")):
+                        reused += 1
+                    else:
+                        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(where), True)
+                        rows = self.spark.read.schema(TABLES[name] + (", gone boolean" if changed else "")).parquet(path)
+                        self._write(rows.withColumn("embedding", self.embedder.column(F.col("content"))), name, where, not changed)
+                    new.append({"changes": where} if changed else where)
+                tables[name] = new
+            if self._holder() != me:
+                raise RuntimeError("another writer took the store over")
+            space = self._space() if tables.keys() & {"chunks", "memories"} else {}
+            self._swap(m | {"tables": tables, "version": m["version"] + 1, "embed_state": "ready", **space})
         n = [self.read(t).count() for t in ("chunks", "memories")]
-        return self.spark.createDataFrame([(*n, m["embed_dim"], self.manifest()["embed_dim"], time.time() - began)], "chunks long, memories long, dim_before int, dim_after int, seconds double")
+        return self.spark.createDataFrame([(*n, m["embed_dim"], self.manifest()["embed_dim"], reused, time.time() - began)], "chunks long, memories long, dim_before int, dim_after int, reused int, seconds double")
 
     def backup(self, to: str) -> DataFrame:
         """Copy the current version to a new folder; never over another."""

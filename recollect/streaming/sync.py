@@ -1,4 +1,4 @@
-"""Incremental sync of append-only JSON-lines logs into a store."""
+"""Incremental sync of append-only logs and of chat stores into a store."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from recollect.operators.session import entries_to_rows
 from recollect.plans.scratch import settle
 from recollect.plans.store import Store
+from recollect.sources.chattail import ChatTailSource, entries
 from recollect.sources.logtail import LogTailSource
 from recollect.sources.readers import parse_jsonl
 
@@ -45,3 +46,20 @@ def sync_logs(store: Store, path: str, checkpoint: str, source: str = "log", now
 
     out = parse_jsonl(lines).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def sync_chats(store: Store, path: str, checkpoint: str, source: str = "chat", now_ms: int | None = None, every: str | None = None, **condensing) -> StreamingQuery:
+    """Follow the users' messages of a chat store's file.
+
+    The checkpoint holds how far its parts were read; a message that has grown
+    is taken again, as a text of its own.  Without ``every`` what is there is
+    taken and the query ends.
+    """
+    store.spark.dataSource.register(ChatTailSource)
+    rows = store.spark.readStream.format("chat_tail").option("path", path).load()
+
+    def batch(df: DataFrame, _: int) -> None:
+        sync_batch(store, entries(df), source, int(time.time() * 1000) if now_ms is None else now_ms, **condensing)
+
+    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

@@ -15,10 +15,11 @@ from recollect import cli, config
 from recollect.functions.embedding import LocalEmbedder
 from recollect.operators import ingest, memory, search, session
 from recollect.plans import store as store_module
+from recollect.plans.pages import document_pages
 from recollect.plans.schema import TABLES
 from recollect.plans.store import Store
-from recollect.sources import chatdb, logtail, readers
-from recollect.streaming.sync import sync_batch, sync_logs
+from recollect.sources import chatdb, chattail, logtail, readers
+from recollect.streaming.sync import sync_batch, sync_chats, sync_logs
 
 ROWS = "content string, title string, source string, content_type string, metadata string, scope string"
 E = LocalEmbedder()
@@ -137,6 +138,37 @@ def test_reindex_guard(spark, store):
         other.check()
 
 
+def test_reindex_goes_on_where_it_broke_off(spark, store):
+    """Of three segments one cannot be embedded; the next run embeds that one only."""
+    put(store, spark, ("first text", "a", None, None))
+    put(store, spark, ("second text", "b", None, None), now=2000)
+    gone = store.read("documents").where("title = 'a'").select("id", F.col("id").alias("doc_id"))
+    store.change(drop={"documents": gone, "chunks": gone})
+    store.commit({"memories": plain(spark, ["m"])}, append=True)
+
+    class Other(LocalEmbedder):
+        model, calls, broken = "other", 0, True
+
+        def column(self, text):
+            self.calls += 1
+            if self.broken and self.calls == 4:
+                raise OSError("no model")
+            return super().column(text)
+
+    e = Other()
+    other = Store(spark, store.path, e)
+    with pytest.raises(OSError):
+        other.reindex()
+    with pytest.raises(RuntimeError, match="reindex"):
+        other.check()
+    e.broken, e.calls = False, 0
+    done = other.reindex().first()
+    assert done.reused == 3 and e.calls == 1 and (done.chunks, done.memories) == (1, 1)
+    other.check()
+    assert [r.content for r in other.read("chunks").collect()] == ["second text"]
+    assert other.integrity().where("violations > 0").count() == 0
+
+
 def plain(spark, names, importance=0.5):
     got = [(n, "fact", n, importance, [1.0], ["t"], 0, None, 1, 1) for n in names]
     return spark.createDataFrame(got, TABLES["memories"])
@@ -249,6 +281,43 @@ def test_a_text_said_often_is_one_tasks_row(spark):
     assert got.documents.count() == 2
 
 
+def documents_of(spark, ids, at=lambda i: i % 3):
+    return spark.createDataFrame([(f"d{i:03}", "t", "s", "text", "{}", 0, 1, at(i), f"h{i}") for i in ids], TABLES["documents"])
+
+
+def test_pages_are_of_one_version(spark, store):
+    """A writer adds, changes and removes between pages: none repeats, none is lost."""
+    store.commit({"documents": documents_of(spark, range(25))})
+    want = [r.id for r in store.read("documents").orderBy(F.desc("updated_at"), "id").collect()]
+    got, cursor, n = [], None, 0
+    while n == 0 or cursor:
+        page, cursor = document_pages(store, 4, cursor)
+        got += [r["id"] for r in page]
+        store.commit({"documents": documents_of(spark, [100 + n])}, append=True)
+        store.change(put={"documents": documents_of(spark, [n], lambda i: 9)}, drop={"documents": documents_of(spark, [24 - n])})
+        n += 1
+    assert got == want and n == 7
+    assert document_pages(store, 1)[0][0]["updated_at"] == 9
+    with pytest.raises(ValueError, match="cursor"):
+        document_pages(store, 4, "bm8=")
+
+
+def test_a_look_up_reads_no_other_row_groups(spark, store):
+    """Ids in the range of a segment's, but not in it: its Bloom filter says so."""
+    store.commit({"memories": plain(spark, [f"m{i * 2:06}" for i in range(4000)])})
+
+    def scanned(id):
+        rows = memory.get_memory(store.read("memories"), id)
+        rows.collect()
+        p = rows._jdf.queryExecution().executedPlan()
+        p = p.executedPlan() if "Adaptive" in p.nodeName() else p
+        return p.collectLeaves().apply(0).metrics().apply("numOutputRows").value(), len(rows.collect())
+
+    assert scanned("m000011") == (0, 0)
+    read, found = scanned("m000010")
+    assert found == 1 and 0 < read
+
+
 def test_a_page_comes_with_its_total(spark):
     docs = spark.createDataFrame([(f"d{i}", "t", "s", "text", "{}", 1, i, i % 3, "h") for i in range(7)], TABLES["documents"])
     page = ingest.document_page(docs, 3, 2).collect()
@@ -422,6 +491,36 @@ def test_chat_stores(spark, tmp_path, monkeypatch):
         run("sync-session", "zz")
 
 
+def test_chats_are_followed(spark, store, tmp_path):
+    """A message added to a session that was read arrives alone; one that has grown comes whole."""
+    path = tmp_path / "chat.db"
+    part = lambda i, m, text, kind="text": (f"p{i:03}", f"m{m}", json.dumps({"type": kind, "text": text}))
+    message = lambda m, role="user": (f"m{m}", "s1", m, json.dumps({"role": role}))
+    chat_file(path, [("s1", "talk", "/w", 50, None)], [message(1), message(2, "assistant"), message(3)], [part(1, 1, "one"), part(2, 2, "no user's"), part(3, 1, "more of one"), part(4, 3, " "), part(5, 1, "a tool", "tool")])
+    seen, real = [], store.ingest
+    store.ingest = lambda rows, now: seen.append(sorted(r.content for r in rows.collect())) or real(rows, now)
+
+    def follow(checkpoint="c"):
+        seen.clear()
+        sync_chats(store, str(path), f"file://{tmp_path}/{checkpoint}", now_ms=5).awaitTermination()
+        return [x for batch in seen for x in batch]
+
+    assert follow() == ["one\nmore of one"] and follow() == []
+    with sqlite3.connect(path) as db:
+        db.execute("INSERT INTO message VALUES (?, ?, ?, ?, NULL)", message(4))
+        db.executemany("INSERT INTO part VALUES (?, ?, ?)", [part(6, 4, "fresh"), part(7, 3, "late text")])
+    assert sorted(follow()) == ["fresh", "late text"]
+    assert store.read("documents").count() == 3
+    follow("another")  # a lost checkpoint is harmless
+    assert store.read("documents").count() == 3 and sorted(r.content for r in store.read("chunks").collect()) == ["fresh", "late text", "one\nmore of one"]
+    # ranges: each message comes once, from the range of its first new part
+    reader = chattail.ChatTail({"path": str(path), "rows_per_task": 2})
+    ranges = reader.partitions({"part": 0}, reader.latestOffset())
+    rows = [r for x in ranges for r in reader.read(x)]
+    assert len(ranges) == 4 and len(rows) == len(set(rows)) == 7
+    assert [x for r in reader.partitions(reader.latestOffset(), reader.latestOffset()) for x in reader.read(r)] == []
+
+
 LOG = [
     '{"session":"session-number-one","ts":1,"content":"hello there"}',
     "",
