@@ -422,13 +422,15 @@ def content_types(spark, sf_dir):
 
 # Fusion over the chunks of all documents
 
-CHUNK_ITEMS = f"WITH RECURSIVE {chunks_sql()}, items AS MATERIALIZED (SELECT doc_id * 100000 + idx AS id, text AS content, text FROM chunked)"
+CHUNK_ITEMS = f"WITH RECURSIVE {chunks_sql()}, items AS MATERIALIZED (SELECT min(doc_id * 100000 + idx) AS id, text AS content, text FROM chunked GROUP BY text)"
 
 
 def _hybrid_chunks(spark, sf_dir, **kw):
-    """Chunks are cut and embedded once, and both legs read them as written."""
+    """Chunks, of equal ones the first, are cut and embedded once, and both legs
+    read them as written."""
     e, path = LocalEmbedder(), passing_dir(spark, "chunks")
     c = chunk_documents(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("idx")).alias("id"), F.col("text").alias("content"))
+    c = c.groupBy("content").agg(F.min("id").alias("id")).select("id", "content")
     c.withColumn("embedding", e.column(F.col("content"))).write.parquet(path)
     return search.search_chunks(spark.read.schema("id long, content string, embedding array<double>").parquet(path), HYBRID, e.query(HYBRID), **kw)
 
