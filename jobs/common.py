@@ -7,7 +7,7 @@ import logging
 import tomllib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("recollect.jobs")
@@ -42,16 +42,16 @@ def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def counted_write(df: DataFrame, path: str, *by: str, whole: bool = False, **counts: Column) -> dict[str, int]:
-    """Write ``df`` to folders by ``by`` and count what is written on the way.
+def counted_write(df: DataFrame, path: str, *by: str, mine: Column | None = None, **counts: Column) -> dict[str, int]:
+    """Write ``df`` to folders by ``by`` and count what was written.
 
-    It takes the place of the folders that it has rows for; with ``whole``, of
-    all that was there.
+    It takes the place of all that was there, or with ``mine``, a condition on
+    the folders that holds for its rows, of those that it has rows for.
     """
-    seen = Observation()
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if mine is None else "dynamic").partitionBy(*by).parquet(path)
+    told = df.sparkSession.read.schema(df.schema).parquet(path)
+    told = told if mine is None else told.where(mine)
     counts = {"rows": F.count(F.lit(1)), **counts}
-    told = df.observe(seen, *(c.alias(n) for n, c in counts.items()))
-    told.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy(*by).parquet(path)
-    got = {n: seen.get[n] or 0 for n in counts}
+    got = {n: v or 0 for n, v in told.agg(*(c.alias(n) for n, c in counts.items())).first().asDict().items()}
     log.info("wrote %s: %s", path, ", ".join(f"{v} {n}" for n, v in got.items()))
     return got

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import counted_write, existing, log, session, settings
@@ -48,12 +48,12 @@ def take(spark: SparkSession, rows: DataFrame, batch: int, output: str, max_char
     """Bring one batch of documents into the corpus."""
     known = existing(spark, f"{output}/documents", DOCUMENTS).where(F.col("batch") < batch)
     new = new_documents(rows, known).withColumn("batch", F.lit(batch))
-    counted_write(new.select("id", "doc_id", "text", "content_hash", "batch", "source"), f"{output}/documents", "batch", "source")
+    counted_write(new.select("id", "doc_id", "text", "content_hash", "batch", "source"), f"{output}/documents", "batch", "source", mine=F.col("batch") == batch)
 
     mine = existing(spark, f"{output}/documents", DOCUMENTS).where(F.col("batch") == batch)
     cut = mine.select(F.col("id").alias("document"), "doc_id", F.inline(chunks(F.col("text"), max_chars, overlap_chars)))
     cut = cut.select(F.concat("document", F.lit("#"), "idx").alias("id"), "document", "doc_id", "idx", F.col("text").alias("content"), "token_count", F.lit(batch).alias("batch"))
-    counted_write(cut, f"{output}/chunks", "batch", tokens=F.sum("token_count"))
+    counted_write(cut, f"{output}/chunks", "batch", mine=F.col("batch") == batch, tokens=F.sum("token_count"))
 
     keyword_index.add(existing(spark, f"{output}/chunks", CHUNKS).where(F.col("batch") == batch), f"{output}/keywords", batch)
     log.info("indexed batch %d below %s/keywords", batch, output)
@@ -70,9 +70,8 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, max_c
 
     def batch(rows: DataFrame, number: int) -> None:
         taken.append(number)
-        read = Observation()
-        take(rows.sparkSession, rows.observe(read, F.count(F.lit(1)).alias("rows")), number, output, max_chars, overlap_chars)
-        log.info("batch %d: read %d rows of %s", number, read.get["rows"], documents)
+        log.info("batch %d: read %d rows of %s", number, rows.count(), documents)
+        take(rows.sparkSession, rows, number, output, max_chars, overlap_chars)
 
     # a stream takes a folder or a pattern: a single file is a pattern of itself
     bare = lambda path: re.sub(r"^[\w+.-]+:/*", "/", path)

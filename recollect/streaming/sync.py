@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,13 +19,12 @@ from recollect.sources.readers import parse_jsonl
 def sync_batch(store: Store, entries: DataFrame, source: str, now_ms: int, **condensing) -> dict[str, int]:
     """Ingest (session_id, ts, content) rows; known ones are duplicates.
 
-    The entries are counted as they are settled, the rows as they are judged.
+    The entries are read once; the rows are counted as they are judged.
     """
-    read = Observation()
-    entries = settle(entries.observe(read, F.count(F.lit(1)).alias("messages")))
+    entries = settle(entries)
+    messages = entries.count()
     report = store.ingest(entries_to_rows(entries, source, **condensing), now_ms)
     kept, new = report.agg(F.count("*"), F.count_if(~F.col("deduplicated") & F.col("error").isNull())).first()
-    messages = read.get["messages"]
     return {"messages": messages, "new_docs": new, "deduplicated": kept - new, "skipped": messages - kept}
 
 
