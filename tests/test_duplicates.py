@@ -62,3 +62,27 @@ def test_lengths_at_the_edge_of_a_band_meet(spark):
     table = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.array(F.lit(1.0)))
     got = {(r.a, r.b): round(r.overlap, 6) for r in memory.near_duplicates(table).collect()}
     assert got == {(f"a{n}", f"b{n}"): 0.8 for n in range(1, 9)}
+
+
+def test_unlike_texts_of_common_words_are_not_compared(spark, monkeypatch):
+    """Texts of one small vocabulary, where each word is in many: candidates are
+    few, and yet no pair of overlap 0.8 is missed."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(300)]
+    texts = [rng.sample(words, rng.choice((1, 2, 3, 6, 14, 40, 80, 120))) for _ in range(400)]
+    for said in texts[:200]:
+        near = said[rng.randint(0, len(said) // 8) :] + [f"own{rng.randint(0, 9)}" for _ in range(rng.randint(0, len(said) // 8))]
+        texts.append(near or said)
+    rows = [(f"m{i:03}", " ".join(said), 0.5, 0) for i, said in enumerate(texts)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.array(F.lit(1.0)))
+    compared = []
+    alike = memory._alike
+    monkeypatch.setattr(memory, "_alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
+    got = {(r.a, r.b) for r in memory.near_duplicates(table).collect()}
+    first = {}
+    for id, text, *_ in rows:
+        first.setdefault(text, id)
+    held = {id: set(text.split()) for text, id in first.items()}
+    wanted = {(a, b) for a in held for b in held if a < b and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
+    assert got == wanted and len(wanted) > 80
+    assert sum(compared) <= 4 * len(wanted), compared
