@@ -63,11 +63,12 @@ def grams_of(word: Column) -> Column:
 def postings_of(chunks: DataFrame, id_col: str = "id", text_col: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """(word, id, size, n, bucket) of these texts; null texts are none.
 
-    A text's counts are added up before they are shuffled.
+    The texts are shuffled by id, once; a text's words are then counted where
+    they are, and no posting is shuffled.
     """
     low = F.lower(F.col(text_col))
     texts = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), low.alias("low"), text_size(low).cast("int").alias("size"))
-    said = texts.select("id", "size", F.explode(F.regexp_extract_all("low", F.lit(RUN), F.lit(0))).alias("word"))
+    said = texts.repartition("id").select("id", "size", F.explode(F.regexp_extract_all("low", F.lit(RUN), F.lit(0))).alias("word"))
     return said.groupBy("word", "id", "size").agg(F.count("*").alias("n")).withColumn("bucket", bucket_of(F.col("word"), buckets))
 
 
@@ -84,9 +85,8 @@ def text_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, order: str) -> None:
-    """A folder a bucket.  Rebalanced, so that the adaptive plan joins small
-    buckets into one task and splits one that a hot word has made large."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """A folder a bucket, with a file of each task that has rows for it."""
+    rows.sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def add(chunks: DataFrame, path: str, batch: int = 0, id_col: str = "id", text_col: str = "content", buckets: int = BUCKETS) -> None:
@@ -101,7 +101,7 @@ def add(chunks: DataFrame, path: str, batch: int = 0, id_col: str = "id", text_c
     _write(said, at("postings"), "word")
     # the batch's own words, from what was written: texts are read once more for the sizes only
     words = spark.read.schema(said.schema).parquet(at("postings")).select("word").distinct()
-    _write(gram_table(words, buckets), at("grams"), "gram")
+    _write(gram_table(words, buckets).hint("rebalance", "bucket"), at("grams"), "gram")
     text_stats(chunks, text_col).write.mode("overwrite").parquet(at("stats"))
 
 

@@ -81,3 +81,11 @@ def test_empty_and_missing_texts(spark, tmp_path):
     got = ki.read(spark, str(tmp_path / "i"), "long")
     assert ki.indexed_scores(got, "alpha").count() == 0
     assert got.stats.collect()[0]["texts"] == 0
+
+
+def test_texts_are_shuffled_by_id_and_postings_are_not(spark):
+    texts = spark.createDataFrame([(i, "some words some more words") for i in range(50)], "id long, content string")
+    said = ki.postings_of(texts)
+    plan = said._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan
+    assert {tuple(r) for r in said.select("word", "id", "n").collect()} == {(w, i, n) for i in range(50) for w, n in (("some", 2), ("words", 2), ("more", 1))}
