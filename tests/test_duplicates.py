@@ -86,3 +86,45 @@ def test_unlike_texts_of_common_words_are_not_compared(spark, monkeypatch):
     wanted = {(a, b) for a in held for b in held if a < b and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
     assert got == wanted and len(wanted) > 80
     assert sum(compared) <= 4 * len(wanted), compared
+
+
+def test_keys_are_fewer_than_tokens_by_half(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.getrandbits(60) for _ in range(rng.choice((20, 90, 190, 350, 900)))]) for i in range(200)]
+    sets = spark.createDataFrame(rows, "id int, tokens array<long>")
+    assert memory._rare_keys(sets).count() <= 0.55 * sum(len(t) for _, t in rows)
+
+
+def test_sets_at_the_limit_share_a_key_and_pass_the_sketches(spark):
+    """Around the sizes where bands and sketches change; unlike sets do not pass."""
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for n in (1, 2, 3, 4, 5, 8, 9, 12, 51, 52, 63, 64, 65, 80, 81, 103, 128, 129, 160, 161, 257, 1025):
+        some = [rng.getrandbits(60) for _ in range(n)]
+        for less in {0, n // 10, n // 5}:
+            more = 5 * (n - less) // 4 - n
+            other = some[less:] + [rng.getrandbits(60) for _ in range(more)]
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            rows += [(pairs[-1][0], some), (pairs[-1][1], rng.sample(other, len(other)))]
+    sets = spark.createDataFrame(rows, "id long, tokens array<long>")
+    keys = {}
+    for r in memory._rare_keys(sets).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    assert all(keys[p] & keys[q] for p, q in pairs)
+    apart = [(p, q + 6) for p, q in pairs if q + 6 < len(rows) and len(rows[p][1]) > 4]
+    passed = {tuple(r) for r in memory._screened(spark.createDataFrame(pairs + apart, "p long, q long"), memory._sketches(sets)).collect()}
+    assert passed == set(pairs)
+
+
+def test_a_few_ids_are_met_without_a_shuffle_of_the_rows(spark, monkeypatch):
+    table, ids = spark.range(1000).withColumn("text", F.lit("said")), memory.settle(spark.range(0, 20, 2))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, word in ((1000, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            monkeypatch.setattr(memory, "FEW", most)
+            assert word in plan(memory.among(table, ids)) and memory.among(table, ids).count() == 10
+            assert memory.among(table, ids, "left_anti").count() == 990
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
