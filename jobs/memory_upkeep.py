@@ -67,10 +67,10 @@ def run(spark: SparkSession, conversations: str, events: str, output: str, now:
     found = memory.settle(memories_of(turns, used, now_ms, unused_importance))
     log.info("read %d memories of %s and %s", found.count(), conversations, events)
     twice = memory.duplicates(found, LocalEmbedder())
-    risen = memory.promote(found.join(twice, "id", "left_anti"))
+    risen = memory.promote(memory.among(found, twice, "left_anti"))
     pruned = F.coalesce(memory.prunable(now_ms, min_importance, age_days), F.lit(False))
     kept = counted_write(risen.where(~pruned).select(*KEPT), f"{output}/kept", "type")
-    gone = found.join(twice, "id", "left_semi").withColumn("reason", F.lit("duplicate")).unionByName(risen.where(pruned).withColumn("reason", F.lit("pruned")))
+    gone = memory.among(found, twice).withColumn("reason", F.lit("duplicate")).unionByName(risen.where(pruned).withColumn("reason", F.lit("pruned")))
     removed = counted_write(gone.select("id", "content", "reason"), f"{output}/removed", "reason")
     told = {"kept": kept["rows"], "removed": removed["rows"]}
     log.info("wrote %s: %s", output, told)
