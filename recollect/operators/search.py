@@ -63,10 +63,22 @@ def keyword_search(chunks: DataFrame, query: str, limit: int = 60, **kw) -> Data
     return keyword_scores(chunks, query, **kw).orderBy(F.desc("bm25"), "id").limit(limit)
 
 
+#: Entries of a query vector that are multiplied one by one, at most.
+SPARSE = 128
+
+
 def _dot_literal(vector: Column, query: list[float]) -> Column:
-    """Dot product with a literal vector, summed over its non-zero entries."""
+    """Dot product with a literal vector, summed over its non-zero entries if
+    these are few and the vector is finite, which makes the same sum."""
     q = F.array(*(F.lit(float(x)) for x in query))
     total = F.aggregate(F.zip_with(vector, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    told = [(i, float(x)) for i, x in enumerate(query) if x != 0]
+    if len(told) <= min(SPARSE, len(query) // 2):
+        finite = (F.array_max(vector) < float("inf")) & (F.array_min(vector) > float("-inf")) & F.array_contains(vector.cast("array<double>"), F.lit(2.0)).isNotNull()
+        few = F.lit(0.0)
+        for i, x in told:
+            few = few + F.get(vector, F.lit(i)).cast("double") * F.lit(x)
+        total = F.when(finite, few).otherwise(total)
     return F.when(F.size(vector) == len(query), total).otherwise(0.0)
 
 
