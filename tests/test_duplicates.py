@@ -128,3 +128,24 @@ def test_a_few_ids_are_met_without_a_shuffle_of_the_rows(spark, monkeypatch):
             assert memory.among(table, ids, "left_anti").count() == 990
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_candidates_come_once_in_order_and_are_compared_by_blocks(spark, monkeypatch):
+    """Variants of one text beside unlike ones: pairs of many shared keys are told
+    once, the earlier one first; small blocks come to what all pairs do."""
+    monkeypatch.setattr(memory, "BLOCK", 4)
+    rng = random.Random(11)
+    base, rows = [f"word{i}" for i in range(60)], []
+    for i in range(80):
+        said = base[rng.randint(0, 6) :] if i % 2 else rng.sample(base, 30)
+        rows.append((f"m{i:02}", " ".join([*said, f"one{i}", *(f"own{rng.randint(0, 40)}" for _ in range(rng.randint(0, 3)))]), rng.choice((0.2, 0.5)), rng.randint(0, 3)))
+    table = spark.createDataFrame(rows, SCHEMA)
+    # vectors of unlike lengths are not alike
+    table = table.withColumn("embedding", F.when(F.col("id") < "m60", F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0))))
+    before, held = {r[0]: (-r[2], r[3], r[0]) for r in rows}, {r[0]: set(r[1].split()) for r in rows}
+    sets = memory._token_sets(table, memory.duplicate_classes(table))
+    met = [tuple(r) for r in memory._candidates(sets).collect()]
+    near = {(a, b) for a in held for b in held if before[a] < before[b] and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
+    assert len(met) == len(set(met)) and near <= set(met) and all(before[p] < before[q] for p, q in met)
+    got = {(r.a, r.b): round(r.overlap, 6) for r in memory.near_duplicates(table).collect()}
+    assert got == {(a, b): round(len(held[a] & held[b]) / len(held[a] | held[b]), 6) for a, b in near if (a < "m60") == (b < "m60")} and len(got) > 100
