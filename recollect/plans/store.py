@@ -99,8 +99,9 @@ class Store:
     def _take(self, lock, me: str) -> bool:
         try:
             out = self._fs.create(lock, False)
-        except Py4JJavaError:
-            if self._fs.exists(lock):
+        except Py4JJavaError as e:
+            # it may have been given back since
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self._fs.exists(lock):
                 return False
             raise
         out.write(bytearray(me.encode()))
