@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import logging
 import tomllib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,13 +44,28 @@ def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Bytes of Parquet files that a task reads at most, and of their row groups: what a task sorts fits its memory.
+SPLIT = 32 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SPLIT))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def counted_write(df: DataFrame, path: str, *by: str, mine: Column | None = None, **counts: Column) -> dict[str, int]:
     """Write ``df`` to folders by ``by`` and count what was written.
 
     It takes the place of all that was there, or with ``mine``, a condition on
     the folders that holds for its rows, of those that it has rows for.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if mine is None else "dynamic").partitionBy(*by).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if mine is None else "dynamic").option("compression", "zstd").option("parquet.block.size", SPLIT).partitionBy(*by).parquet(path)
     told = df.sparkSession.read.schema(df.schema).parquet(path)
     told = told if mine is None else told.where(mine)
     counts = {"rows": F.count(F.lit(1)), **counts}

@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import counted_write, existing, log, session, settings
+from jobs.common import counted_write, existing, log, session, settings, small_splits
 from recollect.functions.chunking import chunks
 from recollect.functions.text import content_hash, trimmed
 from recollect.operators import keyword_index
 from recollect.operators.ingest import first_wins
+from recollect.plans.scratch import tidy
 
 DOCUMENTS = "id string, doc_id long, text string, content_hash string, batch long, source string"
 CHUNKS = "id string, document string, doc_id long, idx int, content string, token_count int, batch long"
@@ -50,12 +51,16 @@ def take(spark: SparkSession, rows: DataFrame, batch: int, output: str, max_char
     new = new_documents(rows, known).withColumn("batch", F.lit(batch))
     counted_write(new.select("id", "doc_id", "text", "content_hash", "batch", "source"), f"{output}/documents", "batch", "source", mine=F.col("batch") == batch)
 
+    del new
+    tidy(spark)  # the texts that were shuffled
+
     mine = existing(spark, f"{output}/documents", DOCUMENTS).where(F.col("batch") == batch)
     cut = mine.select(F.col("id").alias("document"), "doc_id", F.inline(chunks(F.col("text"), max_chars, overlap_chars)))
     cut = cut.select(F.concat("document", F.lit("#"), "idx").alias("id"), "document", "doc_id", "idx", F.col("text").alias("content"), "token_count", F.lit(batch).alias("batch"))
     counted_write(cut, f"{output}/chunks", "batch", mine=F.col("batch") == batch, tokens=F.sum("token_count"))
 
     keyword_index.add(existing(spark, f"{output}/chunks", CHUNKS).where(F.col("batch") == batch), f"{output}/keywords", batch)
+    tidy(spark)
     log.info("indexed batch %d below %s/keywords", batch, output)
 
 
@@ -71,7 +76,8 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, max_c
     def batch(rows: DataFrame, number: int) -> None:
         taken.append(number)
         log.info("batch %d: read %d rows of %s", number, rows.count(), documents)
-        take(rows.sparkSession, rows, number, output, max_chars, overlap_chars)
+        with small_splits(rows.sparkSession):
+            take(rows.sparkSession, rows, number, output, max_chars, overlap_chars)
 
     # a stream takes a folder or a pattern: a single file is a pattern of itself
     bare = lambda path: re.sub(r"^[\w+.-]+:/*", "/", path)
@@ -82,14 +88,26 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, max_c
     log.info("%s: %s", documents, f"{len(taken)} batches" if taken else "nothing new")
 
 
+def chunk_key() -> Column:
+    return F.xxhash64("id")
+
+
 def read(spark: SparkSession, output: str) -> DataFrame:
     """The whole output as one row a chunk: doc_id, source, idx, text,
-    token_count, and of its index how many words there are and are said."""
+    token_count, and of its index how many words there are and are said.
+
+    Postings are counted by a hash of their chunk's id, unless two chunks have
+    the same; texts are shuffled once, when all else about them is known."""
     documents = existing(spark, f"{output}/documents", DOCUMENTS).select(F.col("id").alias("document"), "source")
     held = existing(spark, f"{output}/chunks", CHUNKS)
+    key = chunk_key()
+    if not held.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        key = F.col("id")
+    held = held.withColumn("key", key)
     postings = keyword_index.read(spark, f"{output}/keywords").postings
-    words = postings.groupBy("id").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_said"))
-    rows = held.join(documents, "document").join(words, "id", "left")
+    words = postings.groupBy(key.alias("key")).agg(F.count("*").alias("n_words"), F.sum("n").alias("n_said"))
+    about = held.select("key", "document").join(documents, "document").select("key", "source").join(words, "key", "left")
+    rows = held.drop("document").join(about, "key")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return rows.select("doc_id", "source", "idx", F.col("content").alias("text"), "token_count", none("n_words"), none("n_said"))
 

@@ -60,6 +60,17 @@ def grams_of(word: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
 
 
+def _counted(words: Column) -> Column:
+    """(word, n) of an array of words, by their runs once sorted."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def runs(w: Column) -> Column:
+        begin = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return once(begin, lambda b: F.transform(b, lambda i, k: F.struct(F.get(w, i).alias("word"), (F.coalesce(F.get(b, k + 1), F.size(w)) - i).cast("long").alias("n"))))
+
+    return once(F.sort_array(words), lambda w: F.when(F.size(w) > 0, runs(w)))
+
+
 def postings_of(chunks: DataFrame, id_col: str = "id", text_col: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """(word, id, size, n, bucket) of these texts; null texts are none.
 
@@ -68,8 +79,8 @@ def postings_of(chunks: DataFrame, id_col: str = "id", text_col: str = "content"
     """
     low = F.lower(F.col(text_col))
     texts = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), low.alias("low"), text_size(low).cast("int").alias("size"))
-    said = texts.repartition("id").select("id", "size", F.explode(F.regexp_extract_all("low", F.lit(RUN), F.lit(0))).alias("word"))
-    return said.groupBy("word", "id", "size").agg(F.count("*").alias("n")).withColumn("bucket", bucket_of(F.col("word"), buckets))
+    said = texts.repartition("id").select("id", "size", F.inline(_counted(F.regexp_extract_all("low", F.lit(RUN), F.lit(0)))))
+    return said.select("word", "id", "size", "n", bucket_of(F.col("word"), buckets).alias("bucket"))
 
 
 def gram_table(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -86,7 +97,7 @@ def text_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
 
 def _write(rows: DataFrame, path: str, order: str) -> None:
     """A folder a bucket, with a file of each task that has rows for it."""
-    rows.sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.sortWithinPartitions("bucket", order).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def add(chunks: DataFrame, path: str, batch: int = 0, id_col: str = "id", text_col: str = "content", buckets: int = BUCKETS) -> None:
@@ -101,7 +112,7 @@ def add(chunks: DataFrame, path: str, batch: int = 0, id_col: str = "id", text_c
     _write(said, at("postings"), "word")
     # the batch's own words, from what was written: texts are read once more for the sizes only
     words = spark.read.schema(said.schema).parquet(at("postings")).select("word").distinct()
-    _write(gram_table(words, buckets).hint("rebalance", "bucket"), at("grams"), "gram")
+    _write(gram_table(words, buckets), at("grams"), "gram")
     text_stats(chunks, text_col).write.mode("overwrite").parquet(at("stats"))
 
 

@@ -125,3 +125,23 @@ def test_settings(tmp_path):
     f = tmp_path / "c.toml"
     f.write_text('output = "/o"\nmax_chars = 900\n')
     assert settings("x", str(f), ["--max-chars", "50"]) == {"output": "/o", "max_chars": 50}
+
+
+def test_corpus_counts_are_right_where_hashes_of_chunks_clash(spark, at, monkeypatch):
+    docs, out, checkpoint = at
+    put(spark, FIRST, docs)
+    corpus_index.run(spark, docs, out, checkpoint)
+    want = rows_of(corpus_index.read(spark, out))
+    monkeypatch.setattr(corpus_index, "chunk_key", lambda: F.length("id").cast("long"))
+    assert rows_of(corpus_index.read(spark, out)) == want and sum(want.values()) > 5
+
+
+def test_a_texts_words_are_counted_without_an_aggregate(spark):
+    """No task holds the words of all of its texts; counts are those of each spelling."""
+    texts = [("a", "one two one-two Two two"), ("b", "x yy"), ("c", None), ("d", ""), ("e", "écho ÉCHO écho_ " + "long " * 300)]
+    table = spark.createDataFrame(texts, "id string, content string")
+    said = ki.postings_of(table)
+    assert "Aggregate" not in said._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["word"]): r["n"] for r in said.collect()}
+    assert got == {("a", "one"): 1, ("a", "two"): 3, ("a", "one-two"): 1, ("e", "écho"): 2, ("e", "écho_"): 1, ("e", "long"): 300}
+    assert said.schema["n"].dataType.simpleString() == "bigint"
